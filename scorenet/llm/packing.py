@@ -81,11 +81,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
     kinds = (("grp", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()))
 
     def encode(batches):
-        to_ids = encoder_for(data.value).encode
+        to_ids = encoder_for(data.value).encode_all
         for ids, texts in rows_of(batches, 500):
             held = []
-            for i, text in zip(ids, texts, strict=True):
-                got = to_ids(text) + tail
+            for i, got in zip(ids, to_ids(texts), strict=True):
+                got += tail
                 n, full = len(got) // 4, len(got) // size
                 g = zlib.crc32(struct.pack("<qI", i or 0, zlib.crc32(got))) % groups
                 for k in range(full):

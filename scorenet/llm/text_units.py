@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Other white space than ASCII's, for which splitting at ASCII white space may not be exact.
 ODD_SPACE = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
+#: White space other than single spaces and line feeds between words, and marks of ``MemoEncoder``.
+PLAIN_NOT = re.compile("[\t\x0b-\r\x01\x02]|[ \n][ \n]|^[ \n]|[ \n]$(?![\\s\\S])")
 SPACED_WORD = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 
 
@@ -46,6 +48,21 @@ def file_bytes(path: str) -> bytes:
         return f.read()
 
 
+class _Numbers(dict):
+    """Numbers pieces in order of their first appearance; ``fresh`` has those not encoded yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+        self.next = 0
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = self.next
+        self.next = n + 1
+        self.fresh.append(piece)
+        return n
+
+
 class MemoEncoder:
     """Exact token ids of whole texts by the tokenizers library, remembering words.
 
@@ -54,40 +71,52 @@ class MemoEncoder:
     together. A text with other than ASCII white space goes to the library whole. Strings of special
     tokens are ordinary text. ``most`` bounds the memory."""
 
-    def __init__(self, data: bytes, most: int = 200_000):
+    def __init__(self, data: bytes, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_buffer(data)
         self.tok.encode_special_tokens = True
-        self.drops_space = b'"\\\\s+"' in data[:4000] and '</w>' in (getattr(self.tok.model, "end_of_word_suffix", None) or "")
-        self.known: dict[str, bytes] = {}
+        self.drops_space = (getattr(self.tok.model, "end_of_word_suffix", None) or "") == "</w>"
+        self.number, self.ids = _Numbers(), []
         self.most = most
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        return [np.array(e.ids, "<u4").tobytes() for e in batch(parts, add_special_tokens=False)]
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; null counts as empty."""
-        if not text:
-            return b""
-        if ODD_SPACE.search(text):
-            return self._ids([text])[0]
-        parts = text.split() if self.drops_space else SPACED_WORD.findall(text)
-        known = self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            pass
-        if len(known) > self.most:
-            known.clear()
-        missing = [p for p in dict.fromkeys(parts) if p not in known]
-        known.update(zip(missing, self._ids(missing), strict=True))
-        out = b"".join([known[p] for p in parts])
-        for p in missing:
+        return [array("I", e.ids).tobytes() for e in batch(parts, add_special_tokens=False)]
+
+    def _cut(self, text: str) -> list[str]:
+        """Pieces of a text. Where single spaces and line feeds stand between words alone, a piece
+        leaves its space out, and the first piece, which has none, has a mark; all other texts are cut
+        by pattern, and their pieces have another mark."""
+        if self.drops_space:
+            return text.split()
+        if PLAIN_NOT.search(text) is None:
+            parts = text.replace("\n", " \n").split(" ")
+            parts[0] = "\x01" + parts[0]
+            return parts
+        return ["\x02" + p for p in SPACED_WORD.findall(text)]
+
+    def _text(self, piece: str) -> str:
+        if self.drops_space or piece[0] == "\n":
+            return piece
+        return piece[1:] if piece[0] in "\x01\x02" else " " + piece
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
+        whole = {i for i, t in enumerate(texts) if t and ODD_SPACE.search(t)}
+        if len(self.ids) > self.most:
+            self.number, self.ids = _Numbers(), []
+        number = self.number
+        at = [list(map(number.__getitem__, self._cut(t))) if t and i not in whole else [] for i, t in enumerate(texts)]
+        fresh, number.fresh = number.fresh, []
+        self.ids += self._ids([self._text(p) for p in fresh])
+        out = [b"".join(map(self.ids.__getitem__, x)) for x in at]
+        for i in whole:
+            out[i] = self._ids([texts[i]])[0]
+        for p in fresh:
             if len(p) > 64:
-                del known[p]
+                self.ids[number.pop(p)] = b""
         return out
 
 

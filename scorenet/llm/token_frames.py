@@ -130,15 +130,15 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int, id_col:
     def write(batches):
         task = TaskContext.get()
         fs, root = _place(uri)
-        encode = encoder_for(data.value).encode
+        encode = encoder_for(data.value).encode_all
         name = f"{task.partitionId():06d}.tokens"
         part = f"{root}/.{name}.{task.taskAttemptId()}"
         tokens = 0
         with fs.open_output_stream(part) as sink:
             out = FrameWriter(sink)
             for ids, texts in rows_of(batches, 500):
-                for i, text in zip(ids, texts, strict=True):
-                    got = encode(text) + tail
+                for i, got in zip(ids, encode(texts), strict=True):
+                    got += tail
                     tokens += len(got) // 4
                     out.add(i, got)
             out.close()
