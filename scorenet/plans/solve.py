@@ -29,8 +29,8 @@ class Solution:
 def _by_component(g: ScoredGraph, run, extra: DataFrame | None = None) -> DataFrame:
     comp = written(components(g), "comp")
     nodes = g.nodes.join(comp, "id").select("comp", "id", "score", "is_root")
-    edges = g.edges.join(comp.withColumnRenamed("id", "u"), "u").select("comp", "u", "v")
-    return nodes.groupBy("comp").cogroup(edges.groupBy("comp")).applyInPandas(run, SOLUTION)
+    edges = g.edges.join(comp.withColumnRenamed("id", "u"), "u").select(F.col("comp").alias("edge_comp"), "u", "v")
+    return nodes.groupBy("comp").cogroup(edges.groupBy("edge_comp")).applyInPandas(run, SOLUTION)
 
 
 def _rows(comp, ids, value, bound, status) -> pd.DataFrame:
@@ -136,12 +136,12 @@ def permutation_null(g: ScoredGraph, times: int = 20, seed: int = 0, seconds: fl
     a = base.select("rep", "id", slot.alias("k"))
     b = base.select("rep", "score", draw.alias("k"))
     shuffled = a.join(b, ["rep", "k"]).join(comp, "id").select("rep", "comp", "id", "score")
-    edges = g.edges.join(comp.withColumnRenamed("id", "u"), "u").join(F.broadcast(reps)).select("rep", "comp", "u", "v")
+    edges = g.edges.join(comp.withColumnRenamed("id", "u"), "u").join(F.broadcast(reps)).select(F.col("rep").alias("edge_rep"), F.col("comp").alias("edge_comp"), "u", "v")
 
     def run(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         w = dict(zip(nodes["id"], nodes["score"], strict=True))
         got = local.solve_component(w, list(zip(edges["u"], edges["v"], strict=True)), frozenset(), seconds)
         return pd.DataFrame({"rep": [int(nodes["rep"].iloc[0])], "value": [got[0]]})
 
-    each = shuffled.groupBy("rep", "comp").cogroup(edges.groupBy("rep", "comp")).applyInPandas(run, "rep long, value double")
+    each = shuffled.groupBy("rep", "comp").cogroup(edges.groupBy("edge_rep", "edge_comp")).applyInPandas(run, "rep long, value double")
     return each.groupBy("rep").agg(F.max("value").alias("value"))
