@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Other white space than ASCII's, for which splitting at ASCII white space may not be exact.
 ODD_SPACE = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
-#: White space other than single spaces and line feeds between words, and marks of ``MemoEncoder``.
-PLAIN_NOT = re.compile("[\t\x0b-\r\x01\x02]|[ \n][ \n]|^[ \n]|[ \n]$(?![\\s\\S])")
+#: What a text must not hold, nor begin or end with, to be cut at single spaces and line feeds alone.
+PLAIN_NOT = ("  ", "\n\n", " \n", "\n ", "\t", "\x0b", "\x0c", "\r", "\x01", "\x02")
 SPACED_WORD = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 
 
@@ -62,6 +62,13 @@ class _Numbers(dict):
         self.fresh.append(piece)
         return n
 
+    def first(self, n: int) -> _Numbers:
+        """The first ``n`` pieces; frequent ones are among those that came first."""
+        out = _Numbers()
+        out.update((p, k) for p, k in self.items() if k < n)
+        out.next = n
+        return out
+
 
 class MemoEncoder:
     """Exact token ids of whole texts by the tokenizers library, remembering words.
@@ -91,7 +98,7 @@ class MemoEncoder:
         by pattern, and their pieces have another mark."""
         if self.drops_space:
             return text.split()
-        if PLAIN_NOT.search(text) is None:
+        if text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in PLAIN_NOT):
             parts = text.replace("\n", " \n").split(" ")
             parts[0] = "\x01" + parts[0]
             return parts
@@ -106,7 +113,7 @@ class MemoEncoder:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
         whole = {i for i, t in enumerate(texts) if t and ODD_SPACE.search(t)}
         if len(self.ids) > self.most:
-            self.number, self.ids = _Numbers(), []
+            self.number, self.ids = self.number.first(self.most // 2), self.ids[: self.most // 2]
         number = self.number
         at = [list(map(number.__getitem__, self._cut(t))) if t and i not in whole else [] for i, t in enumerate(texts)]
         fresh, number.fresh = number.fresh, []
