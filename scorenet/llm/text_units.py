@@ -6,7 +6,9 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,12 @@ from pyspark.sql import functions as F
 ODD_SPACE = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 #: What a text must not hold, nor begin or end with, to be cut at single spaces and line feeds alone.
 PLAIN_NOT = ("  ", "\n\n", " \n", "\n ", "\t", "\x0b", "\x0c", "\r", "\x01", "\x02")
+#: Marks of pieces that do not start with the white space before them.
+MARKS = ("\x01", "\x02")
+#: How a byte-level vocabulary spells a space and a line feed.
+BYTE_SPACES = ("\u0120", "\u010a")
+#: A piece of one id to part others by, and how many pieces the library gets as one text.
+BAR, TOGETHER = "0", 100
 SPACED_WORD = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 
 
@@ -48,28 +56,6 @@ def file_bytes(path: str) -> bytes:
         return f.read()
 
 
-class _Numbers(dict):
-    """Numbers pieces in order of their first appearance; ``fresh`` has those not encoded yet."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[str] = []
-        self.next = 0
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = self.next
-        self.next = n + 1
-        self.fresh.append(piece)
-        return n
-
-    def first(self, n: int) -> _Numbers:
-        """The first ``n`` pieces; frequent ones are among those that came first."""
-        out = _Numbers()
-        out.update((p, k) for p, k in self.items() if k < n)
-        out.next = n
-        return out
-
-
 class MemoEncoder:
     """Exact token ids of whole texts by the tokenizers library, remembering words.
 
@@ -78,19 +64,53 @@ class MemoEncoder:
     together. A text with other than ASCII white space goes to the library whole. Strings of special
     tokens are ordinary text. ``most`` bounds the memory."""
 
-    def __init__(self, data: bytes, most: int = 500_000):
+    def __init__(self, data: bytes, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_buffer(data)
         self.tok.encode_special_tokens = True
         self.drops_space = (getattr(self.tok.model, "end_of_word_suffix", None) or "") == "</w>"
-        self.number, self.ids = _Numbers(), []
+        self.known: dict[str, bytes] = {}
         self.most = most
+        vocab = self.tok.get_vocab()
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids that only the start of a piece, or a bar, has
+        if self.drops_space:
+            self.opens[self._plain([BAR])[0][0]] = True
+        else:
+            self.opens[[n for t, n in vocab.items() if t[0] in BYTE_SPACES]] = True
 
-    def _ids(self, parts: list[str]) -> list[bytes]:
+    def _plain(self, parts: list[str]) -> list[list[int]]:
         batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        return [array("I", e.ids).tobytes() for e in batch(parts, add_special_tokens=False)]
+        return [e.ids for e in batch(parts, add_special_tokens=False)]
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        return [array("I", x).tobytes() for x in self._plain(parts)]
+
+    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece. The library takes many pieces joined to one text, whose ids are told
+        apart by the ids that start a piece (or, where spaces leave no trace, by a bar between pieces
+        that have none). Marked pieces, and those that have the bar, go alone."""
+        out = [b""] * len(pieces)
+        alone = [i for i, p in enumerate(pieces) if (BAR in p if self.drops_space else p[:1] in MARKS)]
+        left = set(alone)
+        joint = [i for i in range(len(pieces)) if i not in left] if left else range(len(pieces))
+        runs = [joint[i : i + TOGETHER] for i in range(0, len(joint), TOGETHER)]
+        texts = [self._joined([pieces[i] for i in run]) for run in runs]
+        for run, ids in zip(runs, self._plain(texts), strict=True):
+            data = array("I", ids).tobytes()
+            at = (4 * np.flatnonzero(self.opens[np.frombuffer(data, np.uint32)])).tolist()
+            if len(at) != len(run) - self.drops_space:
+                alone += run
+                continue
+            skip = 4 * self.drops_space
+            begin = [0, *(x + skip for x in at)] if self.drops_space else at
+            ends = [*at, len(data)] if self.drops_space else [*at[1:], len(data)]
+            for i, a, b in zip(run, begin, ends, strict=True):
+                out[i] = data[a:b]
+        for i, x in zip(alone, self._ids([self._text(pieces[i]) for i in alone]), strict=True):
+            out[i] = x
+        return out
 
     def _cut(self, text: str) -> list[str]:
         """Pieces of a text. Where single spaces and line feeds stand between words alone, a piece
@@ -107,23 +127,27 @@ class MemoEncoder:
     def _text(self, piece: str) -> str:
         if self.drops_space or piece[0] == "\n":
             return piece
-        return piece[1:] if piece[0] in "\x01\x02" else " " + piece
+        return piece[1:] if piece[0] in MARKS else " " + piece
+
+    def _joined(self, pieces: list[str]) -> str:
+        if self.drops_space:
+            return f" {BAR} ".join(pieces)
+        return (" " + " ".join(pieces)).replace(" \n", "\n")
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
         whole = {i for i, t in enumerate(texts) if t and ODD_SPACE.search(t)}
-        if len(self.ids) > self.most:
-            self.number, self.ids = self.number.first(self.most // 2), self.ids[: self.most // 2]
-        number = self.number
-        at = [list(map(number.__getitem__, self._cut(t))) if t and i not in whole else [] for i, t in enumerate(texts)]
-        fresh, number.fresh = number.fresh, []
-        self.ids += self._ids([self._text(p) for p in fresh])
-        out = [b"".join(map(self.ids.__getitem__, x)) for x in at]
+        if len(self.known) > self.most:  # frequent pieces are among those that came first
+            self.known = dict(islice(self.known.items(), self.most // 2))
+        get = self.known.get
+        cuts = [self._cut(t) if t and i not in whole else [] for i, t in enumerate(texts)]
+        rows = [list(map(get, c)) for c in cuts]
+        fresh = list(dict.fromkeys([p for c, row in zip(cuts, rows, strict=True) for p, x in zip(c, row, strict=True) if x is None]))
+        new = dict(zip(fresh, self._piece_ids(fresh), strict=True))
+        out = [b"".join([new[p] if x is None else x for p, x in zip(c, row, strict=True)]) for c, row in zip(cuts, rows, strict=True)]
         for i in whole:
             out[i] = self._ids([texts[i]])[0]
-        for p in fresh:
-            if len(p) > 64:
-                self.ids[number.pop(p)] = b""
+        self.known.update((p, x) for p, x in new.items() if len(p) <= 64)
         return out
 
 
