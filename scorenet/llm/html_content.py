@@ -99,6 +99,13 @@ class _Lines(HTMLParser):
     def handle_data(self, data):
         self.now.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        """A section that the parser has no name for is a comment up to the next >, as browsers read it."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def finish(self) -> None:
         """End of input: an incomplete tag is dropped, an incomplete reference is text."""
         rest = self.rawdata
