@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 #: Other white space than ASCII's, for which splitting at ASCII white space may not be exact.
 ODD_SPACE = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
@@ -33,6 +34,16 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def is_latin(text: str) -> bool:
+    """Whether all characters are of Latin-1, where composition changes nothing and each letter has its
+    own lower case, so that a vocabulary which lower-cases gives both cases the same ids."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[tuple[list, ...]]:
     """Columns as Python lists, ``most`` rows at a time, so that memory stays bounded."""
     for b in batches:
@@ -66,58 +77,80 @@ class MemoEncoder:
 
     def __init__(self, data: bytes, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         self.tok = Tokenizer.from_buffer(data)
         self.tok.encode_special_tokens = True
         self.drops_space = (getattr(self.tok.model, "end_of_word_suffix", None) or "") == "</w>"
+        self.lowers = self.drops_space and self._plain(["A\xc9\xde"]) == self._plain(["a\xe9\xfe"])
+        self.as_is = self.tok
+        if self.lowers:  # lower-case ASCII with single spaces is what the normalizer would make of it
+            self.as_is = Tokenizer.from_buffer(data)
+            self.as_is.encode_special_tokens = True
+            self.as_is.normalizer = None
         self.known: dict[str, bytes] = {}
         self.most = most
         vocab = self.tok.get_vocab()
-        self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids that only the start of a piece, or a bar, has
+        self.starts, self.ends, self.bars = (np.zeros(max(vocab.values()) + 1, bool) for _ in range(3))
         if self.drops_space:
-            self.opens[self._plain([BAR])[0][0]] = True
+            self.ends[[n for t, n in vocab.items() if t.endswith("</w>")]] = True
+            self.bars[self._plain([BAR])[0][0]] = True
         else:
-            self.opens[[n for t, n in vocab.items() if t[0] in BYTE_SPACES]] = True
+            self.starts[[n for t, n in vocab.items() if t[0] in BYTE_SPACES]] = True
 
-    def _plain(self, parts: list[str]) -> list[list[int]]:
-        batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        return [e.ids for e in batch(parts, add_special_tokens=False)]
+    def _plain(self, parts: list[str], tok: Tokenizer | None = None) -> list[list[int]]:
+        return [e.ids for e in (tok or self.tok).encode_batch_fast(parts, add_special_tokens=False)]
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         return [array("I", x).tobytes() for x in self._plain(parts)]
 
     def _piece_ids(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece. The library takes many pieces joined to one text, whose ids are told
-        apart by the ids that start a piece (or, where spaces leave no trace, by a bar between pieces
-        that have none). Marked pieces, and those that have the bar, go alone."""
-        out = [b""] * len(pieces)
-        alone = [i for i, p in enumerate(pieces) if (BAR in p if self.drops_space else p[:1] in MARKS)]
-        left = set(alone)
-        joint = [i for i in range(len(pieces)) if i not in left] if left else range(len(pieces))
-        runs = [joint[i : i + TOGETHER] for i in range(0, len(joint), TOGETHER)]
-        texts = [self._joined([pieces[i] for i in run]) for run in runs]
-        for run, ids in zip(runs, self._plain(texts), strict=True):
-            data = array("I", ids).tobytes()
-            at = (4 * np.flatnonzero(self.opens[np.frombuffer(data, np.uint32)])).tolist()
-            if len(at) != len(run) - self.drops_space:
-                alone += run
-                continue
-            skip = 4 * self.drops_space
-            begin = [0, *(x + skip for x in at)] if self.drops_space else at
-            ends = [*at, len(data)] if self.drops_space else [*at[1:], len(data)]
-            for i, a, b in zip(run, begin, ends, strict=True):
-                out[i] = data[a:b]
+        apart by ids that only the start of a piece has; where spaces leave no trace, by those that end
+        a word of plain letters, or by a bar between pieces that have none. Marked pieces, and those
+        that have the bar, go alone."""
+        out, alone = [b""] * len(pieces), []
+        at = range(len(pieces))
+        if self.drops_space:
+            letters = [p.isascii() and p.isalpha() for p in pieces]
+            alone += [i for i in at if BAR in pieces[i]]
+            plain = [p.isascii() and p == p.lower() for p in pieces]
+            for tok, same in ((self.as_is, True), (self.tok, False)):
+                alone += self._apart(pieces, [i for i in at if letters[i] and plain[i] is same], " ".join, self.ends, 1, out, tok)
+                alone += self._apart(pieces, [i for i in at if not letters[i] and plain[i] is same and BAR not in pieces[i]], f" {BAR} ".join, self.bars, 0, out, tok)
+        else:
+            alone += [i for i in at if pieces[i][:1] in MARKS]
+            left = set(alone)
+            alone += self._apart(pieces, [i for i in at if i not in left], lambda x: (" " + " ".join(x)).replace(" \n", "\n"), self.starts, -1, out, self.tok)
         for i, x in zip(alone, self._ids([self._text(pieces[i]) for i in alone]), strict=True):
             out[i] = x
         return out
 
+    def _apart(self, pieces: list[str], at: list[int], join: Callable, sign: np.ndarray, kind: int, out: list[bytes], tok: Tokenizer) -> list[int]:
+        """Puts the ids of ``pieces[i]`` for i in ``at`` to ``out``, from texts of joined pieces. ``sign``
+        marks ids that start (kind -1), end (1) or part (0) pieces. Returns those i whose text has not
+        just as many signs as that takes."""
+        runs = [at[i : i + TOGETHER] for i in range(0, len(at), TOGETHER)]
+        missed: list[int] = []
+        for run, ids in zip(runs, self._plain([join([pieces[i] for i in run]) for run in runs], tok), strict=True):
+            data = array("I", ids).tobytes()
+            cut = 4 * np.flatnonzero(sign[np.frombuffer(data, np.uint32)])
+            if len(cut) != len(run) - (kind == 0):
+                missed += run
+                continue
+            if kind < 0:
+                begin, end = cut.tolist(), [*cut[1:].tolist(), len(data)]
+            else:
+                after = (cut + 4).tolist()
+                begin, end = [0, *(after[:-1] if kind else after)], after if kind else [*cut.tolist(), len(data)]
+            for i, a, b in zip(run, begin, end, strict=True):
+                out[i] = data[a:b]
+        return missed
+
     def _cut(self, text: str) -> list[str]:
         """Pieces of a text. Where single spaces and line feeds stand between words alone, a piece
         leaves its space out, and the first piece, which has none, has a mark; all other texts are cut
         by pattern, and their pieces have another mark."""
         if self.drops_space:
-            return text.split()
+            return (text.lower() if self.lowers and is_latin(text) else text).split()
         if text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in PLAIN_NOT):
             parts = text.replace("\n", " \n").split(" ")
             parts[0] = "\x01" + parts[0]
@@ -129,13 +162,13 @@ class MemoEncoder:
             return piece
         return piece[1:] if piece[0] in MARKS else " " + piece
 
-    def _joined(self, pieces: list[str]) -> str:
-        if self.drops_space:
-            return f" {BAR} ".join(pieces)
-        return (" " + " ".join(pieces)).replace(" \n", "\n")
-
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
+        """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty. Equal texts
+        of a call are encoded once."""
+        distinct = list(dict.fromkeys(texts))
+        if len(distinct) < len(texts):
+            got = dict(zip(distinct, self.encode_all(distinct), strict=True))
+            return [got[t] for t in texts]
         whole = {i for i, t in enumerate(texts) if t and ODD_SPACE.search(t)}
         if len(self.known) > self.most:  # frequent pieces are among those that came first
             self.known = dict(islice(self.known.items(), self.most // 2))

@@ -22,5 +22,6 @@ def test_same_ids(name):
         n = rng.randrange(1, 12)
         sp = spaces[:6] if k % 2 else spaces
         texts.append("".join(rng.choice(atoms[:9] if k % 3 else atoms) + rng.choice(sp) for _ in range(n)).strip() if k % 5 else "".join(rng.choice(atoms + spaces) for _ in range(n)))
+    texts += [f"{chr(c)}x{chr(c)} W{chr(c)}" for c in range(0x21, 0x180)]
     got = [list(np.frombuffer(b, "<u4")) for lo in range(0, len(texts), 50) for b in enc.encode_all(texts[lo : lo + 50])]
     assert got == [enc.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
