@@ -23,7 +23,8 @@ from scorenet.llm.text_units import join_hot
 from scorenet.operators.components import connected_components, merge_labels
 from scorenet.storage import written
 
-FIT_ROWS = 100_000
+#: Most vectors that the axes, and the number of signs that make cells, go by; all are compared.
+FIT_ROWS, SIGN_ROWS = 100_000, 4_000
 CELL_ROWS = 512
 TILE_ROWS = 4096
 STEP = 8
@@ -55,6 +56,25 @@ def reachable_cells(lead: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndar
     return row, cell
 
 
+def signs_worth(turned: np.ndarray, reach: float, count: int, most: int, cell_rows: int = CELL_ROWS) -> int:
+    """How many leading signs make the least work, going by a sample of turned vectors: pairs compared,
+    and rows sent to cells, each as costly as comparing it with ``cell_rows`` others. Where components
+    are small against the threshold's distance, a row reaches many cells and none are worth having."""
+    m = len(turned)
+    if m < 2:
+        return 0
+    best, least = 0, 1.0 + cell_rows / max(1, count)
+    for lead in range(1, most + 1):
+        row, cell = reachable_cells(turned[:, :lead], reach)
+        if len(row) > 64 * m:
+            break
+        size = np.unique(cell, return_counts=True)[1].astype(float)
+        cost = (size * (size - 1)).sum() / (m * (m - 1)) + len(row) / m * cell_rows / max(1, count)
+        if cost < least:
+            best, least = lead, cost
+    return best
+
+
 def tile_pairs(a: np.ndarray, b: np.ndarray, least: float, step: int = STEP):
     """Arrays (i, j) of rows whose product may reach ``least``; axes in descending weight."""
     d = a.shape[1]
@@ -126,8 +146,10 @@ def cosine_classes(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_i
     picked = classes.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000)).select("vec").coalesce(8)
     sums = [np.frombuffer(r.m).reshape(width, width) for r in picked.mapInArrow(moments, "m binary").collect()]  # at most 8 rows
     axes = np.ascontiguousarray(np.linalg.eigh(sum(sums, np.zeros((width, width))))[1][:, ::-1])
-    lead = min(width, 24, max(0, math.ceil(math.log2(max(1, count) / cell_rows))))
     reach = (2 - 2 * least) / 4 + SLACK
+    some = [r.vec for r in classes.orderBy(F.xxhash64("key"), "key").select("vec").limit(SIGN_ROWS).collect()]  # at most SIGN_ROWS rows
+    turned = as_units(np.frombuffer(b"".join(some), kind).reshape(-1, width).astype(float)) @ axes if some else np.zeros((0, width))
+    lead = signs_worth(turned, reach, count, min(width, 24, max(0, math.ceil(math.log2(max(1, count) / cell_rows)))), cell_rows)
 
     def deal(batches):
         for b in batches:
