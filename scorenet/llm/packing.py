@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorenet.llm.text_units import encoder_for, file_bytes, rows_of
+from scorenet.llm.text_units import encoder_for, file_bytes, rows_by_size
 
 CAPACITY = 1024
 GROUP_DOCS = 4096
@@ -82,7 +82,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
 
     def encode(batches):
         to_ids = encoder_for(data.value).encode_all
-        for ids, texts in rows_of(batches, 500):
+        for ids, texts in rows_by_size(batches):
             held = []
             for i, got in zip(ids, to_ids(texts), strict=True):
                 got += tail

@@ -6,10 +6,10 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -52,6 +52,19 @@ def rows_of(batches: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[tup
             yield tuple(c.to_pylist() for c in part.columns)
 
 
+def rows_by_size(batches: Iterator[pa.RecordBatch], most: int = 4000, most_chars: int = 10_000_000) -> Iterator[tuple[list, list]]:
+    """(ids, texts) of at most ``most`` rows and, but for a single longer text, ``most_chars`` characters."""
+    for ids, texts in rows_of(batches, most):
+        lo = size = 0
+        for hi, t in enumerate(texts):
+            if hi > lo and size + len(t or "") > most_chars:
+                yield ids[lo:hi], texts[lo:hi]
+                lo, size = hi, 0
+            size += len(t or "")
+        if texts:
+            yield ids[lo:], texts[lo:]
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
     """``left`` joined to ``right`` (unique by ``key``). ``hot``: the rows of ``right`` whose key has at
     least a fixed share of the rows of ``left``; their number is bounded by that share, so they are
@@ -73,9 +86,10 @@ class MemoEncoder:
     The pre-tokenizers of the two public files never join text over the start of a white-space run,
     so a text is cut there, each distinct piece is encoded by the library once, and the ids are put
     together. A text with other than ASCII white space goes to the library whole. Strings of special
-    tokens are ordinary text. ``most`` bounds the memory."""
+    tokens are ordinary text. ``most`` pieces, or ``most_bytes`` of them, bound what is remembered from
+    call to call. Pieces are told apart and looked up as columns, so only new ones become objects."""
 
-    def __init__(self, data: bytes, most: int = 900_000):
+    def __init__(self, data: bytes, most: int = 1_500_000, most_bytes: int = 64_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_buffer(data)
         self.tok.encode_special_tokens = True
@@ -86,8 +100,10 @@ class MemoEncoder:
             self.as_is = Tokenizer.from_buffer(data)
             self.as_is.encode_special_tokens = True
             self.as_is.normalizer = None
-        self.known: dict[str, bytes] = {}
-        self.most = most
+        #: Remembered pieces, and where each one's ids lie in ``ids``.
+        self.words, self.ids = pa.array([], pa.string()), np.zeros(0, np.uint32)
+        self.first = self.size = np.zeros(0, np.int64)
+        self.most, self.most_bytes = most, most_bytes
         vocab = self.tok.get_vocab()
         self.starts, self.ends, self.bars = (np.zeros(max(vocab.values()) + 1, bool) for _ in range(3))
         if self.drops_space:
@@ -145,23 +161,44 @@ class MemoEncoder:
                 out[i] = data[a:b]
         return missed
 
-    def _cut(self, text: str) -> list[str]:
-        """Pieces of a text. Where single spaces and line feeds stand between words alone, a piece
-        leaves its space out, and the first piece, which has none, has a mark; all other texts are cut
-        by pattern, and their pieces have another mark."""
+    def _pieces(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, list[int]]:
+        """(pieces, pieces of each text, texts in their order). Where single spaces and line feeds stand
+        between words alone, a piece leaves its space out, and the first piece, which has none, has a
+        mark; all other texts are cut by pattern, and their pieces have another mark."""
+        at = range(len(texts))
         if self.drops_space:
-            return (text.lower() if self.lowers and is_latin(text) else text).split()
-        if text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in PLAIN_NOT):
-            parts = text.replace("\n", " \n").split(" ")
-            parts[0] = "\x01" + parts[0]
-            return parts
-        return ["\x02" + p for p in SPACED_WORD.findall(text)]
+            cut = pc.ascii_split_whitespace(pa.array([(t.lower() if self.lowers and is_latin(t) else t).strip() for t in texts], pa.string()))
+            counts = np.diff(cut.offsets.to_numpy())
+            counts[[i for i, t in enumerate(texts) if not t.strip()]] = 0
+            return cut.flatten().filter(pc.not_equal(cut.flatten(), "")), counts, list(at)
+        plain = [t != "" and t[0] not in " \n" and t[-1] not in " \n" and not any(x in t for x in PLAIN_NOT) for t in texts]
+        even, odd = [i for i in at if plain[i]], [i for i in at if not plain[i]]
+        cut = pc.split_pattern(pa.array(["\x01" + texts[i].replace("\n", " \n") for i in even], pa.string()), " ")
+        other = [["\x02" + p for p in SPACED_WORD.findall(texts[i])] for i in odd]
+        pieces = pa.concat_arrays([cut.flatten(), pa.array([p for x in other for p in x], pa.string())])
+        return pieces, np.r_[np.diff(cut.offsets.to_numpy()), np.array([len(x) for x in other], np.int32)], even + odd
 
     def _text(self, piece: str) -> str:
         if self.drops_space or piece[0] == "\n":
             return piece
         return piece[1:] if piece[0] in MARKS else " " + piece
 
+    def _learn(self, words: pa.Array) -> None:
+        got = self._piece_ids(words.to_pylist())
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        self.first = np.r_[self.first, len(self.ids) + np.cumsum(size) - size]
+        self.size = np.r_[self.size, size]
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids = np.r_[self.ids, np.frombuffer(b"".join(got), np.uint32)]
+
+    def _keep(self, most: int) -> None:
+        """Forget all but the first pieces, and of those any of more than 64 bytes."""
+        short = np.flatnonzero(pc.binary_length(self.words).to_numpy()[:most] <= 64)
+        n = self.size[short]
+        where = np.repeat(self.first[short] - np.cumsum(n) + n, n)
+        self.ids = self.ids[where + np.arange(len(where))]
+        self.words, self.size, self.first = self.words.take(pa.array(short)), n, np.cumsum(n) - n
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty. Equal texts
         of a call are encoded once."""
@@ -169,18 +206,32 @@ class MemoEncoder:
         if len(distinct) < len(texts):
             got = dict(zip(distinct, self.encode_all(distinct), strict=True))
             return [got[t] for t in texts]
-        whole = {i for i, t in enumerate(texts) if t and ODD_SPACE.search(t)}
-        if len(self.known) > self.most:  # frequent pieces are among those that came first
-            self.known = dict(islice(self.known.items(), self.most // 2))
-        get = self.known.get
-        cuts = [self._cut(t) if t and i not in whole else [] for i, t in enumerate(texts)]
-        rows = [list(map(get, c)) for c in cuts]
-        fresh = list(dict.fromkeys([p for c, row in zip(cuts, rows, strict=True) for p, x in zip(c, row, strict=True) if x is None]))
-        new = dict(zip(fresh, self._piece_ids(fresh), strict=True))
-        out = [b"".join([new[p] if x is None else x for p, x in zip(c, row, strict=True)]) for c, row in zip(cuts, rows, strict=True)]
-        for i in whole:
-            out[i] = self._ids([texts[i]])[0]
-        self.known.update((p, x) for p, x in new.items() if len(p) <= 64)
+        out = [b""] * len(texts)
+        whole = [i for i, t in enumerate(texts) if t and ODD_SPACE.search(t)]
+        for i, x in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+            out[i] = x
+        left = set(whole)
+        rest = [i for i, t in enumerate(texts) if t and i not in left]
+        if not rest:
+            return out
+        if len(self.words) > self.most or self.words.nbytes > self.most_bytes:
+            self._keep(min(self.most, len(self.words)) // 2)  # frequent pieces are among those that came first
+        pieces, counts, order = self._pieces([texts[i] for i in rest])
+        coded = pieces.dictionary_encode()
+        row = pc.index_in(coded.dictionary, value_set=self.words)
+        new = np.flatnonzero(row.is_null().to_numpy(zero_copy_only=False))
+        row = row.fill_null(0).to_numpy().astype(np.int64)
+        row[new] = len(self.words) + np.arange(len(new))
+        self._learn(coded.dictionary.take(pa.array(new)))
+        at = row[coded.indices.to_numpy()]
+        n, first = self.size[at], self.first[at]
+        ends = np.cumsum(n)
+        where = np.repeat(first - ends + n, n)
+        where += np.arange(len(where))
+        ids = self.ids[where].tobytes()
+        stops = (4 * np.r_[0, ends][np.cumsum(counts)]).tolist()
+        for i, a, b in zip(order, [0, *stops], stops, strict=False):
+            out[rest[i]] = ids[a:b]
         return out
 
 

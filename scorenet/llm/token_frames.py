@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorenet.llm.text_units import encoder_for, file_bytes, rows_of
+from scorenet.llm.text_units import encoder_for, file_bytes, rows_by_size, rows_of
 from scorenet.storage import fresh_path
 
 # Fixed values of the zstd seekable format.
@@ -136,7 +136,7 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int, id_col:
         tokens = 0
         with fs.open_output_stream(part) as sink:
             out = FrameWriter(sink)
-            for ids, texts in rows_of(batches, 500):
+            for ids, texts in rows_by_size(batches):
                 for i, got in zip(ids, encode(texts), strict=True):
                     got += tail
                     tokens += len(got) // 4
