@@ -224,12 +224,92 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, most=2)
 
 
-#: Of the pipeline's stage: five words; the share of agreeing bits a similarity of 0.8 gives at least.
-STAGE_SHINGLE, STAGE_BITS, STAGE_BLOCKS = 5, 9, 4
+#: Of the pipeline's stage: five words, a similarity of 0.8, and the bits within which candidates lie.
+STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_BITS, STAGE_BLOCKS = 5, 0.8, 9, 4
+#: Documents and characters up to which one task settles a class.
+CLASS_DOCS, CLASS_CHARS = 256, 2_000_000
+
+
+def shingle_set(text: str | None, shingle: int) -> frozenset:
+    """The distinct shingles of a text; fewer words than a shingle: the whole sequence is one."""
+    words = lower_words(text)
+    k = min(shingle, len(words))
+    return frozenset(zip(*(words[i:] for i in range(k)), strict=False)) if words else frozenset()
+
+
+def alike(a: frozenset, b: frozenset, least: float) -> bool:
+    """Whether the Jaccard similarity is at least ``least``; two texts without words are alike."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return both >= least * (len(a) + len(b) - both)
+
+
+def dropped_copies(members: DataFrame, shingle: int, least: float) -> list[DataFrame]:
+    """Tables of the doc_ids in ``members`` (component_id, doc_id, text, chars; ids distinct) that go.
+
+    In ascending order of doc_id, a document goes if it is alike to one of its class that stays, so no
+    two that stay in a class are alike. One task settles a small class. In a larger one, every round
+    compares all others to the least document left, which is dealt with salts, and takes out what is
+    alike; a class that has become small is settled with the others of the next round."""
+
+    def settle(table):
+        rows = table.select(["doc_id", "text"]).sort_by("doc_id")
+        stay, gone = [], []
+        for i, t in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+            own = shingle_set(t.as_py(), shingle)
+            if any(alike(own, x, least) for x in stay):
+                gone.append(i)
+            else:
+                stay.append(own)
+        return pa.table([pa.array(gone, pa.int64())], names=["doc_id"])
+
+    def judge(batches):
+        last, lead = None, frozenset()
+        for b in batches:
+            for i in range(0, b.num_rows, 200):
+                part = b.slice(i, 200)
+                near = []
+                for comp, t, first in zip(part.column("component_id").to_pylist(), part.column("text").to_pylist(), part.column("lead_text"), strict=True):
+                    if comp != last:
+                        last, lead = comp, shingle_set(first.as_py(), shingle)
+                    near.append(alike(shingle_set(t, shingle), lead, least))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("component_id", "doc_id", "text", "chars")), pa.array(near)], names=["component_id", "doc_id", "text", "chars", "near"])
+
+    gone = []
+    while True:
+        sizes = members.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lead"), F.sum("chars").alias("total")).where("n > 1")
+        sizes = written(sizes.withColumn("salts", F.greatest(F.ceil(F.col("n") / CLASS_DOCS), F.ceil(F.col("total") / CLASS_CHARS), F.lit(1)).cast("long")).drop("total"), "sizes")
+        hot = sizes.where(F.col("n") >= max(2, members.count() // HOT_SHARE))
+        tagged = join_hot(members, sizes, "component_id", hot)
+        gone.append(written(tagged.where("salts = 1").groupBy("component_id").applyInArrow(settle, "doc_id long"), "gone"))
+        if sizes.where("salts > 1").isEmpty():
+            return gone
+        large = tagged.where("salts > 1")
+        leads = large.where("doc_id = lead").select("component_id", F.col("text").alias("lead_text"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+        rest = large.where("doc_id <> lead").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")))
+        judged = rest.join(leads, ["component_id", "salt"]).select("component_id", "doc_id", "text", "chars", "lead_text")
+        judged = written(judged.mapInArrow(judge, "component_id long, doc_id long, text string, chars long, near boolean"), "judged")
+        gone.append(judged.where("near").select("doc_id"))
+        members = judged.where("not near").drop("near")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the least doc_id, with all its columns."""
-    classes = simhash_classes(docs, STAGE_SHINGLE, STAGE_BITS, STAGE_BLOCKS)
-    stay = classes.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")), "left_semi")
+    """Documents without near copies, with all their columns.
+
+    Fingerprints of five-word shingles give classes of candidates; in them, whole texts are compared.
+    A document goes if five-word shingles make it alike (Jaccard similarity of 0.8 or more) to one with
+    a lesser doc_id that stays. Rows with a null id stay. Rows that share an id stay or go together, by
+    the least of their texts. An empty table gives an empty result."""
+    classes = written(simhash_classes(docs, STAGE_SHINGLE, STAGE_BITS, STAGE_BLOCKS).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "candidates")
+    sizes = written(classes.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "class_sizes")
+    hot = sizes.where(F.col("n") >= max(2, classes.count() // HOT_SHARE))
+    crowd = join_hot(classes, sizes, "component_id", hot).select(F.col("doc_id").alias("_id"), "component_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    members = texts.join(crowd, "_id").groupBy("_id").agg(F.min("component_id").alias("component_id"), F.min("_text").alias("text"))
+    members = written(members.select("component_id", F.col("_id").alias("doc_id"), "text", F.length("text").cast("long").alias("chars")), "members")
+    gone = dropped_copies(members, STAGE_SHINGLE, STAGE_SIMILARITY)
+    all_gone = gone[0]
+    for g in gone[1:]:
+        all_gone = all_gone.unionByName(g)
+    return docs.join(all_gone.select(F.col("doc_id").alias("_gone")), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
