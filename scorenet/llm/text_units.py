@@ -52,8 +52,9 @@ def rows_of(batches: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[tup
             yield tuple(c.to_pylist() for c in part.columns)
 
 
-def rows_by_size(batches: Iterator[pa.RecordBatch], most: int = 4000, most_chars: int = 10_000_000) -> Iterator[tuple[list, list]]:
-    """(ids, texts) of at most ``most`` rows and, but for a single longer text, ``most_chars`` characters."""
+def rows_by_size(batches: Iterator[pa.RecordBatch], most: int = 2000, most_chars: int = 4_000_000) -> Iterator[tuple[list, list]]:
+    """(ids, texts) of at most ``most`` rows and, but for a single longer text, ``most_chars`` characters.
+    After the last, Arrow's unused memory goes back, as the worker process lives on."""
     for ids, texts in rows_of(batches, most):
         lo = size = 0
         for hi, t in enumerate(texts):
@@ -63,6 +64,7 @@ def rows_by_size(batches: Iterator[pa.RecordBatch], most: int = 4000, most_chars
             size += len(t or "")
         if texts:
             yield ids[lo:], texts[lo:]
+    pa.default_memory_pool().release_unused()
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
@@ -89,7 +91,7 @@ class MemoEncoder:
     tokens are ordinary text. ``most`` pieces, or ``most_bytes`` of them, bound what is remembered from
     call to call. Pieces are told apart and looked up as columns, so only new ones become objects."""
 
-    def __init__(self, data: bytes, most: int = 1_500_000, most_bytes: int = 64_000_000):
+    def __init__(self, data: bytes, most: int = 900_000, most_bytes: int = 64_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_buffer(data)
         self.tok.encode_special_tokens = True
@@ -242,6 +244,12 @@ def encoder_for(data: bytes) -> MemoEncoder:
     """One encoder for each file and worker process; it lives on from task to task."""
     key = hash(data)
     if key not in _encoders:
-        _encoders.clear()
+        forget_encoders()
         _encoders[key] = MemoEncoder(data)
     return _encoders[key]
+
+
+def forget_encoders() -> None:
+    """Give an encoder's memory back in a worker process that goes on to another operator."""
+    _encoders.clear()
+    pa.default_memory_pool().release_unused()

@@ -13,7 +13,6 @@ import pytest
 import xxhash
 
 from scorenet.llm import queries as q
-from scorenet.llm import simhash_index
 
 SF = "/root/testdata/sf0.001"
 P = pytest.importorskip("public_tokenizers")
@@ -154,33 +153,3 @@ def test_op10_articles(spark):
         want = "\n".join(x for x in parts if x)
         r = rows[p["page_id"]]
         assert (r.url, r.text, r.n_chars) == (p["url"], want, len(want))
-
-
-def test_near_copies_stage_brute_force(spark, monkeypatch):
-    import random
-
-    rng = random.Random(3)
-    rows, base = [], [[f"w{rng.randrange(5000)}" for _ in range(120)] for _ in range(12)]
-    for i in range(240):
-        words = list(base[i % 12])
-        for _ in range(rng.choice([0, 1, 2, 4, 9])):
-            words[rng.randrange(len(words))] = f"x{i}"
-        rows.append((i, " ".join(words)))
-    rows += [(1000 + i, " ".join(f"z{rng.randrange(5000)}" for _ in range(60))) for i in range(30)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    classes: dict[int, list] = {}
-    for r in simhash_index.simhash_classes(docs, simhash_index.STAGE_SHINGLE, simhash_index.STAGE_BITS, simhash_index.STAGE_BLOCKS).collect():
-        classes.setdefault(r.component_id, []).append(r.doc_id)
-    text, stay = dict(rows), []
-    for ids in classes.values():
-        kept = []
-        for i in sorted(ids):
-            w = text[i].split()
-            own = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
-            if all(len(own & x) < 0.8 * len(own | x) for x in kept):
-                kept.append(own)
-                stay.append(i)
-    assert len(stay) < len(rows)
-    for most in (256, 4):
-        monkeypatch.setattr(simhash_index, "CLASS_DOCS", most)
-        assert sorted(r.doc_id for r in simhash_index.stage(spark, docs, "").collect()) == sorted(stay)
