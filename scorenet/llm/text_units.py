@@ -52,19 +52,21 @@ def rows_of(batches: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[tup
             yield tuple(c.to_pylist() for c in part.columns)
 
 
-def rows_by_size(batches: Iterator[pa.RecordBatch], most: int = 2000, most_chars: int = 4_000_000) -> Iterator[tuple[list, list]]:
+def rows_by_size(batches: Iterator[pa.RecordBatch], most: int = 1500, most_chars: int = 3_000_000) -> Iterator[tuple[list, list]]:
     """(ids, texts) of at most ``most`` rows and, but for a single longer text, ``most_chars`` characters.
-    After the last, Arrow's unused memory goes back, as the worker process lives on."""
+    After each, Arrow's unused memory goes back, as the worker process lives on."""
+    pool = pa.default_memory_pool()
     for ids, texts in rows_of(batches, most):
         lo = size = 0
         for hi, t in enumerate(texts):
             if hi > lo and size + len(t or "") > most_chars:
                 yield ids[lo:hi], texts[lo:hi]
+                pool.release_unused()
                 lo, size = hi, 0
             size += len(t or "")
         if texts:
             yield ids[lo:], texts[lo:]
-    pa.default_memory_pool().release_unused()
+            pool.release_unused()
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
@@ -91,7 +93,7 @@ class MemoEncoder:
     tokens are ordinary text. ``most`` pieces, or ``most_bytes`` of them, bound what is remembered from
     call to call. Pieces are told apart and looked up as columns, so only new ones become objects."""
 
-    def __init__(self, data: bytes, most: int = 900_000, most_bytes: int = 64_000_000):
+    def __init__(self, data: bytes, most: int = 700_000, most_bytes: int = 64_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_buffer(data)
         self.tok.encode_special_tokens = True
