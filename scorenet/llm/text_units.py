@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from array import array
@@ -52,6 +53,15 @@ def rows_of(batches: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[tup
             yield tuple(c.to_pylist() for c in part.columns)
 
 
+def give_back() -> None:
+    """Return unused memory to the system, as a worker process lives on after its task; glibc keeps
+    what was freed unless told to trim."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def rows_by_size(batches: Iterator[pa.RecordBatch], most: int = 1500, most_chars: int = 3_000_000) -> Iterator[tuple[list, list]]:
     """(ids, texts) of at most ``most`` rows and, but for a single longer text, ``most_chars`` characters.
     After each, Arrow's unused memory goes back, as the worker process lives on."""
@@ -67,6 +77,7 @@ def rows_by_size(batches: Iterator[pa.RecordBatch], most: int = 1500, most_chars
         if texts:
             yield ids[lo:], texts[lo:]
             pool.release_unused()
+    give_back()
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
@@ -254,4 +265,4 @@ def encoder_for(data: bytes) -> MemoEncoder:
 def forget_encoders() -> None:
     """Give an encoder's memory back in a worker process that goes on to another operator."""
     _encoders.clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
