@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorenet.llm.near_copies import near_copies
 from scorenet.llm.text_units import join_hot, lower_words, rows_of
 from scorenet.operators.components import connected_components, merge_labels
 from scorenet.storage import written
@@ -224,12 +225,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, most=2)
 
 
-#: Of the pipeline's stage: five words; the share of agreeing bits a similarity of 0.8 gives at least.
-STAGE_SHINGLE, STAGE_BITS, STAGE_BLOCKS = 5, 9, 4
+#: Of the pipeline's stage: words of a shingle.
+STAGE_SHINGLE = 5
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the least doc_id, with all its columns."""
-    classes = simhash_classes(docs, STAGE_SHINGLE, STAGE_BITS, STAGE_BLOCKS)
-    stay = classes.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")), "left_semi")
+    """One document of each group of near copies, the one with the least doc_id, with all its columns.
+
+    Groups are those that links of an exact similarity of 4/5 or more of five-word shingles join.
+    Rows with a null id stay; rows that share an id stay if one of them does."""
+    kept = near_copies(docs, STAGE_SHINGLE).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("keep_id")).alias("stays"))
+    gone = kept.where("not stays").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
