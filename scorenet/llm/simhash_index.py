@@ -19,12 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorenet.llm.gray_index import GrayIndex, majority_bits
 from scorenet.llm.near_copies import near_copies
-from scorenet.llm.text_units import join_hot, lower_words, rows_of
+from scorenet.llm.text_units import give_back, join_hot, lower_words, rows_by_size
 from scorenet.operators.components import connected_components, merge_labels
 from scorenet.storage import written
 
-FAN = 16
 HOT_SHARE = 1000
 
 
@@ -35,82 +35,20 @@ def fingerprint(words: list[bytes], shingle: int, seed: int = 42) -> int:
         return 0
     k = min(shingle, len(words))
     hashes = b"".join([xxhash.xxh64_digest(s, seed) for s in map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False))])
-    bits = np.zeros(64, np.int64)
-    n = len(hashes) // 8
-    raw = np.frombuffer(hashes, np.uint8).reshape(n, 8)
-    for i in range(0, n, 65_536):
-        bits += np.unpackbits(raw[i : i + 65_536], axis=1).sum(0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(bits * 2 > n).tobytes(), "big", signed=True)
+    return majority_bits(np.frombuffer(hashes, np.uint8))
 
 
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, fp long) for every row, from its whole text; null counts as empty."""
 
     def run(batches):
-        for ids, texts in rows_of(batches):
+        for ids, texts in rows_by_size(batches):
             fps = [fingerprint(lower_words(t), shingle) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def gray_rank(x: np.ndarray) -> np.ndarray:
-    """Place of each 64-bit word in the Gray code: the prefix parities of its bits."""
-    x = x.copy()
-    for s in (1, 2, 4, 8, 16, 32):
-        x ^= x >> np.uint64(s)
-    return x
-
-
-class GrayIndex:
-    """Hierarchical index over fingerprints (uint64), apart for each key. ``order`` is the Gray order
-    within keys; level 0 has the fingerprints, the last level one node for each key."""
-
-    def __init__(self, key: np.ndarray, fp: np.ndarray, fan: int = FAN):
-        self.order = np.lexsort((gray_rank(fp), key))
-        self.fp, key = fp[self.order], key[self.order]
-        n = len(fp)
-        first = np.ones(n, bool)
-        first[1:] = key[1:] != key[:-1]
-        owner = np.cumsum(first) - 1
-        self.root = owner  # of each row; its root has the same place in the last level
-        full = np.uint64(0xFFFFFFFFFFFFFFFF)
-        ones, zeros, last, groups = self.fp, ~self.fp, np.arange(n), owner
-        self.levels = []  # (pattern, mask, last row, first child, children)
-        self.levels.append((self.fp, np.full(n, full), last, None, None))
-        roots = int(owner[-1]) + 1 if n else 0
-        while len(ones) > roots:
-            at = np.arange(len(groups))
-            start = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
-            inside = at - np.repeat(start, np.diff(np.r_[start, len(groups)]))
-            cut = np.flatnonzero(inside % fan == 0)
-            ones, zeros = np.bitwise_and.reduceat(ones, cut), np.bitwise_and.reduceat(zeros, cut)
-            ends = np.r_[cut[1:], len(groups)]
-            last, groups = last[ends - 1], groups[cut]
-            self.levels.append((ones, ones | zeros, last, cut, ends - cut))
-
-    def pairs(self, most: int, queries: int = 4096):
-        """Arrays (i, j), i before j in ``order``, of rows of one key that differ in at most ``most``
-        bits; a few thousand queries at a time."""
-        top = len(self.levels) - 1
-        for lo in range(0, len(self.fp), queries):
-            q = np.arange(lo, min(lo + queries, len(self.fp)))
-            node, acc, above = self.root[q], np.zeros(len(q), np.uint8), np.zeros(len(q), np.uint64)
-            for level in range(top, -1, -1):
-                pattern, mask, last, child, children = self.levels[level]
-                new = mask[node]
-                acc = acc + np.bitwise_count((self.fp[q] ^ pattern[node]) & new & ~above)
-                keep = (acc <= most) & (last[node] > q)
-                q, node, acc, above = q[keep], node[keep], acc[keep], new[keep]
-                if level:
-                    n = children[node]
-                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    q, acc, above = np.repeat(q, n), np.repeat(acc, n), np.repeat(above, n)
-                    node = np.repeat(child[node], n) + step
-            if len(q):
-                yield q, node
-
-
 def block_bounds(blocks: int) -> list[tuple[int, int]]:
     """(shift, width) of each block of the 64 bits."""
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
@@ -186,7 +124,7 @@ def near_links(reps: DataFrame, most: int, blocks: int, heavy: int = 20_000, lev
         for b in batches:  # sorted by key: a full batch is cut before its last key
             held.append(b)
             n += b.num_rows
-            if n > 300_000:
+            if n > 100_000:
                 t = pa.Table.from_batches(held)
                 keys = t.column("key").to_numpy()
                 cut = int(np.searchsorted(keys, keys[-1]))
@@ -197,6 +135,7 @@ def near_links(reps: DataFrame, most: int, blocks: int, heavy: int = 20_000, lev
         if held:
             t = pa.Table.from_batches(held)
             yield ends(*(t.column(c).to_numpy() for c in ("key", "id", "fp")))
+        give_back()
 
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(link, "u long, v long")
 
@@ -212,7 +151,7 @@ def simhash_classes(docs: DataFrame, shingle: int = 3, most: int = 2, blocks: in
     an empty result; other columns are not read."""
     fps = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
-    edges = near_links(reps, most, blocks or most + 1)
+    edges = written(near_links(reps, most, blocks or most + 1), "links")
     comps = connected_components(edges).withColumnRenamed("comp", "_comp")
     known = reps.join(comps, "id", "left").select("fp", F.coalesce("_comp", "id").alias("component_id"), "n")
     known = written(known, "members")
@@ -232,7 +171,8 @@ STAGE_SHINGLE = 5
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the least doc_id, with all its columns.
 
-    Groups are those that links of an exact similarity of 4/5 or more of five-word shingles join.
+    Groups are those that links join; the index finds candidates, and an exact similarity of 4/5 or more
+    of their sets of five-word shingles makes them links. A document can lie in a group by a chain.
     Rows with a null id stay; rows that share an id stay if one of them does."""
     kept = near_copies(docs, STAGE_SHINGLE).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("keep_id")).alias("stays"))
     gone = kept.where("not stays").select(F.col("doc_id").alias("_gone"))
