@@ -2,9 +2,10 @@
 
 The standard library's parser feeds events. A line is the text of one block element. Its text-to-tag
 ratio is smoothed with its neighbours' by a Gaussian, and lines are clustered by a threshold on the
-smoothed ratio. Lines belong to regions (the nearest enclosing article or main, else the nearest
-section-like element). The regions that hold the content cluster are taken whole; lines in navigation,
-forms, notices, adverts, reader comments and the like belong to no region.
+smoothed ratio. The region of the content is found from the cluster's lines: an article or main element
+that holds the better part of their text, else the least element that holds them all. The region is taken
+whole, short lines and headings too; lines in navigation, forms, notices, adverts,
+reader comments and the like are never content, and outside articles neither are lines of links.
 """
 
 from __future__ import annotations
@@ -24,55 +25,70 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 LEFT_OUT = frozenset("head nav header footer aside form script style template noscript iframe object embed canvas svg math button select textarea option dialog menu audio video map title input label fieldset".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SEMANTIC = frozenset(("article", "main"))
-SECTIONS = frozenset("section div td body table".split())
-CLOSED_BY_BLOCK = frozenset(("p",))
+#: Elements whose class names say nothing about the article in them.
+WHOLE = frozenset(("html", "body", "article", "main"))
 #: Words in class, id or role that mark what is not the article.
 NOTICE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|contentinfo|complementary|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|nav|navbar|navigation|newsletter|notice|notices|pagination|popup|promo\w*|recommend\w*|related|replies|reply|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Class names of a page's layout, not of the part that they stand at.
+LAYOUT = re.compile(r"^(?:has|no|with|without|is|hide|show)[_-]|[_-](?:layout|page|enabled|active|open|closed|left|right)$", re.I)
 SIGMA = 1.0
 THRESHOLD = 1.0  # in standard deviations of the smoothed ratio, as a share of it
+#: Share of the content's text that an article or main must hold to be the region, and its share among
+#: that of all of its kind. Share of a line's text in links from which it is one of links.
+ARTICLE, ARTICLES, LINKS = 0.3, 0.5, 0.7
+
+
+def is_notice(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether class, id or role mark an element as no part of the article."""
+    for k, v in attrs:
+        if k == "hidden" or (k == "aria-hidden" and v == "true"):
+            return True
+        if k in ("class", "id", "role") and v and tag not in WHOLE and any(NOTICE.search(x) and not LAYOUT.search(x) for x in v.split()):
+            return True
+    return False
 
 
 class _Lines(HTMLParser):
-    """Collects (region, semantic, text, tags) of each line, in page order."""
+    """Collects (element, text, tags, characters in links) of each line, in page order, and the elements'
+    parents and names; element 0 is the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[list] = []
-        self.stack: list[tuple[str, bool, int, bool]] = []  # name, left out, region, semantic
+        self.lines: list[tuple[int, str, int, int]] = []
+        self.parent, self.name = [0], [""]
+        self.stack: list[tuple[str, bool, int, bool]] = []  # name, and the state outside
         self.now: list[str] = []
-        self.tags = 0
-        self.regions = 0
-        self.state = (False, 0, False)
+        self.kept: list[str] = []
+        self.tags = self.linked = 0
+        self.state = (False, 0, False)  # left out, element, in a link
 
     def end_line(self) -> None:
         text = " ".join("".join(self.now).split())
         if text and not self.state[0]:
-            self.lines.append([self.state[1], self.state[2], text, self.tags])
-        self.now, self.tags = [], 0
+            self.lines.append((self.state[1], text, self.tags, self.linked))
+        self.now, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.end_line()
-            if self.stack and self.stack[-1][0] == "p" and tag != "br":
+            if self.stack and self.stack[-1][0] == "p":
                 self.pop("p")
         self.tags += 1
         if tag == "br":
             self.now.append(" ")
         if tag in EMPTY:
             return
-        out, region, semantic = self.state
+        out, element, link = self.state
         if not out:
-            out = tag in LEFT_OUT or any(k in ("class", "id", "role") and v and NOTICE.search(v) for k, v in attrs) or any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
+            out = tag in LEFT_OUT or is_notice(tag, attrs)
             if out and tag not in BLOCKS:
                 self.inline_out()
-        if tag in SEMANTIC and not semantic:
-            self.regions += 1
-            region, semantic = self.regions, True
-        elif tag in SECTIONS and not semantic:
-            self.regions += 1
-            region = self.regions
         self.stack.append((tag, *self.state))
-        self.state = (out, region, semantic)
+        if tag in BLOCKS:
+            self.parent.append(element)
+            self.name.append(tag)
+            element = len(self.parent) - 1
+        self.state = (out, element, link or tag == "a")
 
     def inline_out(self) -> None:
         """An element inside a line is left out: its text must not join the line."""
@@ -87,7 +103,7 @@ class _Lines(HTMLParser):
                 self.state = self.stack[k][1:]
                 del self.stack[k:]
                 if was[0] and not self.state[0] and tag not in BLOCKS:
-                    self.now = getattr(self, "kept", [])
+                    self.now = self.kept
                 return
 
     def handle_endtag(self, tag):
@@ -98,6 +114,8 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data):
         self.now.append(data)
+        if self.state[2]:
+            self.linked += len(data.strip())
 
     def parse_marked_section(self, i, report=1):
         """A section that the parser has no name for is a comment up to the next >, as browsers read it."""
@@ -124,6 +142,48 @@ def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full / np.convolve(np.ones(len(ratio)), w)[r : r + len(ratio)]
 
 
+def content_region(page: _Lines, weight: np.ndarray) -> int:
+    """The element that holds the content, given each line's weight as content (zero: none)."""
+    held = [0.0] * len(page.parent)
+    for (element, *_), w in zip(page.lines, weight, strict=True):
+        held[element] += w
+    for e in range(len(held) - 1, 0, -1):  # a parent comes before its children
+        held[page.parent[e]] += held[e]
+    best = 0
+    for name in ("main", "article"):
+        below = _below(page.parent, best)
+        nested = [False] * len(held)  # in another of the name
+        tops = []
+        for e in range(1, len(held)):
+            nested[e] = below[e] and e != best and (nested[page.parent[e]] or page.name[page.parent[e]] == name)
+            if below[e] and e != best and page.name[e] == name and not nested[e]:
+                tops.append(e)
+        if not tops or (best and len(tops) == 1):
+            continue  # what stands in a main beside its only article belongs to it
+        top = max(tops, key=lambda e: (held[e], -e))
+        if held[top] > 0 and held[top] >= ARTICLE * held[best] and held[top] >= ARTICLES * sum(held[e] for e in tops):
+            best = top
+    if page.name[best] in SEMANTIC:
+        return best
+    children: list[list[int]] = [[] for _ in held]
+    for e in range(1, len(held)):
+        children[page.parent[e]].append(e)
+    while children[best]:
+        top = max(children[best], key=lambda e: held[e])
+        if held[top] < held[0]:
+            break
+        best = top
+    return page.parent[best] if not children[best] and page.name[best] not in ("div", "section", "td", "body") else best
+
+
+def _below(parent: list[int], top: int) -> list[bool]:
+    """Of each element, whether it is ``top`` or in it."""
+    out = [e == top for e in range(len(parent))]
+    for e in range(top + 1, len(parent)):
+        out[e] = out[parent[e]]
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks joined by line feeds; empty if there are none, or if html is null."""
     if not html:
@@ -134,19 +194,25 @@ def main_text(html: str | None) -> str:
     lines = page.lines
     if not lines:
         return ""
-    ratio = np.array([len(text) / max(1, tags) for _, _, text, tags in lines], float)
+    size = np.array([len(text) for _, text, _, _ in lines], float)
+    links = np.array([n for _, _, _, n in lines]) >= LINKS * size
+    ratio = size / np.maximum(1, [tags for _, _, tags, _ in lines])
     smooth = smoothed(ratio)
-    content = smooth >= min(smooth.max(), THRESHOLD * smooth.std())
-    semantic = [s for _, s, _, _ in lines]
-    if any(s and c for s, c in zip(semantic, content, strict=True)):  # named by the page and in the cluster
-        chosen = {r for r, s, _, _ in lines if s}
-    else:
-        weight: dict[int, float] = {}
-        for (r, _, text, _), c in zip(lines, content, strict=True):
-            weight[r] = weight.get(r, 0.0) + (len(text) if c else 0.0)
-        top = max(weight.values())
-        chosen = {r for r, x in weight.items() if x >= 0.2 * top and x > 0} or set(weight)
-    return "\n".join(text for r, _, text, _ in lines if r in chosen)
+    content = (smooth >= min(smooth.max(), THRESHOLD * smooth.std())) & ~links
+    if not content.any():
+        content[:] = True
+    region = content_region(page, np.where(content, size, 0.0))
+    article = region and any(page.name[e] in SEMANTIC for e in _up(page.parent, region))
+    below = _below(page.parent, region)
+    inside = [below[e] for e, *_ in lines]
+    alone = not article and not all(x for x, ok in zip(links, inside, strict=True) if ok)
+    return "\n".join(text for (_, text, _, _), ok, link in zip(lines, inside, links, strict=True) if ok and not (link and alone))
+
+
+def _up(parent: list[int], e: int):
+    while e:
+        yield e
+        e = parent[e]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -153,3 +153,32 @@ def test_op10_articles(spark):
         want = "\n".join(x for x in parts if x)
         r = rows[p["page_id"]]
         assert (r.url, r.text, r.n_chars) == (p["url"], want, len(want))
+
+
+def _p(text, n=1):
+    return f"<p>{' '.join([text] * n)}</p>"
+
+
+LONG, MORE = "one sentence of the story that goes on for some while,", "and it ends here."
+STORY = [" ".join([LONG] * 6), MORE, " ".join([LONG] * 3)]
+BODY = "".join(map(_p, STORY))
+NAV = "<ul><li><a href=a>Home</a></li><li><a href=b>News and views</a></li><li><a href=c>All of the topics here</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f'<body class="has-sidebar"><article>{BODY}</article><aside>{_p(LONG, 9)}</aside></body>',
+        f"<body><div>{_p(STORY[0])}</div><div>{_p(STORY[1])}{_p(STORY[2])}</div><div class=footer>{_p(LONG)}</div></body>",
+        f'<body><article>{BODY}</article><article class="card">{_p("short teaser of another story")}</article></body>',
+        f"<body>{NAV}<div><section>{_p(STORY[0])}</section><section>{_p(STORY[1])}</section><section>{_p(STORY[2])}</section></div>{NAV}</body>",
+        f"<table><tr><td>{NAV}</td><td>{BODY}</td></tr></table>",
+        f"<body><div id=comments>{_p(LONG, 30)}</div><div>{BODY}</div></body>",
+        f"<body><main><article>{_p(STORY[0])}</article><div>{_p(STORY[1])}{_p(STORY[2])}</div></main></body>",
+        "<div>" + "".join(f"<div><span>{x}</span></div>" for x in STORY) + "</div><script>var x = 1;</script>",
+    ],
+)
+def test_op10_pages_of_other_markup(html):
+    from scorenet.llm.html_content import main_text
+
+    assert main_text(html).split("\n") == STORY
