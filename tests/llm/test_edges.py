@@ -48,6 +48,21 @@ def test_exact_keeps_index(spark, odd):
     assert [(r.keep_id, r.group_size, r.kept) for r in again] == [(3, 4, False)]
 
 
+def test_exact_batches(spark, odd):
+    index = exact_dedup.fresh_index(spark)
+    first = exact_dedup.dedup_batch(odd, index, batch="a").collect()
+    # Run again after it broke off between append and result: the same rows.
+    assert sorted(map(str, exact_dedup.dedup_batch(odd, index, batch="a").collect())) == sorted(map(str, first))
+    assert not any(r.kept for r in exact_dedup.dedup_batch(odd, index).collect())
+    one = odd.where("doc_id = 7")
+    assert [r.kept for r in exact_dedup.dedup_batch(one, index).collect()] == [False]
+    more = documents(spark, [(1, "quite new", "en"), (2, "alone  here", "en")])
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in exact_dedup.dedup_batch(more, index).collect()) == [(1, 1, True), (2, None, False)]
+    assert exact_dedup.DigestIndex(spark, index.path).buckets == index.buckets
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, index.path, index.buckets + 1)
+
+
 def test_hpylm(odd, none):
     rows = hpylm.score(odd).collect()
     assert sorted(r.n_tokens for r in rows) == [1, 1, 3, 4, 4, 4, 20_001]
