@@ -7,6 +7,7 @@ tests, a folder of this machine is made and set as the checkpoint folder.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -55,3 +56,10 @@ def dropped(*tables: DataFrame) -> None:
         path = getattr(t, "_scorenet_path", None)
         if path:
             drop_path(t.sparkSession, path)
+
+
+def collect_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no plan reads any more; its cleaner waits for the driver's JVM
+    to collect garbage, which may not happen for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
