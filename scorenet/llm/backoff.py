@@ -1,8 +1,8 @@
-"""Character contexts of words, and lookups in tables of n-gram probabilities with back-off.
+"""Character contexts of texts, and lookups in tables of n-gram probabilities with back-off.
 
-A word is spelled as its characters and an end mark. The context of length k of a place is a hash of
-the k characters before it; a start mark stands before a word, and nothing before that. A context's
-parent drops the farthest character.
+A text is its characters and an end mark. The context of length k of a place is a hash of the k characters
+before it; a start mark stands before a text, and nothing before that. A context's parent drops the
+farthest character.
 """
 
 from __future__ import annotations
@@ -24,12 +24,13 @@ def gram_key(context: np.ndarray, ch: np.ndarray) -> np.ndarray:
     return mixed(context * np.uint64(31) + ch.astype(np.uint64) + np.uint64(7))
 
 
-def spell(words: list[bytes], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first place of each word, character of each place, contexts by length and place) of words in
-    UTF-8 that hold no space. Contexts have rows 0 to ``longest``; the empty context is 0."""
-    text = (b" ".join(words) + b" ").decode("utf-8", "surrogatepass")
+def spell(texts: list[bytes], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place of each text, character of each place, contexts by length and place) of texts in
+    UTF-8 that hold no line feed, which is the end mark. Contexts have rows 0 to ``longest``; the empty
+    context is 0."""
+    text = (b"\n".join(texts) + b"\n").decode("utf-8", "surrogatepass")
     ch = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.flatnonzero(ch == 32)
+    ends = np.flatnonzero(ch == 10)
     first = np.r_[0, ends[:-1] + 1]
     inside = np.arange(len(ch)) - np.repeat(first, ends - first + 1)
     contexts = np.zeros((longest + 1, len(ch)), np.uint64)
@@ -39,7 +40,7 @@ def spell(words: list[bytes], longest: int) -> tuple[np.ndarray, np.ndarray, np.
             power = power * _BASE
             before = np.zeros(len(ch), np.uint64)
             before[k:] = ch[:-k] + np.uint64(1)
-            before[inside == k - 1] = 33  # the start mark
+            before[inside == k - 1] = 1  # the start mark
             before[inside < k - 1] = 0
             contexts[k] = contexts[k - 1] + before * power
     return first, ch, contexts
@@ -76,17 +77,16 @@ class KeyTable:
 
 class BackoffTable:
     """Interpolated probabilities of seen n-grams for each context length, and each context's weight
-    for its parent; several samples of a model side by side as columns."""
+    for its parent."""
 
     def __init__(self, grams: list[KeyTable], weights: list[KeyTable], uniform: float):
         self.grams, self.weights, self.uniform = grams, weights, uniform
 
-    def word_logs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(natural log of each word's probability by sample, characters with the end mark)."""
+    def text_logs(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(natural log of each text's probability, characters with the end mark)."""
         longest = len(self.grams) - 1
-        first, ch, contexts = spell(words, longest)
-        samples = self.grams[0].values.shape[1]
-        p = np.ones((len(ch), samples))
+        first, ch, contexts = spell(texts, longest)
+        p = np.ones(len(ch))
         todo = np.arange(len(ch))
         for k in range(longest, -1, -1):
             at = self.grams[k].find(gram_key(contexts[k, todo], ch[todo]))
@@ -97,5 +97,5 @@ class BackoffTable:
             seen = at >= 0
             p[todo[seen]] *= self.weights[k].values[at[seen]]
         p[todo] *= self.uniform
-        logs = np.add.reduceat(np.log(p), first, axis=0)
+        logs = np.add.reduceat(np.log(p), first)
         return logs, np.diff(np.r_[first, len(ch)])

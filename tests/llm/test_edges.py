@@ -116,7 +116,7 @@ def test_quality(spark, odd, none):
     labels = spark.createDataFrame([(3, 1), (3, 1), (7, 1), (None, 1), (5, None), (2, 0)], "doc_id long, quality int")
     for marks in (labels, labels.limit(0)):
         out = kn_quality.classify(odd, marks)
-        assert out.columns == [*odd.columns, "_perplexity", "_threshold", "_keep"]
+        assert out.columns == [*odd.columns, "_perplexity", "_steadied", "_threshold", "_keep"]
         rows = out.collect()
         assert len(rows) == 7
         assert all((r._perplexity is None and not r._keep) for r in rows if not r.text)

@@ -7,9 +7,9 @@ import pytest
 from scorenet.llm import near_copies, simhash_index
 
 
-@pytest.mark.parametrize(("large", "order"), [(3, 40)])
+@pytest.mark.parametrize(("large", "order"), [(4_000, 40)])
 def test_stage_all_pairs(spark, monkeypatch, large, order):
-    monkeypatch.setattr(near_copies, "LARGE", large)
+    monkeypatch.setattr(near_copies, "TASK_SHINGLES", large)
     monkeypatch.setattr(near_copies, "SAMPLE_DOCS", order)
     rng = random.Random(3)
     common = [f"c{i}" for i in range(60)]
