@@ -3,6 +3,7 @@ graphs; networks reach it one component at a time, after they have been reduced
 
 from __future__ import annotations
 
+import heapq
 import random
 import time
 from collections import defaultdict, deque
@@ -102,9 +103,32 @@ class Search:
             stack.append((inside | {y}, out, total + self.w[y]))
 
 
+def _through(adj, must) -> frozenset:
+    """A connected set that holds ``must``: shortest paths from its least node; what is unreachable is
+    left out."""
+    top = min(must)
+    parent, todo = {top: None}, deque([top])
+    while todo:
+        x = todo.popleft()
+        for y in sorted(adj[x]):
+            if y not in parent:
+                parent[y] = x
+                todo.append(y)
+    out = {top}
+    for x in must:
+        while x in parent and x not in out:
+            out.add(x)
+            x = parent[x]
+    return frozenset(out)
+
+
 def _rooted(adj, w, root, must, deadline):
-    """(value, set, bound) of the best connected set with root and must."""
+    """(value, set, bound) of the best connected set with root and must. Out of time, the best so far,
+    at least the set that simply joins them."""
     s = Search(adj, w, must, deadline)
+    first = _through(adj, frozenset(must) | {root})
+    if must <= first:
+        s.best, s.best_set = sum(w[x] for x in first), first
     try:
         s.run(root)
     except OutOfTime:
@@ -113,7 +137,7 @@ def _rooted(adj, w, root, must, deadline):
 
 
 def _free(adj, w, deadline, least=0.0):
-    """(value, set, bound) of the best connected set, empty and zero if none is positive. The set's
+    """(value, set, bound) of the best connected set, empty and ``least`` if none is better. The set's
     first positive node in order of weight is its root, so no set is searched twice."""
     s = Search(adj, w, frozenset(), deadline)
     s.best, s.best_set = least, frozenset()
@@ -129,12 +153,15 @@ def _free(adj, w, deadline, least=0.0):
     return s.best, s.best_set, s.best
 
 
-def solve_component(nodes: dict[int, float], edges: list[tuple[int, int]], roots=frozenset(), seconds: float = 10.0):
+def solve_component(nodes: dict[int, float], edges: list[tuple[int, int]], roots=frozenset(), seconds: float = 10.0, draws: int = 10, trace=None):
     """(value, sorted ids, upper bound, status) for one component by block decomposition: from the
     leaves of the block-cut tree, a block's gain over its cut node alone is added to the cut node's
     weight. Gains never depend on the cut node's own weight and add up, so none is lost where several
-    small gains pay for a negative cut node together."""
-    deadline = time.monotonic() + seconds
+    small gains pay for a negative cut node together. Out of time, the blocks that are left still give
+    their bounds and what is known of them, so the set is connected and the bound holds. The search
+    starts from the best of ``draws`` spanning trees. ``trace(seconds, value)`` is told of better sets."""
+    began = time.monotonic()
+    deadline = began + seconds
     roots = frozenset(roots)
     adj = adjacency(edges, nodes)
     w = dict(nodes)
@@ -144,6 +171,13 @@ def solve_component(nodes: dict[int, float], edges: list[tuple[int, int]], roots
     must = set(roots)
     loose = 0.0  # what gains may be short of their bounds
 
+    def better(value, ids):
+        nonlocal best, best_set
+        if value > best:
+            best, best_set = value, frozenset(ids)
+            if trace:
+                trace(time.monotonic() - began, value)
+
     def whole(s):
         out, todo = set(), list(s)
         while todo:
@@ -158,6 +192,10 @@ def solve_component(nodes: dict[int, float], edges: list[tuple[int, int]], roots
         if roots or w[v] > 0:
             return w[v], [v], w[v], "OPTIMAL"
         return 0.0, [], 0.0, "OPTIMAL"
+    if draws:
+        value, ids = monte_carlo(nodes, edges, roots, seeds=range(draws), deadline=began + seconds / 5)
+        if ids:
+            better(value, ids)
     of = defaultdict(list)
     for k, b in enumerate(found):
         for x in b:
@@ -179,33 +217,28 @@ def solve_component(nodes: dict[int, float], edges: list[tuple[int, int]], roots
         if cut is None:
             if roots:
                 value, got, up = _rooted(sub, w, min(need), need, deadline)
-                best, best_set, bound = value, got, up + loose
+                bound = up + loose
             else:
                 value, got, up = _free(sub, w, deadline, best)
-                if value > best:
-                    best, best_set = value, frozenset(whole(got))
                 bound = max(bound, up + loose)
+            if got:
+                better(value, whole(got))
             break
         if not roots:
             rest = {x: sub[x] - {cut} for x in block if x != cut}
             value, got, up = _free(rest, w, deadline, best)
-            if value > best:
-                best, best_set = value, frozenset(whole(got))
+            if got:
+                better(value, whole(got))
             bound = max(bound, up + loose)
-        own = w[cut]
         value, got, up = _rooted(sub, w, cut, need | {cut}, deadline)
-        if got is None:
-            return float("-inf"), None, up, "TIME_LIMIT"
         if need - {cut}:
             must.add(cut)
-        w[cut] = own + (value - own)
+        w[cut] = value
         loose += up - value
         carried[cut] |= set(got) - {cut}
     bound = max(bound, best)
-    if best_set is None:
-        return float("-inf"), None, bound, "TIME_LIMIT"
     status = "OPTIMAL" if bound <= best + 1e-9 * max(1.0, abs(best)) else "TIME_LIMIT"
-    return best, sorted(whole(best_set)), bound, status
+    return best, sorted(best_set), bound, status
 
 
 def tree_dp(nodes: dict[int, float], edges: list[tuple[int, int]], roots=frozenset()):
@@ -277,14 +310,168 @@ def edge_costs(nodes: dict[int, float], edges, strategy: str, seed: int) -> dict
     return {(u, v): 2 - (r[u] + r[v]) for u, v in edges}
 
 
-def monte_carlo(nodes: dict[int, float], edges, roots=frozenset(), strategy: str = "random", seeds=range(20)):
-    """(value, sorted ids): the best tree optimum over spanning trees of drawn costs."""
+def hub_costs(nodes: dict[int, float], edges, cost: dict[tuple[int, int], float], seed: int) -> dict[tuple[int, int], float]:
+    """``cost`` with the edges between sampled negative hubs and nodes that are not negative made nearly
+    free. A tenth of the hubs that pay (their score and those neighbours' no less than the best of these),
+    one at least, is drawn by benefit without replacement, and a tenth of the others by chance."""
+    rng = random.Random(f"{seed}/hubs")
+    adj = adjacency(edges, nodes)
+    gain = {}
+    for v in sorted(nodes):
+        near = [nodes[y] for y in adj[v] if nodes[y] >= 0]
+        if nodes[v] < 0 and near and nodes[v] + sum(near) >= max(near):
+            gain[v] = max(0, round(nodes[v] + sum(near)))
+    live = {v: x for v, x in gain.items() if x > 0}
+    order = sorted(live, key=lambda v: -rng.random() ** (1 / live[v]))
+    picked = set(order[: max(1, len(gain) // 10)])
+    picked |= {v for v in gain if v not in picked and rng.random() < 0.1}
+    return {(u, v): rng.random() * 1e-3 if (u in picked and nodes[v] >= 0) or (v in picked and nodes[u] >= 0) else c for (u, v), c in cost.items()}
+
+
+def monte_carlo(nodes: dict[int, float], edges, roots=frozenset(), strategy: str = "random", seeds=range(20), deadline: float | None = None, hubs: bool = False):
+    """(value, sorted ids): the best tree optimum over spanning trees of drawn costs, of at least one;
+    ``hubs`` also samples negative hubs, whose edges come first."""
     best, ids = (float("-inf"), None) if roots else (0.0, [])
-    for s in seeds:
-        tree = spanning_tree(nodes, edges, edge_costs(nodes, edges, strategy, s))
+    for k, s in enumerate(seeds):
+        if k and deadline and time.monotonic() > deadline:
+            break
+        cost = edge_costs(nodes, edges, strategy, s)
+        tree = spanning_tree(nodes, edges, hub_costs(nodes, edges, cost, s) if hubs else cost)
         value, got = tree_dp(nodes, tree, roots)
         if value > best:
             best, ids = value, got
-        if strategy in ("fixed", "min_max"):
+        if strategy in ("fixed", "min_max") and not hubs:
             break
     return best, ids
+
+
+def shortest_paths(adj, cost: dict[int, float], source: int) -> tuple[dict[int, float], dict[int, int | None]]:
+    """(distance, node before) from ``source``; to enter a node costs ``cost``, none of it negative."""
+    dist, before, done, heap = {source: 0.0}, {source: None}, set(), [(0.0, source)]
+    while heap:
+        d, x = heapq.heappop(heap)
+        if x in done:
+            continue
+        done.add(x)
+        for y in adj[x]:
+            if y not in done and d + cost[y] < dist.get(y, float("inf")):
+                dist[y], before[y] = d + cost[y], x
+                heapq.heappush(heap, (d + cost[y], y))
+    return dist, before
+
+
+def is_path_ok(weights: list[float]) -> bool:
+    """Whether the sums along a path reach their greatest at its end, and that is not negative."""
+    total, top = 0.0, float("-inf")
+    for x in weights:
+        total += x
+        top = max(top, total)
+    return total >= top and total >= 0
+
+
+def dependent_pairs(nodes: dict[int, float], edges) -> list[tuple[int, int]]:
+    """(i, j), i depends on j: positive nodes whose cheapest path from i to j, each node costing what it
+    lies below the greatest weight, adds up as ``is_path_ok`` asks."""
+    adj, top = adjacency(edges, nodes), max(nodes.values(), default=0.0)
+    cost = {v: top - x for v, x in nodes.items()}
+    positive = sorted(v for v in nodes if nodes[v] > 0)
+    out = []
+    for i in positive:
+        _, before = shortest_paths(adj, cost, i)
+        for j in positive:
+            if j != i and j in before:
+                path, x = [], j
+                while x != i:
+                    path.append(nodes[x])
+                    x = before[x]
+                if is_path_ok(path[::-1]):
+                    out.append((i, j))
+    return out
+
+
+def max_flow(arcs: list[tuple[int, int, float]], source: int, sink: int) -> tuple[float, set[int], set[int]]:
+    """(value, nodes on the source's side of the first minimum cut, nodes on the sink's side of the last)
+    for directed arcs (u, v, capacity), by shortest augmenting paths."""
+    room: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
+    for u, v, c in arcs:
+        room[u][v] += c
+        room[v][u] += 0.0
+    value = 0.0
+
+    def reach(start, back):
+        before, todo = {start: None}, deque([start])
+        while todo:
+            x = todo.popleft()
+            for y in room[x]:
+                if y not in before and (room[y][x] if back else room[x][y]) > 1e-12:
+                    before[y] = x
+                    todo.append(y)
+        return before
+
+    while sink in (before := reach(source, False)):
+        path, x = [], sink
+        while before[x] is not None:
+            path.append((before[x], x))
+            x = before[x]
+        least = min(room[a][b] for a, b in path)
+        for a, b in path:
+            room[a][b] -= least
+            room[b][a] += least
+        value += least
+    return value, set(before), set(reach(sink, True))
+
+
+def disjoint_paths(adj, cost: dict[int, float], source: int, sink: int, k: int) -> list[list[int]]:
+    """At most k paths from source to sink that share no inner node, of least total cost of the nodes
+    entered, as many as there are: by shortest augmenting paths in the graph of split nodes."""
+    flow: dict[int, tuple[int | None, int | None]] = {}  # inner node: the nodes before and after it on its path
+    heads: set[int] = set()
+    count = 0
+    while count < k:
+        # States (node, side): side 0 on entry, 1 on exit; Bellman-Ford, as undone steps have negative cost.
+        dist, before, todo = {(source, 1): 0.0}, {(source, 1): None}, deque([(source, 1)])
+        while todo:
+            x, side = todo.popleft()
+            steps = []
+            if side == 1:
+                for y in adj[x]:
+                    if y == source or (y in flow and flow[y][0] == x) or (x == source and y == sink and sink in heads):
+                        continue
+                    steps.append(((y, 0), cost[y]))
+                if x in flow:
+                    steps.append(((x, 0), 0.0))
+            elif x != sink:
+                if x not in flow:
+                    steps.append(((x, 1), 0.0))
+                elif flow[x][0] != source:
+                    steps.append(((flow[x][0], 1), -cost[x]))
+            for to, c in steps:
+                if dist[(x, side)] + c < dist.get(to, float("inf")) - 1e-12:
+                    dist[to], before[to] = dist[(x, side)] + c, (x, side)
+                    todo.append(to)
+        if (sink, 0) not in before:
+            break
+        used = {(a, b) for a, (_, b) in flow.items()} | {(source, y) for y in heads}
+        at = (sink, 0)
+        while before[at] is not None:
+            prev = before[at]
+            if prev[1] == 1 and at[1] == 0 and prev[0] != at[0]:
+                used.add((prev[0], at[0]))
+            elif prev[1] == 0 and at[1] == 1 and prev[0] != at[0]:
+                used.discard((at[0], prev[0]))
+            at = prev
+        heads = {b for a, b in used if a == source}
+        flow = {}
+        for a, b in used:
+            if b != sink:
+                flow[b] = (a, flow.get(b, (None, None))[1])
+            if a != source:
+                flow[a] = (flow.get(a, (None, None))[0], b)
+        count += 1
+    out = []
+    for x in sorted(heads):
+        path = [source, x]
+        while path[-1] != sink:
+            path.append(flow[path[-1]][1])
+        out.append(path)
+    return out

@@ -78,27 +78,32 @@ def neg_diamond(g: ScoredGraph) -> DataFrame:
 
 def mirrored_hubs(g: ScoredGraph, least_degree: int = 3) -> DataFrame:
     """Of non-positive nodes with the same neighbours, at least three, all but the best; ties keep the
-    lower id. Neighbour sets are compared by their size, sums and extremes of two hashes, which are
-    aggregated before the shuffle, so no set is ever collected."""
+    lower id. Candidates agree in size, extremes and hash sums of their neighbour sets, which are
+    aggregated before the shuffle, so no set is ever collected; the neighbours of each are then held
+    against those of the one that stays."""
+    arcs = symmetric(g.edges)
     h1, h2 = F.xxhash64("nbr"), F.xxhash64("nbr", F.lit(1))
-    sets = symmetric(g.edges).groupBy("id").agg(
-        F.count(F.lit(1)).alias("degree"), F.min("nbr").alias("lo"), F.max("nbr").alias("hi"), F.bit_xor(h1).alias("x1"), F.bit_xor(h2).alias("x2"),
-        F.min(h1).alias("m1"), F.max(h2).alias("m2"),
-    )
-    rank = F.row_number().over(Window.partitionBy("degree", "lo", "hi", "x1", "x2", "m1", "m2").orderBy(F.desc(F.col("is_root").cast("int")), F.desc("score"), "id"))
+    sets = arcs.groupBy("id").agg(F.count(F.lit(1)).alias("degree"), F.min("nbr").alias("lo"), F.max("nbr").alias("hi"), F.bit_xor(h1).alias("x1"), F.bit_xor(h2).alias("x2"))
+    same = Window.partitionBy("degree", "lo", "hi", "x1", "x2").orderBy(F.desc(F.col("is_root").cast("int")), F.desc("score"), "id")
     low = sets.where(F.col("degree") >= least_degree).join(g.nodes.select("id", "score", "is_root"), "id").where("score <= 0")
-    return low.withColumn("_k", rank).where("_k > 1 and not is_root").select("id")
+    alike = low.select("id", "is_root", "degree", F.row_number().over(same).alias("_k"), F.first("id").over(same).alias("stays")).where("_k > 1 and not is_root")
+    both = alike.join(arcs, "id").join(arcs.select(F.col("id").alias("stays"), "nbr"), ["stays", "nbr"], "left_semi")
+    return both.groupBy("id", "degree").agg(F.count(F.lit(1)).alias("c")).where("c = degree").select("id")
 
 
 def dominated_hubs(g: ScoredGraph) -> DataFrame:
-    """Non-positive u for which some v has a greater score and all of u's neighbours: common
-    neighbours are counted along paths u - x - v, and reach u's degree."""
-    n = node_degrees(g)
+    """Non-positive u for which some v has a greater score and all of u's neighbours. Such a v is a
+    neighbour of each of them, so it is looked for at the one of least degree alone; then all of u's
+    neighbours are held against v's."""
+    n = written(node_degrees(g), "degrees")
+    arcs = written(symmetric(g.edges), "arcs")
     low = n.where("score <= 0 and degree > 0 and not is_root").select(F.col("id").alias("u"), F.col("score").alias("su"), F.col("degree").alias("du"))
-    arcs = symmetric(g.edges)
-    steps = low.join(arcs.select(F.col("id").alias("u"), F.col("nbr").alias("x")), "u").join(arcs.select(F.col("id").alias("x"), F.col("nbr").alias("v")), "x").where("u <> v")
-    common = steps.groupBy("u", "v", "su", "du").agg(F.count(F.lit(1)).alias("c")).where("c = du")
-    return common.join(n.select(F.col("id").alias("v"), F.col("score").alias("sv")), "v").where("sv > su").select(F.col("u").alias("id")).distinct()
+    at = arcs.select(F.col("id").alias("u"), F.col("nbr").alias("x")).join(n.select(F.col("id").alias("x"), F.col("degree").alias("dx")), "x")
+    pivot = low.join(at, "u").groupBy("u", "su", "du").agg(F.min(F.struct("dx", "x")).alias("p")).select("u", "su", "du", F.col("p.x").alias("x"))
+    better = n.select(F.col("id").alias("v"), F.col("score").alias("sv"), F.col("degree").alias("dv"))
+    pairs = pivot.join(arcs.select(F.col("id").alias("x"), F.col("nbr").alias("v")), "x").where("u <> v").join(better, "v").where("sv > su and dv >= du").select("u", "v", "du")
+    near = pairs.join(arcs.select(F.col("id").alias("u"), F.col("nbr").alias("y")), "u").join(arcs.select(F.col("id").alias("v"), F.col("nbr").alias("y")), ["v", "y"], "left_semi")
+    return near.groupBy("u", "v", "du").agg(F.count(F.lit(1)).alias("c")).where("c = du").select(F.col("u").alias("id")).distinct()
 
 
 def pos_diamond(g: ScoredGraph) -> DataFrame:

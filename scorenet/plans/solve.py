@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 import pandas as pd
@@ -67,27 +68,28 @@ def solve(g: ScoredGraph, seconds: float = 10.0, reduce: bool = True) -> Solutio
     return _best(g, found)
 
 
-def _best(g: ScoredGraph, found: DataFrame) -> Solution:
+def _best(g: ScoredGraph, found: DataFrame, short: str = "TIME_LIMIT") -> Solution:
     each = found.select("comp", "value", "bound", "status").distinct()
     top = each.agg(F.max_by("comp", F.struct("value", -F.col("comp"))).alias("comp"), F.max("value").alias("score"), F.max("bound").alias("ub"), F.bool_and((F.col("status") == "OPTIMAL")).alias("all")).first()
     if top.comp is None:
         return Solution(g.nodes.select("id").limit(0), g.spark.createDataFrame([(0.0, 0.0, "OPTIMAL")], "score double, ub double, status string"))
     ids = found.where((F.col("comp") == top.comp) & F.col("id").isNotNull()).select("id")
     ub = max(top.ub, top.score)
-    status = "OPTIMAL" if top.all or ub <= top.score + 1e-9 * max(1.0, abs(top.score)) else "TIME_LIMIT"
+    status = "OPTIMAL" if top.all or ub <= top.score + 1e-9 * max(1.0, abs(top.score)) else short
     return Solution(written(g.originals(ids), "module"), g.spark.createDataFrame([(top.score, ub, status)], "score double, ub double, status string"))
 
 
-def monte_carlo(g: ScoredGraph, draws: int = 20, strategy: str = "random", reduce: bool = True) -> Solution:
-    """The best tree optimum over ``draws`` random spanning trees of each component. The upper bound is
-    the sum of a component's positive scores."""
+def monte_carlo(g: ScoredGraph, draws: int = 20, strategy: str = "random", reduce: bool = True, seconds: float | None = None, hubs: bool = False) -> Solution:
+    """The best tree optimum over ``draws`` random spanning trees of each component, or as many as take
+    ``seconds``, one at least. The upper bound is the sum of a component's positive scores; a value that
+    does not reach it is called HEURISTIC. ``hubs`` also samples negative hubs."""
     if reduce:
         g = reduced(g)
 
     def run(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         w = dict(zip(nodes["id"], nodes["score"], strict=True))
         roots = frozenset(nodes.loc[nodes["is_root"], "id"])
-        value, ids = local.monte_carlo(w, list(zip(edges["u"], edges["v"], strict=True)), roots, strategy, range(draws))
+        value, ids = local.monte_carlo(w, list(zip(edges["u"], edges["v"], strict=True)), roots, strategy, range(draws), time.monotonic() + seconds if seconds else None, hubs)
         bound = sum(x for x in w.values() if x > 0)
         return _rows(int(nodes["comp"].iloc[0]), ids, value, bound, "OPTIMAL" if value >= bound else "HEURISTIC")
 
@@ -97,7 +99,7 @@ def monte_carlo(g: ScoredGraph, draws: int = 20, strategy: str = "random", reduc
 
         comp = components(g)
         part = induced(g, written(comp.join(g.nodes.where("is_root").select("id").join(comp, "id").select("comp"), "comp", "left_semi").select("id"), "keep"))
-    return _best(g, written(_by_component(part, run), "draws"))
+    return _best(g, written(_by_component(part, run), "draws"), "HEURISTIC")
 
 
 def check_solution(g: ScoredGraph, ids: DataFrame, edges: DataFrame | None = None) -> DataFrame:

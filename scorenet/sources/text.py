@@ -85,14 +85,58 @@ def read_stp(spark: SparkSession, path: str) -> ScoredGraph:
 
 
 def read_stp_pcst(spark: SparkSession, path: str) -> tuple[ScoredGraph, float]:
-    """A prize-collecting instance as a scored network, and the sum of prizes. Each edge becomes a node
-    labelled "u--v" that weighs minus its cost; roots have no prize."""
+    """A prize-collecting instance as a scored network (``pcst_graph``), and the sum of prizes; roots
+    have no prize. An edge without a cost costs nothing."""
+    from scorenet.plans.pcst import pcst_graph
+
     x = parse_stp(_whole(spark, path))
     roots = set(x["roots"])
-    nodes = [(i, str(i), x["terminals"].get(i, 0.0), i in roots) for i in range(1, x["n"] + 1)]
-    mids = [(x["n"] + 1 + k, f"{u}--{v}", -(c or 0.0), False) for k, (u, v, c) in enumerate(x["edges"])]
-    edges = [p for (i, _, _, _), (u, v, _) in zip(mids, x["edges"], strict=True) for p in ((i, u), (i, v))]
-    return ScoredGraph.of(spark.createDataFrame(nodes + mids, "id long, label string, score double, is_root boolean"), spark.createDataFrame(edges, "u long, v long")), sum(x["terminals"].values())
+    nodes = [(i, x["terminals"].get(i, 0.0), i in roots) for i in range(1, x["n"] + 1)]
+    edges = [(u, v, c or 0.0) for u, v, c in x["edges"]]
+    g = pcst_graph(spark.createDataFrame(nodes, "id long, prize double, is_root boolean"), spark.createDataFrame(edges, "u long, v long, cost double"))
+    return g, sum(v for i, v in x["terminals"].items() if i not in roots)
+
+
+def read_dat(spark: SparkSession, path: str) -> ScoredGraph:
+    """A network from a .dat file: a line that starts with ``node``, a heading, rows (number from 0, x, y,
+    weight); a line that starts with ``link``, a heading, rows (number, node, node). Ids are the numbers
+    and one, as STP files count from 1. A node out of turn is an error."""
+    nodes, edges, section, skip = [], [], "", False
+    for line in re.split(r"\r\n|\r|\n", _whole(spark, path)):
+        w = line.split()
+        if line.startswith(("node", "link")):
+            section, skip = line[:4], True
+        elif skip:
+            skip = False
+        elif w and section == "node":
+            if int(w[0]) != len(nodes):
+                raise ValueError(f"node {w[0]} out of turn")
+            nodes.append((len(nodes) + 1, float(w[3])))
+        elif w and section == "link":
+            edges.append((int(w[1]) + 1, int(w[2]) + 1))
+    return ScoredGraph.of(spark.createDataFrame(nodes, "id long, score double"), spark.createDataFrame(edges, "u long, v long"))
+
+
+#: The fields of a run's log that a summary row has, in order.
+RUN_FIELDS = ("Name", "Problem", "Program", "Threads", "Time", "Dual", "Primal")
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, problem, program, threads, time, dual, primal): one row for each run log at ``path``,
+    the first value of each field as text, quotes kept; null where a log lacks it."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.split(F.trim("value"), r"\s+").alias("w"))
+    pick = [F.min(F.when(F.col("w")[0] == f, F.get("w", F.lit(1)))).alias(f.lower()) for f in RUN_FIELDS]
+    return lines.groupBy("file").agg(*pick)
+
+
+def toy_graphs(spark: SparkSession) -> tuple[ScoredGraph, ScoredGraph]:
+    """Two small networks for trials: eight nodes with ten edges, and a path of three nodes."""
+    # Scores by id from 1, and edges.
+    eight = [5, -4, -5, 30, -5, -15, 10, 10]
+    ten = [(1, 2), (2, 3), (1, 3), (3, 4), (2, 4), (4, 6), (3, 5), (6, 8), (6, 7), (5, 6)]
+    three, two = [5, -1, 5], [(1, 2), (3, 2)]
+    make = lambda w, e: ScoredGraph.of(spark.createDataFrame(list(enumerate(map(float, w), 1)), "id long, score double"), spark.createDataFrame(e, "u long, v long"))
+    return make(eight, ten), make(three, two)
 
 
 def read_solution(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -46,9 +46,24 @@ def node_list(g: ScoredGraph) -> DataFrame:
     return _numbered(g.nodes.select(_key(F.col("id")).alias("key"), F.concat_ws(" ", "id", F.col("score").cast("string"), "label", F.col("pval").cast("string")).alias("value")))
 
 
+def numbered_ids(g: ScoredGraph) -> DataFrame:
+    """(id, score, k): nodes numbered from 1 in order of id. Range partitions are sorted and counted, so
+    no task gets them all; their number bounds what is summed up on the driver."""
+    from scorenet.storage import written
+
+    rows = written(g.nodes.select("id", "score").repartitionByRange("id").withColumn("p", F.spark_partition_id()), "by_id")
+    sizes = {r.p: r["count"] for r in rows.groupBy("p").count().collect()}
+    before, n = [], 0
+    for p in sorted(sizes):
+        before.append((p, n))
+        n += sizes[p]
+    starts = F.broadcast(g.spark.createDataFrame(before, "p int, n long"))
+    return rows.join(starts, "p").select("id", "score", (F.col("n") + F.row_number().over(Window.partitionBy("p").orderBy("id"))).alias("k"))
+
+
 def stp(g: ScoredGraph, name: str = "network") -> DataFrame:
     """A weighted STP file; nodes are numbered from 1 in order of id."""
-    ids = g.nodes.select("id", "score", F.row_number().over(Window.orderBy("id")).alias("k"))
+    ids = numbered_ids(g)
     edges = g.edges.join(ids.select(F.col("id").alias("u"), F.col("k").alias("a")), "u").join(ids.select(F.col("id").alias("v"), F.col("k").alias("b")), "v")
     count = lambda df, w: df.agg(F.concat(F.lit(w + " "), F.count(F.lit(1))).alias("value")).select(F.lit("").alias("key"), "value")
     return _numbered(
@@ -76,3 +91,47 @@ def solution(g: ScoredGraph, ids: DataFrame) -> DataFrame:
 def save(lines: DataFrame, path: str) -> None:
     """Write the lines in order, as one file: a file of one network."""
     lines.orderBy("part", "key").select("value").coalesce(1).write.text(path)
+
+
+def comment_section(name: str, problem: str, program: str, version: str) -> list[str]:
+    return ["SECTION Comment", f"Name {name}", f'Problem "{problem}"', f'Program "{program}"', f'Version "{version}"', "End", ""]
+
+
+def run_section(threads: int, seconds: float, primal: float, dual: float | None = None, trace: list[tuple[float, float]] = ()) -> list[str]:
+    """The run of a solver: better solutions as they were found, then threads, time, bound if there is
+    one, and value."""
+    found = ["SECTION Solutions", *(f"Solution {t:g} {v:.10g}" for t, v in trace), "End", ""] if trace else []
+    return [*found, "SECTION Run", f"Threads {threads}", f"Time {seconds:g}", *([] if dual is None else [f"Dual {dual:.10g}"]), f"Primal {primal:.10g}", "End", ""]
+
+
+def edge_list(g: ScoredGraph, blocks: DataFrame | None = None) -> DataFrame:
+    """One line for each edge: the ends' labels with "(pp)" between, and the block that it lies in if
+    ``blocks`` (comp, block, u, v) are given."""
+    label = g.nodes.select("id", "label")
+    rows = g.edges.join(label.select(F.col("id").alias("u"), F.col("label").alias("a")), "u").join(label.select(F.col("id").alias("v"), F.col("label").alias("b")), "v")
+    text = F.concat_ws(" ", "a", F.lit("(pp)"), "b")
+    if blocks is not None:
+        rows = rows.join(blocks.select("u", "v", "comp", "block"), ["u", "v"], "left")
+        text = F.concat(text, F.lit("\t"), "comp", F.lit("."), "block")
+    return _numbered(rows.select(F.concat(_key(F.col("u")), _key(F.col("v"))).alias("key"), text.alias("value")))
+
+
+def lgf(g: ScoredGraph) -> DataFrame:
+    """The network in the LEMON graph format: nodes with label and score, edges by the nodes' ids."""
+    node = F.concat_ws("\t", "id", F.concat(F.lit('"'), "label", F.lit('"')), F.col("score").cast("string"))
+    edge = F.concat_ws("\t", F.col("u").cast("string"), F.col("v").cast("string"))
+    return _numbered(
+        _line(g, "@nodes"), _line(g, "label\tname\tscore"), g.nodes.select(_key(F.col("id")).alias("key"), node.alias("value")),
+        _line(g, "@edges"), _line(g, "\t\t-"), g.edges.select(F.concat(_key(F.col("u")), _key(F.col("v"))).alias("key"), edge.alias("value")),
+    )
+
+
+def solution_lines(g: ScoredGraph, ids: DataFrame, score: float) -> DataFrame:
+    """The module as comments: its score, then a line for each node with label and score."""
+    own = g.nodes.join(ids.select("id"), "id", "left_semi")
+    return _numbered(_line(g, f"// Score: {score:.10g}"), own.select(_key(F.col("id")).alias("key"), F.concat(F.lit("// "), "label", F.lit(" "), F.col("score").cast("string")).alias("value")))
+
+
+def rows_as_lines(rows: DataFrame, *columns: str) -> DataFrame:
+    """Any table as lines of its columns, in their order: hubs, classes, paths, block-cut trees."""
+    return _numbered(rows.select(F.concat_ws("\t", *(F.lpad(F.col(c).cast("string"), 20, "0") for c in columns)).alias("key"), F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns)).alias("value")))

@@ -7,7 +7,7 @@ from scorenet import queries as q
 from scorenet.plans import local
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("region", "nation", "customer", "supplier", "part", "lineitem", "events")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
 @pytest.mark.parametrize("name", sorted(q.ORACLES))
@@ -48,8 +48,28 @@ def test_cut_node_pays_for_two_gains():
 
 
 def test_spanning_forest(spark):
-    edges = [(r.u, r.v) for r in q._graph(spark, SF, False).edges.collect()]
+    edges = [(r.u, r.v) for r in q._graph(spark, SF, "dense").edges.collect()]
     cost = {e: e[0] * 7 % 101 + e[1] % 13 for e in edges}
     tree = local.spanning_tree({x for e in edges for x in e}, edges, cost)
     got = q.msf_weight(spark, SF).first()
     assert (got.weight, got.n_edges) == (sum(cost[e] for e in tree), len(tree))
+
+
+@pytest.mark.parametrize("name", ["induced_subgraph", "pos_leaf_sum", "pos_edge_contract", "neg_chain_contract", "neg_circuit", "neg_diamond", "mirrored_hubs", "pos_diamond", "dominated_hubs"])
+def test_rules_fire(spark, name):
+    least = 1 if name == "pos_diamond" else 20  # both hubs of few customers are negative and all orders positive
+    assert q.QUERIES[name](spark, SF).limit(least).count() == least
+
+
+def test_random_and_toy_graphs(spark):
+    from scorenet.operators import analysis
+    from scorenet.plans import solve
+    from scorenet.sources import text
+
+    g = analysis.random_graph(spark, 60, 300, 4)
+    assert g.nodes.count() == 60 and 220 < g.edges.count() < 380
+    assert g.edges.where("u < 1 or v > 60 or u >= v").count() == 0
+    full = analysis.random_graph(spark, 9, 36)
+    assert full.edges.count() == 36
+    eight, three = text.toy_graphs(spark)
+    assert [solve.solve(x, reduce=False).bounds.first().score for x in (eight, three)] == [36.0, 9.0]
