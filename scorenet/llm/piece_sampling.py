@@ -6,7 +6,8 @@ of all paths to each place of a unit once for all its occurrences; backward samp
 occurrence's pieces from its end. Draws come from a counter-based generator keyed by the row's key, the
 unit's number in the text and the step, so they do not depend on partitions, batches or retries.
 
-A piece's weight is a power of its rank in the vocabulary. Characters without a piece, and the mark
+A piece's weight is a power of its rank in the vocabulary: the scores of a vocabulary made by merges are
+just the ranks of the merges, no probabilities, while frequencies fall about as powers of ranks. Characters without a piece, and the mark
 that stands for a space where it occurs in a text itself, become bytes, so decoding restores any text.
 """
 
@@ -22,13 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorenet.llm.backoff import KeyTable, mixed
-from scorenet.llm.text_units import file_bytes, rows_of
+from scorenet.llm.text_units import file_bytes, give_back, rows_of
 
 SPACE = 0x2581  # the mark for a space in pieces
 OWN_MARK = 0x110000  # that mark in a text, which no piece has
 UNIT = re.compile(r" *[^ \n]+|\n| +")
 POWER = 1.0
 BYTE_LOG = -12.0
+CHUNK_CHARS = 4_000_000  # of texts whose distinct units are filtered together
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,13 +136,14 @@ class Lattice:
         self.begin, self.ids = begin, ids
         new = np.flatnonzero(np.r_[True, end[1:] != end[:-1]]) if len(end) else np.zeros(0, np.int64)
         n = np.diff(np.r_[new, len(end)])
-        run = np.cumsum(share)
-        run = run - np.repeat(np.r_[0.0, run[new[1:] - 1]] if len(new) else run[:0], n)
+        run = share.copy()  # summed up within each node, so that no draw depends on what else is there
+        for k in range(1, int(n.max(initial=0))):
+            more = new[n > k] + k
+            run[more] += run[more - 1]
+        upto = np.minimum(np.floor(run * 2.0**32), 2.0**32).astype(np.int64)
         if len(new):
-            run[np.r_[new[1:], len(end)] - 1] = 1.0
-        self.sums = end + np.minimum(run, 1.0)  # node plus cumulative probability: sorted over all
-        self.from_edge = np.zeros(len(ch) + 2, np.int64)
-        self.from_edge[1:] = np.searchsorted(end, np.arange(len(ch) + 1), side="right")
+            upto[np.r_[new[1:], len(end)] - 1] = 1 << 32
+        self.sums = (end.astype(np.int64) << 32) + upto  # node, then cumulative probability: sorted over all
 
     def sample(self, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(edges in text order, edges of each occurrence) for occurrences of units with their keys."""
@@ -151,9 +154,8 @@ class Lattice:
         count = np.zeros(len(unit), np.int64)
         with np.errstate(over="ignore"):
             while len(live):
-                u = (mixed(key[live] + np.uint64(k) * _B) >> np.uint64(11)).astype(float) * 2.0**-53
-                edge = np.searchsorted(self.sums, node[live] + u, side="right")
-                edge = np.clip(edge, self.from_edge[node[live]], self.from_edge[node[live] + 1] - 1)
+                u = (mixed(key[live] + np.uint64(k) * _B) >> np.uint64(32)).astype(np.int64)
+                edge = np.searchsorted(self.sums, (node[live].astype(np.int64) << 32) + u, side="right")
                 steps.append((live, edge))
                 node[live] = self.begin[edge]
                 count[live] += 1
@@ -237,7 +239,7 @@ def encode(docs: DataFrame, model: str, seed: int = 0, id_col: str = "doc_id", t
             lo = 0
             while lo < len(texts):  # chunks of a bounded number of characters
                 hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size < 2_000_000):
+                while hi < len(texts) and (hi == lo or size < CHUNK_CHARS):
                     size += len(texts[hi] or "")
                     hi += 1
                 got = sample_ids(texts[lo:hi], ids[lo:hi], pieces, seed)
@@ -245,6 +247,7 @@ def encode(docs: DataFrame, model: str, seed: int = 0, id_col: str = "doc_id", t
                 ends = np.r_[0, np.cumsum([len(g) for g in got])].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "ids"])
                 lo = hi
+        give_back()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
