@@ -105,24 +105,22 @@ def tile_pairs(a: np.ndarray, b: np.ndarray, least: float, step: int = STEP):
 def cosine_classes(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", cell_rows: int = CELL_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row: links are pairs with cosine >= ``least``.
 
-    Null, zero and empty vectors, those that hold null or non-finite components, and those whose
-    length is not the most common one link with nothing: no links, their own id as component, kept.
-    Repeated vectors link with each other. A null id is kept null and lends its class no id; such a
-    row is not kept if linked. An empty table gives an empty result; other columns are not read. No
-    pair is ever written: each task returns counts of links and a forest of its cell."""
-    spark = vectors.sparkSession
+    Null, zero and empty vectors, and those that hold null or non-finite components link with nothing:
+    no links, their own id as component, kept. Vectors of different lengths don't link; each length that
+    there is gets axes and jobs of its own. Repeated vectors link with each other. A null id is kept null
+    and lends its class no id; such a row is not kept if linked. An empty table gives an empty result;
+    other columns are not read. No pair is ever written: each task returns counts of links and a forest
+    of its cell."""
     double = dict(vectors.dtypes)[vec_col] == "array<double>"
     kind = np.float64 if double else np.float32
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>" if double else "array<float>").alias("v"))
-    common = rows.where("size(v) > 0").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    width = common.d if common else 1
 
     def pack(batches):
         for b in batches:
             held = []
             for v in b.column(1).to_pylist():
                 x = None
-                if v is not None and len(v) == width and None not in v:
+                if v and None not in v:
                     x = np.array(v, kind)
                     if not (np.isfinite(x).all() and x.any()):
                         x = None
@@ -133,7 +131,24 @@ def cosine_classes(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_i
     packed = written(rows.mapInArrow(pack, "vec_id long, key binary, vec binary"), "vectors")
     classes = packed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec"))
     classes = written(classes, "classes")
-    count = classes.count()
+    size = np.dtype(kind).itemsize
+    lengths = classes.groupBy(F.octet_length("vec").alias("bytes")).agg(F.count(F.lit(1)).alias("n")).orderBy("bytes").collect()  # a row for each length of vectors
+    parts = [_known(classes.where(F.octet_length("vec") == r.bytes), r.n, r.bytes // size, kind, least, cell_rows, tile_rows) for r in lengths]
+    own = packed.select("vec_id", "key")
+    alone = own.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    if parts:
+        known = parts[0]
+        for p in parts[1:]:
+            known = known.unionByName(p)
+        hot = known.where(F.col("n") >= max(2, sum(r.n for r in lengths) // HOT_SHARE)).drop("n")
+        alone = join_hot(own.where("key is not null"), known.drop("n"), "key", hot).select("vec_id", "n_links", "component_id").unionByName(alone)
+    return alone.select("vec_id", "n_links", "component_id", (F.col("vec_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+
+
+def _known(classes: DataFrame, count: int, width: int, kind: type, least: float, cell_rows: int, tile_rows: int) -> DataFrame:
+    """(key, n, n_links, component_id) of classes (key, rep, n, vec) of vectors of one length."""
+    if count == 1:
+        return classes.select("key", "n", (F.col("n") - 1).alias("n_links"), F.col("rep").alias("component_id"))
 
     def moments(batches):
         total = np.zeros((width, width))
@@ -191,18 +206,17 @@ def cosine_classes(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_i
         some = links > 0
         return pa.table([pa.array(rep[some]), pa.array(links[some]), pa.array(rep[label[some]])], names=["rep", "links", "root"])
 
+    # Work goes by pairs, not bytes: a number of partitions of its own keeps few bytes from meeting in one task.
+    k = F.ceil(F.col("count") / tile_rows)
+    tiles = cells.groupBy("cell").count().agg(F.sum(k * (k + 1) / 2)).first()[0] or 1
+    tasks = int(min(max(tiles, 1), 4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = parts.repartition(max(tasks, 1), "cell", "i", "j")
     found = written(parts.groupBy("cell", "i", "j").applyInArrow(compare, "rep long, links long, root long"), "found")
     comps = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v"))).select(F.col("id").alias("rep"), "comp")
     sums_ = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = classes.select("key", "rep", "n").join(sums_, "rep", "left").join(comps, "rep", "left")
     known = known.select("key", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("comp", "rep").alias("component_id"))
-    known = written(known, "known")
-    hot = known.where(F.col("n") >= max(2, count // HOT_SHARE)).drop("n")
-    own = packed.select("vec_id", "key")
-    out = join_hot(own.where("key is not null"), known.drop("n"), "key", hot).select("vec_id", "n_links", "component_id")
-    alone = own.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    out = out.unionByName(alone)
-    return out.select("vec_id", "n_links", "component_id", (F.col("vec_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+    return written(known, "known")
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,10 +147,10 @@ def test_simhash(spark, odd, none):
 def test_embeddings(spark):
     nan, inf = float("nan"), float("inf")
     kinds = "vec_id long, embedding array<float>, key long, vec string, n int"
-    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.01]), (2, [2.0, 0.01]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, []), (10, [1.0, 0.0, 0.0]), (11, [0.0, 1e-30])]
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.01]), (2, [2.0, 0.01]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, []), (10, [1.0, 0.0, 0.0]), (11, [0.0, 1e-30]), (12, [3.0, 0.0, 1.0, 1.0]), (13, [6.0, 0.0, 2.0, 2.0])]
     frame = spark.createDataFrame([(*r, 1, "v", 2) for r in rows], kinds)
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.cosine_classes(frame).collect())
-    assert got == sorted([(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), *((i, 0, i, True) for i in range(4, 12))])
+    assert got == sorted([(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), *((i, 0, i, True) for i in range(4, 12)), (12, 1, 12, True), (13, 1, 12, False)])
     assert embedding_dedup.cosine_classes(frame.limit(0)).count() == 0
 
 
