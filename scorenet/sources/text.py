@@ -1,36 +1,39 @@
 """Networks from text: label lists, STP files and solution files.
 
-Section files are small next to the tables they become; each is read whole, by one task, and checked."""
+Label lists are read by line. Section files are one instance each; they are read whole and checked."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorenet.graph import ScoredGraph
+from scorenet.storage import written
 
 NUMBER = r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?"
 STP_MAGIC = "33D32945"  # fixed value of the format
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n, t): numbered lines without end marks (LF, CRLF or CR), empty and # lines left out, as tokens."""
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("n", "line"))
-    return rows.where("line <> '' and not startswith(line, '#')").select("n", F.filter(F.split("line", r"\s+"), lambda x: x != "").alias("t"))
+    """(id, at, t): lines, ended by LF, CRLF or CR, as tokens; empty and # lines are left out. ``at`` is
+    their order, the split's place in the file and the line's in the split; ids are unique, and ascend in
+    that order within a split. Large files are read by many tasks."""
+    place = F.monotonically_increasing_id()
+    rows = spark.read.text(path).select("value", place.alias("id"), F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), place.alias("n")).alias("at"))
+    rows = rows.where("trim(value) <> '' and not startswith(value, '#')")
+    return rows.select("id", "at", F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("t"))
 
 
 def read_labels(spark: SparkSession, nodes_path: str, edges_path: str, pvalues: bool = False) -> ScoredGraph:
     """A node list (label number) and an edge list (label label). The first of repeated labels counts; a
     missing or non-numeric number, or an edge line of one token, is an error; edges to unknown labels
-    and self-loops are dropped. Ids number the labels in order of appearance."""
+    and self-loops are dropped."""
     lines = _lines(spark, nodes_path)
     value = F.when((F.size("t") >= 2) & F.regexp_like(F.get("t", F.lit(1)), F.lit(f"^{NUMBER}$")), F.get("t", F.lit(1)).cast("double")).otherwise(F.raise_error(F.lit("malformed node line")).cast("double"))
-    first = F.row_number().over(Window.partitionBy("label").orderBy("n"))
-    nodes = lines.select("n", F.get("t", F.lit(0)).alias("label"), value.alias("x")).withColumn("_k", first).where("_k = 1")
-    nodes = nodes.select(F.col("n").cast("long").alias("id"), "label", "x")
+    rows = lines.select("id", "at", F.get("t", F.lit(0)).alias("label"), value.alias("x"))
+    nodes = written(rows.groupBy("label").agg(F.min_by(F.struct("id", "x"), "at").alias("r")).select("r.id", "label", "r.x"), "labels")
     nodes = nodes.select("id", "label", *([F.lit(None).cast("double").alias("score"), F.col("x").alias("pval")] if pvalues else [F.col("x").alias("score")]))
     pair = _lines(spark, edges_path).select(F.get("t", F.lit(0)).alias("a"), F.when(F.size("t") >= 2, F.get("t", F.lit(1))).otherwise(F.raise_error(F.lit("malformed edge line")).cast("string")).alias("b"))
     ids = nodes.select("id", "label")

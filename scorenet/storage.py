@@ -1,7 +1,7 @@
 """Tables and files that every executor can reach.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in
-tests, a folder of this machine is made and set as the checkpoint folder.
+The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset and Spark
+runs in this one process, as in tests, a folder of this machine is made and set as the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, set to a new temporary one where unset."""
+    """The checkpoint folder of the session, set to a new temporary one where unset in local mode; on a
+    cluster executors would not see each other's files there, which raises ``ValueError``."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not is_local(spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="scorenet-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(own)
@@ -27,6 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A path below the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/scorenet/{uuid.uuid4().hex}/{tag}"

@@ -35,3 +35,22 @@ def test_stp_round_trip_and_pcst(spark, tmp_path):
     back = text.read_stp(spark, str(tmp_path / "b.stp"))
     assert (back.nodes.count(), back.edges.count()) == (3, 2)
     assert lines(writers.module_table(g, g.nodes, got.ids))[-1] == "#total score\t11.0"
+
+
+def test_first_of_repeated_labels_and_splits(spark, tmp_path):
+    (tmp_path / "n").write_text("".join(f"n{i % 300} {i}\n" for i in range(900)))
+    (tmp_path / "e").write_text("".join(f"n{i} n{i + 1}\n" for i in range(299)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        g = text.read_labels(spark, str(tmp_path / "n"), str(tmp_path / "e"))
+        assert {r.label: r.score for r in g.nodes.collect()} == {f"n{i}": float(i) for i in range(300)}
+        assert g.edges.count() == 299
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_shared_folder():
+    from scorenet.storage import is_local
+
+    assert is_local("local[8]") and is_local("local") and not is_local("local-cluster[2,1,900]") and not is_local("spark://x:7077")
