@@ -61,11 +61,16 @@ class OutOfTime(Exception):
 
 class Search:
     """Branch and bound for the best connected set that holds a root. A state is a connected set, the
-    forbidden nodes and the total; its bound adds all positive nodes still reachable."""
+    forbidden nodes and the total; its bound adds all positive nodes still reachable, each less its share
+    of a node that it must be joined by: a negative node's cost is shared by its positive neighbours, and
+    a positive node with negative neighbours alone needs one of them."""
 
     def __init__(self, adj, weight, must=frozenset(), deadline: float | None = None):
         self.adj, self.w, self.must, self.deadline = adj, weight, frozenset(must), deadline
         self.best, self.best_set, self.open_bound = float("-inf"), None, float("-inf")
+        wanted = {v for v in adj if weight[v] > 0 or v in self.must}
+        #: What a node costs each of its wanted neighbours at least; nothing if it is wanted itself.
+        self.share = {v: 0.0 if v in wanted else -weight[v] / max(1, len(adj[v] & wanted)) for v in adj}
 
     def _reach(self, inside: set, forbidden: set) -> tuple[float, set]:
         seen, todo, gain = set(inside), list(inside), 0.0
@@ -74,8 +79,10 @@ class Search:
                 if y not in seen and y not in forbidden:
                     seen.add(y)
                     todo.append(y)
-                    if self.w[y] > 0 or y in self.must:
-                        gain += self.w[y]
+        for y in seen - inside:
+            if y in self.must or self.w[y] > 0:
+                rest = self.w[y] - min(0.0 if x in inside else self.share[x] for x in self.adj[y] if x in seen)
+                gain += rest if y in self.must else max(0.0, rest)
         return gain, seen
 
     def run(self, root, forbidden=frozenset()) -> None:

@@ -102,6 +102,13 @@ def monte_carlo(g: ScoredGraph, draws: int = 20, strategy: str = "random", reduc
     return _best(g, written(_by_component(part, run), "draws"), "HEURISTIC")
 
 
+def solve_tables(nodes: DataFrame, edges: DataFrame, seconds: float = 10.0) -> DataFrame:
+    """``nodes`` (id, score, perhaps label and is_root) with ``in_solution``: whether the best module of
+    the network with ``edges`` (u, v) has them."""
+    ids = solve(ScoredGraph.of(nodes, edges), seconds).ids.select("id", F.lit(True).alias("_in"))
+    return nodes.join(ids, "id", "left").select(*nodes.columns, F.coalesce("_in", F.lit(False)).alias("in_solution"))
+
+
 def check_solution(g: ScoredGraph, ids: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """(unknown_nodes, unknown_edges, missing_roots, n_components, valid): nodes and edges must be the
     network's, roots be there and the module hang together. Without ``edges`` all induced ones count."""

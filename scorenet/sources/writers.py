@@ -34,9 +34,15 @@ def module_table(g: ScoredGraph, originals: DataFrame, module: DataFrame) -> Dat
     return _numbered(_line(g, "#label\tscore"), rows.select(_key(F.col("id")).alias("key"), F.concat_ws("\t", "label", F.col("x").cast("string")).alias("value")), total.select(F.lit("").alias("key"), F.concat(F.lit("#total score\t"), F.col("s").cast("string")).alias("value")))
 
 
-def graphviz(g: ScoredGraph) -> DataFrame:
-    """The network for drawing; boxes are negative nodes."""
-    node = F.concat(F.lit("\t"), "id", F.lit(' [label="'), "label", F.lit("\\n"), F.col("score").cast("string"), F.lit('"'), F.when(F.col("score") < 0, F.lit(",shape=box")).otherwise(F.lit("")), F.lit("]"))
+def graphviz(g: ScoredGraph, module: DataFrame | None = None) -> DataFrame:
+    """The network for drawing, or its part that a ``module`` (id) induces; boxes are negative nodes, and
+    p-values stand under the scores where there are any."""
+    from scorenet.operators.topology import induced
+
+    if module is not None:
+        g = induced(g, module)
+    text = F.concat_ws("\\n", "label", F.col("score").cast("string"), F.col("pval").cast("string"))
+    node = F.concat(F.lit("\t"), "id", F.lit(' [label="'), text, F.lit('"'), F.when(F.col("score") < 0, F.lit(",shape=box")).otherwise(F.lit("")), F.lit("]"))
     total = g.nodes.agg(F.concat(F.lit('\tlabel="Total weight: '), F.coalesce(F.sum("score"), F.lit(0.0)).cast("string"), F.lit('"')).alias("value")).select(F.lit("").alias("key"), "value")
     edges = g.edges.select(F.concat(_key(F.col("u")), _key(F.col("v"))).alias("key"), F.concat(F.lit("\t"), "u", F.lit(" -- "), "v").alias("value"))
     return _numbered(_line(g, "graph G {"), total, g.nodes.select(_key(F.col("id")).alias("key"), node.alias("value")), edges, _line(g, "}"))

@@ -54,3 +54,13 @@ def test_shared_folder():
     from scorenet.storage import is_local
 
     assert is_local("local[8]") and is_local("local") and not is_local("local-cluster[2,1,900]") and not is_local("spark://x:7077")
+
+
+def test_drawing_and_tables(spark):
+    toy, three = text.toy_graphs(spark)
+    drawn = lines(writers.graphviz(toy, toy.nodes.where("id in (4, 6, 7)").select("id")))
+    assert drawn[0] == "graph G {" and '\t6 [label="6\\n-15.0",shape=box]' in drawn and "\t4 -- 6" in drawn and "\t1 -- 2" not in drawn
+    got = solve.solve_tables(three.nodes.select("id", "score"), three.edges)
+    assert {r.id: r.in_solution for r in got.collect()} == {1: True, 2: True, 3: True}
+    assert lines(writers.solution_lines(three, three.nodes.select("id"), 9.0))[0] == "// Score: 9"
+    assert len(lines(writers.rows_as_lines(toy.nodes, "label", "score", "pval"))) == 8
