@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from scorenet.llm.text_units import join_hot
 from scorenet.operators.components import connected_components, merge_labels
-from scorenet.storage import written
+from scorenet.storage import dropped, written
 
 #: Most vectors that the axes, and the number of signs that make cells, go by; all are compared.
 FIT_ROWS, SIGN_ROWS = 100_000, 4_000
@@ -216,7 +216,9 @@ def _known(classes: DataFrame, count: int, width: int, kind: type, least: float,
     sums_ = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = classes.select("key", "rep", "n").join(sums_, "rep", "left").join(comps, "rep", "left")
     known = known.select("key", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("comp", "rep").alias("component_id"))
-    return written(known, "known")
+    known = written(known, "known")
+    dropped(cells, found)
+    return known
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

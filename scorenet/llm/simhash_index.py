@@ -23,7 +23,7 @@ from scorenet.llm.gray_index import GrayIndex, majority_bits
 from scorenet.llm.near_copies import near_copies
 from scorenet.llm.text_units import give_back, join_hot, lower_words, rows_by_size
 from scorenet.operators.components import connected_components, merge_labels
-from scorenet.storage import written
+from scorenet.storage import dropped, written
 
 HOT_SHARE = 1000
 
@@ -94,6 +94,7 @@ def near_links(reps: DataFrame, most: int, blocks: int, heavy: int = 20_000, lev
         many = keyed.groupBy("key").count().where(F.col("count") > heavy).select("key")
         many = written(many, "heavy")
         if many.isEmpty():
+            dropped(many)
             break
         # The whole difference is at most `most` bits, so one of most + 1 cuts of all bits agrees.
         cuts = block_bounds(parts + level)
@@ -103,7 +104,8 @@ def near_links(reps: DataFrame, most: int, blocks: int, heavy: int = 20_000, lev
         counts = hot.groupBy("key").count()
         if counts.where(F.col("count") > heavy).limit(1).count() and level == levels - 1:
             break
-        keyed = written(cold.unionByName(hot), "keyed")
+        before, keyed = keyed, written(cold.unionByName(hot), "keyed")
+        dropped(before, many)
 
     def link(batches):
         def ends(keys, ids, fps):
@@ -137,7 +139,9 @@ def near_links(reps: DataFrame, most: int, blocks: int, heavy: int = 20_000, lev
             yield ends(*(t.column(c).to_numpy() for c in ("key", "id", "fp")))
         give_back()
 
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(link, "u long, v long")
+    found = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(link, "u long, v long"), "links")
+    dropped(keyed)
+    return found
 
 
 def simhash_classes(docs: DataFrame, shingle: int = 3, most: int = 2, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,10 +155,11 @@ def simhash_classes(docs: DataFrame, shingle: int = 3, most: int = 2, blocks: in
     an empty result; other columns are not read."""
     fps = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
-    edges = written(near_links(reps, most, blocks or most + 1), "links")
+    edges = near_links(reps, most, blocks or most + 1)
     comps = connected_components(edges).withColumnRenamed("comp", "_comp")
     known = reps.join(comps, "id", "left").select("fp", F.coalesce("_comp", "id").alias("component_id"), "n")
     known = written(known, "members")
+    dropped(edges, reps)
     hot = known.where(F.col("n") >= max(2, fps.count() // HOT_SHARE)).drop("n")
     out = join_hot(fps, known.drop("n"), "fp", hot)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
