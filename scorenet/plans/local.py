@@ -55,6 +55,56 @@ def biconnected(edges: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     return out
 
 
+def separation_pairs(adj: dict[int, set[int]], deadline: float | None = None):
+    """(p, q, parts) for pairs p < q without which a biconnected graph falls apart, and the parts. Node by
+    node, the articulation points of what is left are found; out of time, no more are looked for."""
+    for p in sorted(adj):
+        if deadline and time.monotonic() > deadline:
+            return
+        blocks = biconnected([(u, v) for u in adj for v in adj[u] if u < v and p not in (u, v)])
+        count: dict[int, int] = defaultdict(int)
+        for b in blocks:
+            for x in {x for e in b for x in e}:
+                count[x] += 1
+        for q in sorted(x for x, n in count.items() if n > 1 and x > p):
+            left, parts = set(adj) - {p, q}, []
+            while left:
+                seen = {next(iter(left))}
+                todo = list(seen)
+                while todo:
+                    for y in adj[todo.pop()] & left - seen:
+                        seen.add(y)
+                        todo.append(y)
+                parts.append(seen)
+                left -= seen
+            yield p, q, parts
+
+
+def trimmed(adj: dict[int, set[int]], w: dict[int, float], keep: set[int], deadline: float | None = None) -> dict[int, set[int]]:
+    """A block without what no best set needs: of a part between two nodes that has no positive node and
+    none to keep, all but the cheapest path between the two, and that too if they are adjacent. A set
+    enters such a part just to join the two."""
+    gone: set[int] = set()
+    for p, q, parts in separation_pairs(adj, deadline):
+        if p in gone or q in gone:
+            continue
+        for part in parts:
+            part = part - gone
+            if not part or part & keep or any(w[x] > 0 for x in part):
+                continue
+            path: set[int] = set()
+            if q not in adj[p]:
+                inside = {x: adj[x] & (part | {p, q}) for x in part | {p, q}}
+                inside[p], inside[q] = inside[p] - {q}, inside[q] - {p}
+                dist, before = shortest_paths(inside, {x: -w[x] if x in part else 0.0 for x in inside}, p)
+                x = before.get(q) if q in dist else None
+                while x is not None and x != p:
+                    path.add(x)
+                    x = before[x]
+            gone |= part - path
+    return {x: adj[x] - gone for x in adj if x not in gone}
+
+
 class OutOfTime(Exception):
     pass
 
@@ -219,8 +269,8 @@ def solve_component(nodes: dict[int, float], edges: list[tuple[int, int]], roots
                     todo.append(j)
     for k in reversed(order):
         block, cut = found[k], parent[k]
-        sub = {x: adj[x] & block for x in block}
         need = must & block
+        sub = trimmed({x: adj[x] & block for x in block}, w, need | ({cut} - {None}), min(deadline, time.monotonic() + seconds / 20))
         if cut is None:
             if roots:
                 value, got, up = _rooted(sub, w, min(need), need, deadline)
@@ -232,7 +282,7 @@ def solve_component(nodes: dict[int, float], edges: list[tuple[int, int]], roots
                 better(value, whole(got))
             break
         if not roots:
-            rest = {x: sub[x] - {cut} for x in block if x != cut}
+            rest = {x: sub[x] - {cut} for x in sub if x != cut}
             value, got, up = _free(rest, w, deadline, best)
             if got:
                 better(value, whole(got))

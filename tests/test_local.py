@@ -110,3 +110,26 @@ def test_hub_sampling():
     got = local.hub_costs(nodes, edges, cost, 1)
     assert all(got[0, v] < 1e-3 for v in range(1, 6)) and got[1, 2] == cost[1, 2]
     assert local.monte_carlo(nodes, edges, hubs=True)[0] == 13.0
+
+
+def test_negative_parts_are_trimmed():
+    """Between 0 and 3 lie a part with a positive node, and one of four negative nodes with two paths."""
+    w = {0: 5.0, 3: 5.0, 1: 1.0, 2: -1.0, 4: -2.0, 5: -2.0, 6: -1.0, 7: -1.0}
+    edges = [(0, 1), (1, 2), (2, 3), (0, 4), (4, 5), (5, 3), (0, 6), (6, 7), (7, 3), (4, 6), (5, 7)]
+    adj = local.adjacency(edges)
+    assert (0, 3) in {(p, q) for p, q, _ in local.separation_pairs(adj)}
+    assert set(local.trimmed(adj, w, set())) == {0, 1, 2, 3, 6, 7}
+    assert set(local.trimmed(adj, w, {4})) == set(adj)
+    assert set(local.trimmed(local.adjacency([*edges, (0, 3)]), w, set())) == {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_trimming_keeps_the_optimum(seed):
+    rng = random.Random(100 + seed)
+    ring = [(v, (v + 1) % 9) for v in range(9)]
+    edges = sorted({tuple(sorted(e)) for e in ring} | {tuple(sorted(rng.sample(range(9), 2))) for _ in range(rng.randrange(4))})
+    nodes = {v: float(rng.choice([-4, -3, -2, -1, -1, 3, 6])) for v in range(9)}
+    adj = local.adjacency(edges)
+    small = local.trimmed(adj, nodes, set())
+    left = [(u, v) for u in small for v in small[u] if u < v]
+    assert best_of_all({v: nodes[v] for v in small}, left) == best_of_all(nodes, edges)
