@@ -14,6 +14,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +70,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
 
     Each whole text is encoded and ``end_id`` appended; null counts as empty and gives the end id
     alone. A sequence_id is the packing group and the sequence's number in it. Rows with equal id and
-    text fall in one group as separate documents. An empty table gives an empty result; other columns
+    text are separate documents, which go to groups by their place, but for the first of each chunk. An empty table gives an empty result; other columns
     are not read. Long documents send only lengths and checksums of their full sequences through the
     shuffle, and ids of the remainder."""
     spark = docs.sparkSession
@@ -81,12 +82,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
 
     def encode(batches):
         to_ids = encoder_for(data.value).encode_all
-        for ids, texts in rows_by_size(batches):
-            held = []
+        task = TaskContext.get().partitionId()
+        for chunk, (ids, texts) in enumerate(rows_by_size(batches)):
+            held, again = [], {}
             for i, got in zip(ids, to_ids(texts), strict=True):
                 got += tail
                 n, full = len(got) // 4, len(got) // size
-                g = zlib.crc32(struct.pack("<qI", i or 0, zlib.crc32(got))) % groups
+                own = struct.pack("<qI", i or 0, zlib.crc32(got))
+                again[own] = k = again.get(own, -1) + 1
+                g = zlib.crc32(own + (struct.pack("<3I", task, chunk, k) if k else b"")) % groups
                 for k in range(full):
                     part = got[k * size : (k + 1) * size]
                     held.append((g, i, k * capacity, capacity, zlib.crc32(part), n, part if with_ids else None))

@@ -162,6 +162,24 @@ def test_packing(odd, none):
     assert packing.pack(none, P.path("byte_bpe_50k.json"), 0).count() == 0
 
 
+def test_packing_of_one_row_many_times(spark, odd):
+    many = spark.range(3000).selectExpr("7L as doc_id", "'the same few words' as text")
+    rows = packing.pack(many, P.path("byte_bpe_50k.json"), 0, group_docs=50).collect()
+    assert sum(r.length for r in rows) == 3000 * rows[0].doc_tokens
+    groups = {r.sequence_id >> 32 for r in rows}
+    assert len(groups) > 40  # of sixty
+
+
+def test_stages_keep_columns(spark, odd, none):
+    """Stages that read a folder's labels, with extra columns named as their own."""
+    sf = "/root/testdata/sf0.001"
+    docs = documents(spark, [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + [(None, None, None), (-5, "", "en")])
+    left = kn_quality.stage(spark, docs, sf)
+    assert left.columns == docs.columns and 0 < left.count() < 62 and not {-5, None} & {r.doc_id for r in left.collect()}
+    pieces = packing.stage(spark, odd, sf)
+    assert {r.doc_id for r in pieces.collect()} == {None, 1, 2, 3, 5, 7} and packing.stage(spark, none, sf).count() == 0
+
+
 def test_html(spark):
     long = "<article>" + "<p>a &amp; b</p>" * 20_000 + "</article>"
     rows = [(1, None, None), (2, "u", ""), (2, "u", ""), (None, "v", "<p>x<b>y</b>"), (5, "w", long), (6, "w", "<nav>menu</nav>"), (7, "w", "<![x<!-- <a b='")]
