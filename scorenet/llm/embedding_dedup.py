@@ -223,3 +223,17 @@ def _known(classes: DataFrame, count: int, width: int, kind: type, least: float,
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine_classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: Pairwise cosines: for tables of some thousand vectors.
+ORACLE = {
+    "op8_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE list_count(embedding) = len(embedding) AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(id, x) AS (SELECT x, x FROM p UNION SELECT r.id, p.y FROM r JOIN p ON p.x = r.x),
+c AS (SELECT id, min(x) AS comp FROM r GROUP BY id), l AS (SELECT x AS id, count(*) AS n FROM p GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(comp, vec_id) AS component_id, coalesce(comp, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN c ON c.id = vec_id LEFT JOIN l ON l.id = vec_id
+"""
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scorenet.llm import chat_format, exact_dedup
+from scorenet.llm import chat_format, embedding_dedup, exact_dedup
 from scorenet.llm.chat_format import op4_chat_format
 from scorenet.llm.embedding_dedup import op8_embedding_dedup
 from scorenet.llm.exact_dedup import op1_exact_dedup
@@ -22,4 +22,4 @@ QUERIES = {
     )
 }
 
-ORACLES = {**exact_dedup.ORACLE, **chat_format.ORACLE}
+ORACLES = {**exact_dedup.ORACLE, **chat_format.ORACLE, **embedding_dedup.ORACLE}
