@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scorenet.graph import ScoredGraph
 from scorenet.operators.components import connected_components
+from scorenet.operators.ranking import numbered
 from scorenet.operators.topology import components
 from scorenet.plans import local
 from scorenet.plans.reduce import reduced
@@ -134,16 +135,13 @@ def check_solution(g: ScoredGraph, ids: DataFrame, edges: DataFrame | None = Non
 
 def permutation_null(g: ScoredGraph, times: int = 20, seed: int = 0, seconds: float = 5.0) -> DataFrame:
     """(rep, value): the optimum of the network with its scores shuffled over the nodes, ``times``
-    times. Ranks by a hash of rep and node deal the scores; component solves run side by side."""
-    from pyspark.sql import Window
-
+    times. Nodes numbered by id get the scores of nodes numbered by a hash of rep and node; component
+    solves run side by side."""
     comp = written(components(g), "comp")
     reps = g.spark.range(times).select(F.col("id").alias("rep"))
     base = g.nodes.select("id", "score").join(F.broadcast(reps))  # ``times`` rows
-    slot = F.row_number().over(Window.partitionBy("rep").orderBy("id"))
-    draw = F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64("rep", "id", F.lit(seed)), "id"))
-    a = base.select("rep", "id", slot.alias("k"))
-    b = base.select("rep", "score", draw.alias("k"))
+    a = numbered(base.select("rep", "id"), "rep", "id")
+    b = numbered(base.select("rep", "score", F.xxhash64("rep", "id", F.lit(seed)).alias("h"), "id"), "rep", "h", "id").select("rep", "score", "k")
     shuffled = a.join(b, ["rep", "k"]).join(comp, "id").select("rep", "comp", "id", "score")
     edges = g.edges.join(comp.withColumnRenamed("id", "u"), "u").join(F.broadcast(reps)).select(F.col("rep").alias("edge_rep"), F.col("comp").alias("edge_comp"), "u", "v")
 

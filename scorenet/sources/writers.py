@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorenet.graph import ScoredGraph
+from scorenet.operators.ranking import numbered
 
 
 def _numbered(*parts: DataFrame) -> DataFrame:
@@ -52,24 +53,9 @@ def node_list(g: ScoredGraph) -> DataFrame:
     return _numbered(g.nodes.select(_key(F.col("id")).alias("key"), F.concat_ws(" ", "id", F.col("score").cast("string"), "label", F.col("pval").cast("string")).alias("value")))
 
 
-def numbered_ids(g: ScoredGraph) -> DataFrame:
-    """(id, score, k): nodes numbered from 1 in order of id. Range partitions are sorted and counted, so
-    no task gets them all; their number bounds what is summed up on the driver."""
-    from scorenet.storage import written
-
-    rows = written(g.nodes.select("id", "score").repartitionByRange("id").withColumn("p", F.spark_partition_id()), "by_id")
-    sizes = {r.p: r["count"] for r in rows.groupBy("p").count().collect()}
-    before, n = [], 0
-    for p in sorted(sizes):
-        before.append((p, n))
-        n += sizes[p]
-    starts = F.broadcast(g.spark.createDataFrame(before, "p int, n long"))
-    return rows.join(starts, "p").select("id", "score", (F.col("n") + F.row_number().over(Window.partitionBy("p").orderBy("id"))).alias("k"))
-
-
 def stp(g: ScoredGraph, name: str = "network") -> DataFrame:
     """A weighted STP file; nodes are numbered from 1 in order of id."""
-    ids = numbered_ids(g)
+    ids = numbered(g.nodes.select("id", "score"), "id")
     edges = g.edges.join(ids.select(F.col("id").alias("u"), F.col("k").alias("a")), "u").join(ids.select(F.col("id").alias("v"), F.col("k").alias("b")), "v")
     count = lambda df, w: df.agg(F.concat(F.lit(w + " "), F.count(F.lit(1))).alias("value")).select(F.lit("").alias("key"), "value")
     return _numbered(

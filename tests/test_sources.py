@@ -64,3 +64,11 @@ def test_drawing_and_tables(spark):
     assert {r.id: r.in_solution for r in got.collect()} == {1: True, 2: True, 3: True}
     assert lines(writers.solution_lines(three, three.nodes.select("id"), 9.0))[0] == "// Score: 9"
     assert len(lines(writers.rows_as_lines(toy.nodes, "label", "score", "pval"))) == 8
+
+
+def test_numbered(spark):
+    from scorenet.operators.ranking import numbered
+
+    got = numbered(spark.range(500).selectExpr("id * 7919 % 500 as x", "id"), "x").collect()
+    assert sorted((r.x, r.k) for r in got) == [(i, i + 1) for i in range(500)]
+    assert numbered(spark.range(0), "id").count() == 0
