@@ -10,6 +10,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +68,9 @@ def dropped(*tables: DataFrame) -> None:
 
 def collect_shuffles(spark: SparkSession) -> None:
     """Let Spark delete shuffle files that no plan reads any more; its cleaner waits for the driver's JVM
-    to collect garbage, which may not happen for long."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    to collect garbage, which may not happen for long. Python's own references are given up a moment later
+    than its objects."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.0)
+        spark.sparkContext._jvm.System.gc()
