@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from scorenet.llm import chat_format, embedding_dedup, exact_dedup
 from scorenet.llm.chat_format import op4_chat_format
+from scorenet.llm.conversation_repair import op13_conversation_repair
 from scorenet.llm.embedding_dedup import op8_embedding_dedup
 from scorenet.llm.exact_dedup import op1_exact_dedup
 from scorenet.llm.hpylm import op2_hpylm
@@ -19,7 +20,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_hpylm, op3_token_frames, op4_chat_format, op5_kn_quality, op6_piece_sampling,
-        op7_simhash, op8_embedding_dedup, op9_packing, op10_html_text, op12_whitening,
+        op7_simhash, op8_embedding_dedup, op9_packing, op10_html_text, op12_whitening, op13_conversation_repair,
     )
 }
 
