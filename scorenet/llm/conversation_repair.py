@@ -221,3 +221,42 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_f")), "left")
     counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+
+
+#: Edits as strings, turn by turn, the checksum by list functions.
+ORACLE = {
+    "op13_conversation_repair": """
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+crc AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(name) + 1), lambda i: CAST(ascii(name[i]) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), CAST(4294967295 AS BIGINT)) % 20 AS kind FROM raw),
+t AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM crc, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+o AS (SELECT *, sha256(coalesce(CAST(conv_id AS VARCHAR), '') || ':' || octet_length(encode(role)) || ':' || role || text) AS key, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM t),
+n AS (SELECT *, row_number() OVER w AS k, lag(role[1]) OVER w || role[1] AS pair FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, key)),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id, key ORDER BY k) AS seen FROM n),
+f AS (SELECT *, bare = '' AS blank, bare <> '' AND seen > 1 AS dup, bare <> '' AND seen = 1 AND NOT regexp_matches(right(bare, 1), '[.!?]') AS trunc FROM s),
+runs(a, q, ins, paid, words) AS (VALUES (0, 0, '', 0, []::VARCHAR[]), (0, 2, 'I', 2, ['user:']), (0, 3, 'II', 4, ['user:', 'assistant:']), (1, 1, '', 0, []), (1, 2, 'I', 2, ['user:']), (1, 3, 'II', 4, ['user:', 'assistant:']),
+  (2, 2, '', 0, []), (2, 3, 'I', 2, ['assistant:']), (2, 2, 'II', 4, ['assistant:', 'user:']), (3, 3, '', 0, []), (3, 2, 'I', 2, ['user:']), (3, 3, 'II', 4, ['user:', 'assistant:'])),
+edits(q, edit, initial, b, named, paid2) AS (SELECT q, 'D', CAST(NULL AS VARCHAR), q, CAST(NULL AS VARCHAR), 3 FROM range(4) r(q) UNION ALL SELECT * FROM (VALUES (0, 'K', 's', 1, CAST(NULL AS VARCHAR), 0), (0, 'K', 'u', 2, NULL, 0), (1, 'K', 'u', 2, NULL, 0), (3, 'K', 'u', 2, NULL, 0), (2, 'K', 'a', 3, NULL, 0),
+  (0, 'R', CAST(NULL AS VARCHAR), 2, 'user', 2), (1, 'R', NULL, 2, 'user', 2), (3, 'R', NULL, 2, 'user', 2), (2, 'R', NULL, 3, 'assistant', 2))),
+moves AS (SELECT a, b, ins || edit AS code, edit, initial, named, paid + paid2 AS paid, words FROM runs JOIN edits USING (q)),
+r(conv_id, k, state, cost, audit, said) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, 0, '', []::VARCHAR[] FROM f
+  UNION ALL
+  SELECT conv_id, k, state, best.cost, best.audit, best.said FROM (
+    SELECT r.conv_id, f.k, m.b AS state, min({'cost': r.cost + m.paid + CASE WHEN f.trunc AND m.edit <> 'D' THEN 1 ELSE 0 END, 'audit': r.audit || m.code,
+      'said': list_concat(r.said, m.words, CASE m.edit WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [m.named || ':' || f.text] END)}) AS best
+    FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.k = r.k + 1
+    JOIN moves m ON m.a = r.state AND (m.edit = 'D' OR NOT (f.blank OR f.dup)) AND (m.initial IS NULL OR m.initial = f.role[1])
+    GROUP BY r.conv_id, f.k, m.b)),
+last AS (SELECT conv_id, count(*) AS n, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (trunc) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+  coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM f GROUP BY conv_id),
+ends AS (SELECT r.conv_id, min({'cost': r.cost + CASE state WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END, 'audit': r.audit || CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+  'said': list_concat(r.said, CASE state WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END)}) AS best
+  FROM r JOIN last ON last.conv_id IS NOT DISTINCT FROM r.conv_id AND last.n = r.k GROUP BY r.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN last ON last.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+}

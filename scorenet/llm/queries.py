@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scorenet.llm import chat_format, embedding_dedup, exact_dedup
+from scorenet.llm import chat_format, conversation_repair, embedding_dedup, exact_dedup
 from scorenet.llm.chat_format import op4_chat_format
 from scorenet.llm.conversation_repair import op13_conversation_repair
 from scorenet.llm.embedding_dedup import op8_embedding_dedup
@@ -24,4 +24,4 @@ QUERIES = {
     )
 }
 
-ORACLES = {**exact_dedup.ORACLE, **chat_format.ORACLE, **embedding_dedup.ORACLE}
+ORACLES = {**exact_dedup.ORACLE, **chat_format.ORACLE, **embedding_dedup.ORACLE, **conversation_repair.ORACLE}
