@@ -13,6 +13,7 @@ from scorenet.llm.kn_quality import op5_kn_quality
 from scorenet.llm.packing import op9_packing
 from scorenet.llm.piece_sampling import op6_piece_sampling
 from scorenet.llm.simhash_index import op7_simhash
+from scorenet.llm.stable_search import op11_stable_search
 from scorenet.llm.token_frames import op3_token_frames
 from scorenet.llm.whitening import op12_whitening
 
@@ -20,7 +21,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_hpylm, op3_token_frames, op4_chat_format, op5_kn_quality, op6_piece_sampling,
-        op7_simhash, op8_embedding_dedup, op9_packing, op10_html_text, op12_whitening, op13_conversation_repair,
+        op7_simhash, op8_embedding_dedup, op9_packing, op10_html_text, op11_stable_search, op12_whitening, op13_conversation_repair,
     )
 }
 
