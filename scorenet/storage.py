@@ -1,7 +1,8 @@
 """Tables and files that every executor can reach.
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset and Spark
-runs in this one process, as in tests, a folder of this machine is made and set as the checkpoint folder.
+runs in this one process, as in tests, a folder of this machine is made, one for each application, and set
+as its checkpoint folder.
 """
 
 from __future__ import annotations
@@ -16,19 +17,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made here, by application: the setting itself can't be changed in a running session.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, set to a new temporary one where unset in local mode; on a
+    """The checkpoint folder of the session, a new temporary one where that is unset in local mode; on a
     cluster executors would not see each other's files there, which raises ``ValueError``."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not is_local(spark.sparkContext.master):
+    context = spark.sparkContext
+    if not is_local(context.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="scorenet-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(own)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+    if context.applicationId not in _OWN:
+        own = tempfile.mkdtemp(prefix="scorenet-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
+        _OWN[context.applicationId] = f"file://{own}"
+    return _OWN[context.applicationId]
 
 
 def is_local(master: str) -> bool:
