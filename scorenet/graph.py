@@ -19,8 +19,9 @@ def canonical_edges(edges: DataFrame) -> DataFrame:
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
-    """(id, nbr): both directions of each edge."""
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("nbr")).union(edges.select(F.col("v"), F.col("u")))
+    """(id, nbr): both directions of each edge, from one reading of them."""
+    ways = F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("nbr")), F.struct(F.col("v").alias("id"), F.col("u").alias("nbr")))
+    return edges.select(F.inline(ways))
 
 
 @dataclass(frozen=True)
@@ -48,6 +49,22 @@ class ScoredGraph:
         edges = edges.join(known.withColumnRenamed("id", "u"), "u", "left_semi").join(known.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v")
         return ScoredGraph(nodes, edges, nodes.select(F.col("id").alias("pre_id"), F.col("id").alias("org_id")))
 
+    @staticmethod
+    def of_ends(weights: DataFrame, edges: DataFrame) -> ScoredGraph:
+        """The network of all ends of raw ``edges`` (u, v) that have a row in ``weights`` (id, score),
+        which names each node once; edges to others are dropped. Its tables are written, edges first and
+        nodes from them, so that what is asked of it reads the network and not what it came from."""
+        edges = written(canonical_edges(edges), "graph_edges")
+        ends = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        rows = ends.join(weights.select(F.col("id").cast("long"), F.col("score").cast("double"), F.lit(True).alias("_w")), "id", "left")
+        nodes = rows.select("id", F.col("id").cast("string").alias("label"), "score", F.lit(None).cast("double").alias("pval"), F.lit(False).alias("is_root"), "_w")
+        nodes = written(nodes, "nodes")
+        unknown = nodes.where("_w is null").select("id")
+        if not unknown.isEmpty():
+            edges = edges.join(unknown.withColumnRenamed("id", "u"), "u", "left_anti").join(unknown.withColumnRenamed("id", "v"), "v", "left_anti").select("u", "v")
+        nodes = nodes.where("_w").drop("_w")
+        return ScoredGraph(nodes, edges, nodes.select(F.col("id").alias("pre_id"), F.col("id").alias("org_id")))
+
     @property
     def spark(self) -> SparkSession:
         return self.nodes.sparkSession
@@ -77,13 +94,11 @@ class ScoredGraph:
 
     def merged(self, merge: DataFrame) -> ScoredGraph:
         """Nodes contracted by ``merge`` (old, new): scores add, neighbours unite, parallel edges and
-        loops go, labels are joined by "_", the kept node's first, and provenance unites."""
+        loops go, the kept node's label stays, and provenance unites; ``joined_labels`` has the others'."""
         m = merge.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
         nodes = self.nodes.join(m, F.col("id") == F.col("_old"), "left").withColumn("_to", F.coalesce("_new", "id"))
-        labels = F.array_sort(F.collect_list(F.struct((F.col("id") != F.col("_to")).alias("o"), "id", "label")))
-        nodes = nodes.groupBy(F.col("_to").alias("id")).agg(
-            F.array_join(F.transform(labels, lambda x: x["label"]), "_").alias("label"), F.sum("score").alias("score"), F.min("pval").alias("pval"), F.bool_or("is_root").alias("is_root")
-        )
+        kept = F.max_by("label", F.struct((F.col("id") == F.col("_to")).alias("k"), (-F.col("id")).alias("i")))
+        nodes = nodes.groupBy(F.col("_to").alias("id")).agg(kept.alias("label"), F.sum("score").alias("score"), F.min("pval").alias("pval"), F.bool_or("is_root").alias("is_root"))
         edges = self.edges.join(m, F.col("u") == F.col("_old"), "left").select(F.coalesce("_new", "u").alias("u"), "v")
         edges = edges.join(m, F.col("v") == F.col("_old"), "left").select("u", F.coalesce("_new", "v").alias("v"))
         back = self.node_map.join(m, F.col("pre_id") == F.col("_old"), "left").select(F.coalesce("_new", "pre_id").alias("pre_id"), "org_id").distinct()
@@ -92,7 +107,7 @@ class ScoredGraph:
     def extracted(self, sets: DataFrame) -> ScoredGraph:
         """For each set (set_id new, id member) an isolated node ``set_id`` with the summed score, which
         shares the members' originals; the members stay."""
-        got = sets.join(self.nodes, "id").groupBy("set_id").agg(F.array_join(F.array_sort(F.collect_list("label")), "_").alias("label"), F.sum("score").alias("score"))
+        got = sets.join(self.nodes, "id").groupBy("set_id").agg(F.min("label").alias("label"), F.sum("score").alias("score"))
         fresh = got.select(F.col("set_id").alias("id"), "label", "score", F.lit(None).cast("double").alias("pval"), F.lit(False).alias("is_root"))
         back = sets.join(self.node_map, F.col("id") == F.col("pre_id")).select(F.col("set_id").alias("pre_id"), "org_id").distinct()
         return ScoredGraph(self.nodes.unionByName(fresh), self.edges, self.node_map.unionByName(back))
@@ -101,6 +116,14 @@ class ScoredGraph:
         """(id) of the original nodes that nodes ``ids`` (id) stand for."""
         return self.node_map.join(ids.select(F.col("id").alias("pre_id")), "pre_id", "left_semi").select(F.col("org_id").alias("id")).distinct()
 
+    def joined_labels(self, before: ScoredGraph) -> DataFrame:
+        """(id, label) with the labels that the nodes of ``before``, of which this network came, had: the
+        kept node's first, then the others' by id, joined by "_". For writing networks that a person reads:
+        a node that stands for many has them all in one string."""
+        own = self.node_map.join(before.nodes.select(F.col("id").alias("org_id"), "label"), "org_id")
+        rows = F.array_sort(F.collect_list(F.struct((F.col("org_id") != F.col("pre_id")).alias("o"), "org_id", "label")))
+        return own.groupBy(F.col("pre_id").alias("id")).agg(F.array_join(F.transform(rows, lambda x: x["label"]), "_").alias("label"))
+
     def by_label(self, labels: list[str]) -> DataFrame:
         """(id) of the nodes with one of the labels; none if there is none."""
         return self.nodes.where(F.col("label").isin(labels)).select("id")
@@ -108,3 +131,10 @@ class ScoredGraph:
     def with_roots(self, ids: DataFrame) -> ScoredGraph:
         marked = self.nodes.drop("is_root").join(ids.select("id", F.lit(True).alias("_r")).distinct(), "id", "left")
         return replace(self, nodes=marked.select("id", "label", "score", "pval", F.coalesce("_r", F.lit(False)).alias("is_root")))
+
+
+def induced(g: ScoredGraph, ids: DataFrame) -> ScoredGraph:
+    """The subgraph of nodes ``ids`` (id): edges with both ends in it."""
+    keep = ids.select("id")
+    edges = g.edges.join(keep.withColumnRenamed("id", "u"), "u", "left_semi").join(keep.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v")
+    return ScoredGraph(g.nodes.join(keep, "id", "left_semi"), edges, g.node_map.join(keep.withColumnRenamed("id", "pre_id"), "pre_id", "left_semi"))

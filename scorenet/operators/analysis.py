@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from scorenet.graph import ScoredGraph, symmetric
 from scorenet.operators.components import connected_components
+from scorenet.operators.ranking import numbered
+from scorenet.operators.trees import SMALL, Gain, subtree_values
 from scorenet.storage import written
 
 
@@ -30,8 +32,9 @@ def hub_sample(hubs: DataFrame, share: int = 10, seed: int = 0) -> DataFrame:
     Draws are keyed by seed and id."""
     live = hubs.withColumn("w", F.round("benefit")).where("w > 0")
     unit = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    n = live.count()
-    return live.orderBy(-F.log(unit) / F.col("w"), "id").limit(max(1, n // share) if n else 0).select("id")
+    turns = numbered(live.select("id", (-F.log(unit) / F.col("w")).alias("turn")), "turn", "id")
+    n = turns.agg(F.max("k")).first()[0] or 0
+    return turns.where(F.col("k") <= max(1, n // share)).select("id")
 
 
 def edge_counters(edges: DataFrame) -> DataFrame:
@@ -52,30 +55,13 @@ def by_weight(g: ScoredGraph, ids: DataFrame | None = None) -> DataFrame:
     return nodes.select("id", "label", "score").orderBy(F.desc("score"), "id")
 
 
-def tree_values(tree: DataFrame) -> DataFrame:
+def tree_values(tree: DataFrame, small: int = SMALL) -> DataFrame:
     """``tree`` (id, parent, score), rooted trees with null parents at the roots, and ``value``: the best
-    connected set that holds the node and else only nodes below it. Levels are walked from the deepest
-    up, a pre-aggregated sum and a join each; a node that no root reaches is an error."""
+    connected set that holds the node and else only nodes below it, by contraction of the trees in rounds
+    that grow with the logarithm of their nodes. A node that no root reaches is an error."""
     rows = written(tree.select("id", "parent", "score"), "tree")
-    level = written(rows.where("parent is null").select("id"), "level")
-    levels, seen = [], 0
-    while not level.isEmpty():
-        levels.append(level)
-        seen += level.count()
-        level = written(rows.join(level.select(F.col("id").alias("parent")), "parent", "left_semi").select("id"), "level")
-    if seen != rows.count():
-        raise ValueError("not a forest of rooted trees")
-    below, out = None, rows.withColumn("value", F.col("score")).limit(0)
-    for level in reversed(levels):
-        now = rows.join(level, "id", "left_semi")
-        if below is not None:
-            gain = below.where("value > 0").groupBy(F.col("parent").alias("id")).agg(F.sum("value").alias("gain"))
-            now = now.join(gain, "id", "left").select("id", "parent", "score", (F.col("score") + F.coalesce("gain", F.lit(0))).alias("value"))
-        else:
-            now = now.withColumn("value", F.col("score"))
-        below = written(now.select("id", "parent", "score", "value"), "values")
-        out = out.unionByName(below)
-    return out
+    best = subtree_values(rows.withColumnRenamed("score", "value"), ["value"], Gain, small)
+    return rows.join(best, "id").select("id", "parent", "score", "value")
 
 
 def block_negativity(g: ScoredGraph, blocks: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorenet.graph import ScoredGraph, symmetric
+from scorenet.graph import ScoredGraph, induced, symmetric  # noqa: F401
 from scorenet.operators.components import connected_components
-from scorenet.plans import local
+from scorenet.operators.ranking import numbered
+from scorenet.operators.trees import BEFORE, SMALL, Most, rooted, subtree_values
 from scorenet.storage import dropped, written
 
 
@@ -44,13 +46,6 @@ def component_scores(g: ScoredGraph) -> DataFrame:
     return components(g).join(g.nodes.select("id", "score"), "id").groupBy("comp").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("score").alias("score"))
 
 
-def induced(g: ScoredGraph, ids: DataFrame) -> ScoredGraph:
-    """The subgraph of nodes ``ids`` (id): edges with both ends in it."""
-    keep = ids.select("id")
-    edges = g.edges.join(keep.withColumnRenamed("id", "u"), "u", "left_semi").join(keep.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v")
-    return ScoredGraph(g.nodes.join(keep, "id", "left_semi"), edges, g.node_map.join(keep.withColumnRenamed("id", "pre_id"), "pre_id", "left_semi"))
-
-
 def boundary(g: ScoredGraph, ids: DataFrame) -> DataFrame:
     """(id) of the neighbours of ``ids`` that are not in it."""
     near = symmetric(g.edges).join(ids.select("id"), "id", "left_semi")
@@ -62,34 +57,71 @@ def bfs_levels(edges: DataFrame, sources: DataFrame, most: int | None = None) ->
     nearer, null at sources. Unreached nodes have no row; ``most`` bounds the level."""
     both = written(symmetric(edges), "arcs")
     front = written(sources.select("id", F.lit(0).alias("level"), F.lit(None).cast("long").alias("pred")).distinct(), "level")
-    seen, level = front, 0
+    levels, recent, level = [front], [front], 0
     while most is None or level < most:
         level += 1
         step = front.select("id").join(both, "id").groupBy(F.col("nbr").alias("_n")).agg(F.min("id").alias("pred"))
-        step = step.select(F.col("_n").alias("id"), F.lit(level).alias("level"), "pred").join(seen.select("id"), "id", "left_anti")
+        step = step.select(F.col("_n").alias("id"), F.lit(level).alias("level"), "pred")
+        for old in recent:  # an arc from one level leads to the one before, to its own or to the next
+            step = step.join(old.select("id"), "id", "left_anti")
         front = written(step, "level")
         if front.isEmpty():
             break
-        seen = written(seen.unionByName(front), "seen") if level % 8 == 0 else seen.unionByName(front)
-    return seen
+        recent = [recent[-1], front]
+        levels.append(front)
+    out = levels[0]
+    for part in levels[1:]:
+        out = out.unionByName(part)
+    return out
 
 
-def spanning_forest(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(u, v, cost) of a minimum spanning forest of ``edges`` (u, v, cost) by Boruvka rounds; ties go
-    to the least (u, v), so the forest is unique."""
-    now = written(edges.select(F.col("u").alias("cu"), F.col("v").alias("cv"), "cost", "u", "v"), "boruvka")
+def _light_edges(batches):
+    """Of a task's edges those of a minimum spanning forest of them: the others are in none of the whole."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    rows = pa.Table.from_batches(got).combine_chunks().sort_by([("cost", "ascending"), ("u", "ascending"), ("v", "ascending")])
+    ends, at = np.unique(np.concatenate([rows.column("cu").to_numpy(), rows.column("cv").to_numpy()]), return_inverse=True)
+    above, keep = list(range(len(ends))), []
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for k, (a, b) in enumerate(zip(at[: rows.num_rows].tolist(), at[rows.num_rows :].tolist(), strict=True)):
+        a, b = top(a), top(b)
+        if a != b:
+            above[a] = b
+            keep.append(k)
+    yield from rows.take(pa.array(keep, pa.int64())).to_batches(100_000)
+
+
+def spanning_forest(edges: DataFrame, most_rounds: int = 64, small: int = SMALL) -> DataFrame:
+    """(u, v, cost) of a minimum spanning forest of ``edges`` (u, v, cost); ties go to the least (u, v), so
+    the forest is unique. Each task first leaves out what is in no minimum forest of its own edges. Then
+    Boruvka's rounds pick each part's least edge, until no more than ``small`` edges are left."""
+    kind = ", ".join(f"{c} {t}" for c, t in [("cu", "long"), ("cv", "long"), *edges.select("cost", "u", "v").dtypes])
+    now = edges.select(F.col("u").alias("cu"), F.col("v").alias("cv"), "cost", "u", "v")
+    now = written(now.mapInArrow(_light_edges, kind), "boruvka")
     parts = []
     for _ in range(most_rounds):
-        if now.isEmpty():
+        n = now.count()
+        if n <= small:
+            if n:
+                parts.append(written(now.coalesce(1).mapInArrow(_light_edges, kind).select("u", "v", "cost"), "picked"))
+                dropped(now)
             break
-        ends = now.select(F.col("cu").alias("c"), "cost", "u", "v").union(now.select("cv", "cost", "u", "v"))
+        ends = now.select(F.inline(F.array(F.struct(F.col("cu").alias("c"), "cost", "u", "v"), F.struct(F.col("cv").alias("c"), "cost", "u", "v"))))
         best = ends.groupBy("c").agg(F.min(F.struct("cost", "u", "v")).alias("e")).select("e.*").distinct()
         picked = written(best.join(now.select("u", "v", "cu", "cv"), ["u", "v"]), "picked")
         parts.append(picked.select("u", "v", "cost"))
         to = written(connected_components(picked.select(F.col("cu").alias("u"), F.col("cv").alias("v"))), "to")
         after = now.join(to.select(F.col("id").alias("cu"), F.col("comp").alias("a")), "cu", "left").join(to.select(F.col("id").alias("cv"), F.col("comp").alias("b")), "cv", "left")
-        after = written(after.select(F.coalesce("a", "cu").alias("cu"), F.coalesce("b", "cv").alias("cv"), "cost", "u", "v").where("cu <> cv"), "boruvka")
-        dropped(now)
+        after = after.select(F.coalesce("a", "cu").alias("cu"), F.coalesce("b", "cv").alias("cv"), "cost", "u", "v").where("cu <> cv")
+        after = written(after.mapInArrow(_light_edges, kind), "boruvka")
+        dropped(now, to)
         now = after
     else:
         raise RuntimeError("the forest did not settle")
@@ -99,33 +131,56 @@ def spanning_forest(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     return out
 
 
-def blocks(g: ScoredGraph) -> DataFrame:
-    """(comp, block, u, v): the biconnected component of each edge, numbered in its component. Each
-    component is handled by one task, so this is for networks whose components have been reduced."""
-    comp = components(g)
-    rows = g.edges.join(comp.select(F.col("id").alias("u"), "comp"), "u")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = local.biconnected(list(zip(pdf["u"], pdf["v"], strict=True)))
-        out = [(int(pdf["comp"].iloc[0]), k, u, v) for k, es in enumerate(found) for u, v in es]
-        return pd.DataFrame(out, columns=["comp", "block", "u", "v"])
-
-    return rows.select("comp", "u", "v").groupBy("comp").applyInPandas(run, "comp long, block long, u long, v long")
+def blocks(g: ScoredGraph, small: int = SMALL) -> DataFrame:
+    """(comp, block, u, v): the biconnected component of each edge, numbered from 0 in its component by
+    the least node below the tree edges in it. By Tarjan and Vishkin's method as tables, so one giant
+    component is dealt over all tasks: places in a walk around a spanning tree, the first and last places
+    that edges off the tree reach from each subtree, and the components of a graph that has the tree's
+    edges as nodes."""
+    forest = written(spanning_forest(g.edges.select("u", "v", F.lit(0).alias("cost")), small=small).select("u", "v"), "forest")
+    tree = rooted(forest, small)
+    place = tree.select("id", "first", "last")
+    off = g.edges.join(forest, ["u", "v"], "left_anti")
+    x = place.select(F.col("id").alias("u"), F.col("first").alias("fu"), F.col("last").alias("lu"))
+    y = place.select(F.col("id").alias("v"), F.col("first").alias("fv"), F.col("last").alias("lv"))
+    off = written(off.join(x, "u").join(y, "v"), "off_tree")
+    reach = off.select(F.inline(F.array(F.struct(F.col("u").alias("id"), F.col("fv").alias("f")), F.struct(F.col("v").alias("id"), F.col("fu").alias("f")))))
+    reach = reach.groupBy("id").agg(F.min("f").alias("lo"), F.max("f").alias("hi"))
+    own = tree.join(reach, "id", "left").select("id", "parent", (-F.least("first", "lo")).alias("lo"), F.greatest("first", "hi").alias("hi"))
+    ends = subtree_values(own, ["lo", "hi"], Most, small).select("id", (-F.col("lo")).alias("lo"), "hi")
+    above = place.select(F.col("id").alias("parent"), F.col("first").alias("fp"), F.col("last").alias("lp"))
+    on = tree.where("parent is not null").select("id", "parent").join(ends, "id").join(above, "parent")
+    passed = on.where((F.col("fp") > BEFORE) & ((F.col("lo") < F.col("fp")) | (F.col("hi") > F.col("lp"))))
+    under = F.col("fv").between(F.col("fu"), F.col("lu"))
+    over = F.col("fu").between(F.col("fv"), F.col("lv"))
+    linked = passed.select(F.col("id").alias("u"), F.col("parent").alias("v")).union(off.where(~under & ~over).select("u", "v"))
+    group = connected_components(linked)
+    group = tree.where("parent is not null").select("id", "parent", "root").join(group, "id", "left").select("id", "parent", F.col("root").alias("comp"), F.coalesce("comp", "id").alias("rep"))
+    group = written(group, "tree_blocks")
+    names = written(numbered(group.select("comp", "rep").distinct(), "comp", "rep"), "block_names")
+    first = names.groupBy("comp").agg(F.min("k").alias("_k"))
+    names = names.join(first, "comp").select("rep", (F.col("k") - F.col("_k")).alias("block"))
+    sides = group.select("id", "comp", "rep")
+    lower = off.select("u", "v", F.when(under, F.col("v")).otherwise(F.col("u")).alias("id"))
+    every = group.select(F.least("id", "parent").alias("u"), F.greatest("id", "parent").alias("v"), "comp", "rep").unionByName(lower.join(sides, "id").select("u", "v", "comp", "rep"))
+    out = written(every.join(names, "rep").select("comp", "block", "u", "v"), "blocks")
+    dropped(forest, tree, off, group, ends)
+    return out
 
 
 def articulation_points(g: ScoredGraph) -> DataFrame:
     """(id, n_blocks) of the nodes in more than one block."""
-    b = written(blocks(g), "blocks")
-    ends = b.select("comp", "block", F.col("u").alias("id")).union(b.select("comp", "block", "v")).distinct()
+    ends = blocks(g).select("comp", "block", F.explode(F.array("u", "v")).alias("id")).distinct()
     return ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_blocks")).where("n_blocks > 1")
 
 
 def block_cut_tree(g: ScoredGraph) -> DataFrame:
     """(comp, block, cut_id, block_degree): edges of the block-cut tree."""
-    b = written(blocks(g), "blocks")
-    ends = b.select("comp", "block", F.col("u").alias("cut_id")).union(b.select("comp", "block", "v")).distinct()
-    shared = ends.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("cut_id"))).where("_n > 1").drop("_n")
-    return shared.withColumn("block_degree", F.count(F.lit(1)).over(Window.partitionBy("comp", "block")))
+    ends = written(blocks(g).select("comp", "block", F.explode(F.array("u", "v")).alias("cut_id")).distinct(), "block_ends")
+    cut = ends.groupBy("cut_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cut_id")
+    shared = ends.join(cut, "cut_id", "left_semi").select("comp", "block", "cut_id")
+    size = shared.groupBy("comp", "block").agg(F.count(F.lit(1)).alias("block_degree"))
+    return shared.join(size, ["comp", "block"]).select("comp", "block", "cut_id", "block_degree")
 
 
 def is_connected(g: ScoredGraph) -> bool:

@@ -12,8 +12,8 @@ from scorenet.storage import written
 def pcst_graph(nodes: DataFrame, edges: DataFrame) -> ScoredGraph:
     """nodes (id, prize, perhaps is_root and label) and edges (u, v, cost) as a scored network: each edge
     becomes a node labelled "u--v" that weighs minus its cost, joined to both ends. Roots have no prize.
-    Edge nodes have negative ids, which number the written edges."""
-    mid = written(edges.select("u", "v", "cost"), "pcst_edges").select((-1 - F.monotonically_increasing_id()).alias("id"), "u", "v", "cost")
+    Edge nodes have negative ids, which are drawn once and written."""
+    mid = written(edges.select((-1 - F.monotonically_increasing_id()).alias("id"), "u", "v", "cost"), "pcst_edges")
     root = F.coalesce(F.col("is_root"), F.lit(False)) if "is_root" in nodes.columns else F.lit(False)
     label = F.col("label") if "label" in nodes.columns else F.col("id").cast("string")
     own = nodes.select("id", label.alias("label"), F.when(root, F.lit(0)).otherwise(F.col("prize")).cast("double").alias("score"), root.alias("is_root"))

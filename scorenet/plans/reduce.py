@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorenet.graph import ScoredGraph, symmetric
 from scorenet.operators.components import connected_components
+from scorenet.operators.paths import least_costs
+from scorenet.operators.ranking import numbered
 from scorenet.storage import written
 
 Rule = Callable[[ScoredGraph], tuple[ScoredGraph, bool]]
@@ -66,27 +68,33 @@ def neg_circuit(g: ScoredGraph) -> DataFrame:
     return degree2(g).where("score <= 0 and not is_root").join(g.edges.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_semi").select("id")
 
 
+def _standing():
+    """What the node that stays among alike ones is greatest in: roots, then scores, then lower ids."""
+    return F.struct(F.col("is_root").cast("int").alias("r"), "score", (-F.col("id")).alias("i"))
+
+
 def neg_diamond(g: ScoredGraph) -> DataFrame:
     """Of non-positive nodes of degree 2 with the same neighbours all but the best, and that too if a
     positive node of degree 2 joins the same neighbours."""
     d = degree2(g)
-    best = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc(F.col("is_root").cast("int")), F.desc("score"), "id"))
-    bridged = d.where("score > 0").select("a", "b", F.lit(True).alias("_p")).distinct()
-    low = d.where("score <= 0").withColumn("_k", best).join(bridged, ["a", "b"], "left")
-    return low.where("(_k > 1 or _p) and not is_root").select("id")
+    low = F.col("score") <= 0
+    pairs = d.groupBy("a", "b").agg(F.max(F.when(low, _standing())).alias("best"), F.bool_or(~low).alias("bridged"))
+    return d.where(low & ~F.col("is_root")).join(pairs, ["a", "b"]).where("bridged or id <> -best.i").select("id")
 
 
 def mirrored_hubs(g: ScoredGraph, least_degree: int = 3) -> DataFrame:
     """Of non-positive nodes with the same neighbours, at least three, all but the best; ties keep the
     lower id. Candidates agree in size, extremes and hash sums of their neighbour sets, which are
-    aggregated before the shuffle, so no set is ever collected; the neighbours of each are then held
-    against those of the one that stays."""
+    aggregated before the shuffle, so no set is ever collected, nor do alike nodes meet; the neighbours of
+    each are then held against those of the one that stays."""
     arcs = symmetric(g.edges)
     h1, h2 = F.xxhash64("nbr"), F.xxhash64("nbr", F.lit(1))
     sets = arcs.groupBy("id").agg(F.count(F.lit(1)).alias("degree"), F.min("nbr").alias("lo"), F.max("nbr").alias("hi"), F.bit_xor(h1).alias("x1"), F.bit_xor(h2).alias("x2"))
-    same = Window.partitionBy("degree", "lo", "hi", "x1", "x2").orderBy(F.desc(F.col("is_root").cast("int")), F.desc("score"), "id")
     low = sets.where(F.col("degree") >= least_degree).join(g.nodes.select("id", "score", "is_root"), "id").where("score <= 0")
-    alike = low.select("id", "is_root", "degree", F.row_number().over(same).alias("_k"), F.first("id").over(same).alias("stays")).where("_k > 1 and not is_root")
+    low = written(low, "neighbour_sets")
+    same = ["degree", "lo", "hi", "x1", "x2"]
+    stays = low.groupBy(*same).agg(F.max(_standing()).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*same, (-F.col("best.i")).alias("stays"))
+    alike = low.where("not is_root").join(stays, same).where("id <> stays").select("id", "degree", "stays")
     both = alike.join(arcs, "id").join(arcs.select(F.col("id").alias("stays"), "nbr"), ["stays", "nbr"], "left_semi")
     return both.groupBy("id", "degree").agg(F.count(F.lit(1)).alias("c")).where("c = degree").select("id")
 
@@ -119,26 +127,24 @@ def pos_diamond(g: ScoredGraph) -> DataFrame:
     return both.select(pick.alias("id")).where("id is not null").distinct()
 
 
-def shortest_path(g: ScoredGraph, hops: int = 3) -> DataFrame:
-    """Non-positive nodes of degree 2 with a detour of at most ``hops`` inner nodes between their
-    neighbours that costs no more. A detour may use no other candidate that is not greater in the order
-    of (score, id), so all such nodes can go at once."""
+def shortest_path(g: ScoredGraph, width: float | None = None) -> DataFrame:
+    """Non-positive nodes of degree 2 with a detour between their neighbours, of any length, that costs no
+    more. A detour may use no other candidate that is not greater in the order of (score, id), so all such
+    nodes can go at once. The searches of all candidates run side by side, each from the neighbour with
+    fewer neighbours, within what the candidate costs, and end when they reach the other."""
+    degree = written(node_degrees(g), "degrees")
     cand = degree2(g).where("score <= 0 and not is_root")
-    c = cand.select("id", F.col("score").alias("sc"), "a", "b")
-    n = g.nodes.select(F.col("id").alias("x"), F.least("score", F.lit(0.0)).alias("cost"), F.col("score").alias("sx"))
-    blocked = cand.select(F.col("id").alias("x"), F.lit(True).alias("is_cand"))
-    info = n.join(blocked, "x", "left")
-    arcs = symmetric(g.edges)
-    direct = c.join(g.edges.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_semi").select("id")
-    front = c.select("id", "sc", "b", F.col("a").alias("at"), F.lit(0.0).alias("spent"))
-    out = direct
-    for _ in range(hops):
-        step = front.join(arcs.select(F.col("id").alias("at"), F.col("nbr").alias("x")), "at").where("x <> id and x <> b").join(info, "x")
-        step = step.where("spent + cost >= sc and (is_cand is null or sx > sc or (sx = sc and x > id))")
-        front = step.groupBy("id", "sc", "b", F.col("x").alias("at")).agg(F.max(F.col("spent") + F.col("cost")).alias("spent"))
-        hit = front.join(arcs.select(F.col("id").alias("at"), F.col("nbr").alias("b")), ["at", "b"], "left_semi").select("id")
-        out = out.union(hit)
-    return out.distinct()
+    ends = [degree.select(F.col("id").alias(c), F.col("degree").alias(f"d{c}")) for c in "ab"]
+    cand = cand.join(ends[0], "a").join(ends[1], "b").select(F.col("id").alias("key"), F.col("score").alias("sc"), F.when(F.col("da") <= F.col("db"), F.col("a")).otherwise(F.col("b")).alias("id"), F.when(F.col("da") <= F.col("db"), F.col("b")).otherwise(F.col("a")).alias("goal"))
+    cand = written(cand, "candidates")
+    costs = g.nodes.join(cand.select(F.col("key").alias("id"), F.lit(True).alias("is_cand")), "id", "left")
+    costs = costs.select("id", F.greatest(-F.col("score"), F.lit(0.0)).alias("cost"), F.col("score").alias("sx"), "is_cand")
+    at_goal = F.col("id") == F.col("goal")
+    free = F.col("is_cand").isNull() | (F.col("sx") > F.col("sc")) | ((F.col("sx") == F.col("sc")) & (F.col("id") > F.col("key")))
+    allowed = (F.col("id") != F.col("key")) & (F.col("dist") <= -F.col("sc")) & (at_goal | free)
+    start = cand.select("key", "id", F.lit(0.0).alias("dist"), "sc", "goal")
+    found = least_costs(symmetric(g.edges), costs, start, ("sc", "goal"), F.when(at_goal, 0.0).otherwise(F.col("cost")), allowed, at_goal, width)
+    return found.where(at_goal).select(F.col("key").alias("id"))
 
 
 def removing(find: Callable[[ScoredGraph], DataFrame]) -> Rule:
@@ -179,9 +185,8 @@ def pos_deg01(g: ScoredGraph) -> tuple[ScoredGraph, bool]:
         g, changed = g.without(gone), True
     if not leaves.isEmpty():
         if not rooted:
-            copies = leaves.where(F.col("score") >= bound)
-            copies = copies.select((F.row_number().over(Window.orderBy("id")) + top).cast("long").alias("set_id"), "id")  # few: each holds the greatest score
-            g = g.extracted(written(copies, "copies"))
+            copies = numbered(leaves.where(F.col("score") >= bound).select("id"), "id")
+            g = g.extracted(written(copies.select((F.col("k") + top).alias("set_id"), "id"), "copies"))
         g, changed = g.merged(leaves.select(F.col("id").alias("old"), F.col("nbr").alias("new"))), True
     return (g.stored() if changed else g), changed
 

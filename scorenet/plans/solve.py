@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorenet.graph import ScoredGraph
+from scorenet.graph import ScoredGraph, induced
 from scorenet.operators.components import connected_components
 from scorenet.operators.ranking import numbered
 from scorenet.operators.topology import components
 from scorenet.plans import local
+from scorenet.plans.draws import best_of_draws
 from scorenet.plans.reduce import reduced
 from scorenet.storage import written
 
@@ -39,33 +39,39 @@ def _rows(comp, ids, value, bound, status) -> pd.DataFrame:
     return pd.DataFrame([(comp, i, value, bound, status) for i in (ids or [None])], columns=["comp", "id", "value", "bound", "status"]).astype({"id": "Int64"})
 
 
-def solve(g: ScoredGraph, seconds: float = 10.0, reduce: bool = True) -> Solution:
+def solve(g: ScoredGraph, seconds: float = 10.0, reduce: bool = True, at_once: int = 64) -> Solution:
     """The best connected module; empty with score 0 if no node is positive. With roots, the best one
-    that holds them all, from the component they lie in; none if they lie in several. A component
-    whose search runs out of time gives its best set and a valid upper bound, never called optimal."""
+    that holds them all, from the component they lie in; none if they lie in several. Components are
+    searched by falling sums of their positive scores, ``at_once`` and then eight times as many at a time,
+    until none can hold a better module. One whose search runs out of time gives its best set and a valid
+    upper bound, never called optimal."""
     rooted = bool(g.nodes.where("is_root").limit(1).count())
     if reduce:
         g = reduced(g)
+    comp = written(components(g), "comp")
+    scored = comp.join(g.nodes.select("id", "score", "is_root"), "id")
     if rooted:
-        comp = components(g)
-        roots = g.nodes.where("is_root").select("id").join(comp, "id").select("comp").distinct()
-        if roots.limit(2).count() > 1:
+        live = scored.where("is_root").select("comp", F.lit(0.0).alias("bound")).distinct()
+        if live.limit(2).count() > 1:
             return Solution(g.nodes.select("id").limit(0), g.spark.createDataFrame([(float("-inf"), float("-inf"), "INFEASIBLE")], "score double, ub double, status string"))
     else:  # components without a positive node cannot win
-        comp = components(g)
-        live = comp.join(g.nodes.select("id", "score"), "id").groupBy("comp").agg(F.max("score").alias("m"))
-        roots = live.where("m > 0").select("comp")
-    keep = comp.join(roots, "comp", "left_semi").select("id")
-    from scorenet.operators.topology import induced
-
-    part = induced(g, written(keep, "keep"))
+        live = scored.groupBy("comp").agg(F.sum(F.greatest("score", F.lit(0.0))).alias("bound")).where("bound > 0")
+    order = written(numbered(live.select("comp", (-F.col("bound")).alias("less"), "bound"), "less", "comp"), "by_bound")
 
     def run(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         w = dict(zip(nodes["id"], nodes["score"], strict=True))
         got = local.solve_component(w, list(zip(edges["u"], edges["v"], strict=True)), frozenset(nodes.loc[nodes["is_root"], "id"]), seconds)
         return _rows(int(nodes["comp"].iloc[0]), got[1], got[0], got[2], got[3])
 
-    found = written(_by_component(part, run), "found")
+    found, done, best = None, 0, float("-inf")
+    while (some := order.where((F.col("k") > done) & (F.col("k") <= done + at_once) & (F.lit(rooted) | (F.col("bound") > best)))).limit(1).count():
+        keep = written(comp.join(some.select("comp"), "comp", "left_semi").select("id"), "keep")
+        part = written(_by_component(induced(g, keep), run), "found")
+        best = max([best, *(r.m for r in part.agg(F.max("value").alias("m")).collect() if r.m is not None)])  # one row
+        found = part if found is None else found.unionByName(part)
+        done, at_once = done + at_once, 8 * at_once
+    if found is None:
+        found = g.spark.createDataFrame([], SOLUTION)
     return _best(g, found)
 
 
@@ -81,26 +87,23 @@ def _best(g: ScoredGraph, found: DataFrame, short: str = "TIME_LIMIT") -> Soluti
 
 
 def monte_carlo(g: ScoredGraph, draws: int = 20, strategy: str = "random", reduce: bool = True, seconds: float | None = None, hubs: bool = False) -> Solution:
-    """The best tree optimum over ``draws`` random spanning trees of each component, or as many as take
-    ``seconds``, one at least. The upper bound is the sum of a component's positive scores; a value that
-    does not reach it is called HEURISTIC. ``hubs`` also samples negative hubs."""
+    """The best tree optimum over ``draws`` random spanning forests of the whole network, see
+    ``draws.best_of_draws``. The upper bound is the greatest sum of a component's positive scores (and its
+    roots'); a value that does not reach it is called HEURISTIC. ``hubs`` also samples negative hubs."""
     if reduce:
         g = reduced(g)
-
-    def run(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        w = dict(zip(nodes["id"], nodes["score"], strict=True))
-        roots = frozenset(nodes.loc[nodes["is_root"], "id"])
-        value, ids = local.monte_carlo(w, list(zip(edges["u"], edges["v"], strict=True)), roots, strategy, range(draws), time.monotonic() + seconds if seconds else None, hubs)
-        bound = sum(x for x in w.values() if x > 0)
-        return _rows(int(nodes["comp"].iloc[0]), ids, value, bound, "OPTIMAL" if value >= bound else "HEURISTIC")
-
-    part = g
-    if g.nodes.where("is_root").limit(1).count():
-        from scorenet.operators.topology import induced
-
-        comp = components(g)
-        part = induced(g, written(comp.join(g.nodes.where("is_root").select("id").join(comp, "id").select("comp"), "comp", "left_semi").select("id"), "keep"))
-    return _best(g, written(_by_component(part, run), "draws"), "HEURISTIC")
+    g = g.stored()
+    score, ids = best_of_draws(g, draws, strategy, seconds, hubs)
+    rooted = bool(g.nodes.where("is_root").limit(1).count())
+    gain = F.when((F.col("score") > 0) | F.col("is_root"), F.col("score")).otherwise(0.0)
+    sums = components(g).join(g.nodes, "id").groupBy("comp").agg(F.sum(gain).alias("bound"), F.bool_or("is_root").alias("r"))
+    bound = sums.where("r" if rooted else "true").agg(F.max("bound")).first()[0]
+    if score == float("-inf"):
+        bound, status = score, "INFEASIBLE"
+    else:
+        bound = max(score, bound or 0.0)
+        status = "OPTIMAL" if score >= bound else "HEURISTIC"
+    return Solution(written(g.originals(ids), "module"), g.spark.createDataFrame([(float(score), float(bound), status)], "score double, ub double, status string"))
 
 
 def solve_tables(nodes: DataFrame, edges: DataFrame, seconds: float = 10.0) -> DataFrame:

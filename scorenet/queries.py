@@ -57,9 +57,7 @@ def _weights(spark, sf_dir, kind: str = "dense") -> DataFrame:
 
 
 def _graph(spark, sf_dir, kind: str = "fan") -> ScoredGraph:
-    edges = _lines(spark, sf_dir, kind).distinct()
-    ends = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct()
-    return ScoredGraph.of(_weights(spark, sf_dir, kind).join(ends, "id", "left_semi"), edges)
+    return ScoredGraph.of_ends(_weights(spark, sf_dir, kind), _lines(spark, sf_dir, kind))
 
 
 def _long(col: str = "score"):
