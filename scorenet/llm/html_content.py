@@ -4,8 +4,9 @@ The standard library's parser feeds events. A line is the text of one block elem
 ratio is smoothed with its neighbours' by a Gaussian, and lines are clustered by a threshold on the
 smoothed ratio. The region of the content is found from the cluster's lines: an article or main element
 that holds the better part of their text, else the least element that holds them all. The region is taken
-whole, short lines and headings too; lines in navigation, forms, notices, adverts,
-reader comments and the like are never content, and outside articles neither are lines of links.
+whole, short lines and headings too; lines in navigation, notices, adverts, reader comments and the like
+are never content, nor those of forms that do not wrap the page, and outside articles neither are lists
+and runs of links.
 """
 
 from __future__ import annotations
@@ -22,20 +23,43 @@ from scorenet.llm.text_units import rows_of
 
 # Element names by their part in a page.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
-LEFT_OUT = frozenset("head nav header footer aside form script style template noscript iframe object embed canvas svg math button select textarea option dialog menu audio video map title input label fieldset".split())
+LEFT_OUT = frozenset("head nav header footer aside script style template noscript iframe object embed canvas svg math button select textarea option dialog menu audio video map title input label fieldset".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SEMANTIC = frozenset(("article", "main"))
 #: Elements whose class names say nothing about the article in them.
 WHOLE = frozenset(("html", "body", "article", "main"))
-#: Words in class, id or role that mark what is not the article.
-NOTICE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|contentinfo|complementary|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|nav|navbar|navigation|newsletter|notice|notices|pagination|popup|promo\w*|recommend\w*|related|replies|reply|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Words that name what is not the article, as the last word of a class name, id or role that bears on
+#: meaning: the last word says what a thing is, those before it of which kind.
+NOTICE = frozenset("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist contentinfo complementary consent cookie cookies disqus footer gdpr header masthead menu nav navbar navigation newsletter notice notices pagination popup promo promos promotion recommendations recommended related replies reply search share sharing sidebar signup social sponsor sponsored sponsors subscribe toolbar widget widgets".split())
+#: Words for a thing's shape or place, which may follow.
+SHAPE = frozenset("area bar block box bottom button buttons center container content fixed group holder inline inner item items left links list main modal module mobile outer overlay panel posts right row section slot top unit wrap wrapper".split())
 #: Class names of a page's layout, not of the part that they stand at.
-LAYOUT = re.compile(r"^(?:has|no|with|without|is|hide|show)[_-]|[_-](?:layout|page|enabled|active|open|closed|left|right)$", re.I)
+LAYOUT = re.compile(r"(?:^|[_-])(?:has|no|non|not|with|without|is|hide|show)[_-]|[_-](?:layout|page|enabled|active|open|closed)$", re.I)
+WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+#: Elements that a start tag ends, though their own end tags are missing, unless one of the second kind
+#: stands between.
+ENDS = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr")),
+    "tr": (("tr", "caption"), ("table",)), "tbody": (("thead", "tbody", "tfoot", "caption"), ("table",)), "thead": (("caption",), ("table",)), "tfoot": (("thead", "tbody", "caption"), ("table",)),
+    "option": (("option",), ("select",)), "optgroup": (("option", "optgroup"), ("select",)),
+}
+#: Elements whose lines are prose even where a line is one link.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote figcaption pre".split())
 SIGMA = 1.0
 THRESHOLD = 1.0  # in standard deviations of the smoothed ratio, as a share of it
 #: Share of the content's text that an article or main must hold to be the region, and its share among
 #: that of all of its kind. Share of a line's text in links from which it is one of links.
 ARTICLE, ARTICLES, LINKS = 0.3, 0.5, 0.7
+#: Share of a page's text from which a form wraps the page.
+WRAPS = 0.5
+
+
+def names_notice(name: str) -> bool:
+    """Whether a class name, id or role is that of a notice: its last word, but for words of shape."""
+    words = [w.lower() for w in WORDS.findall(name)]
+    while len(words) > 1 and words[-1] in SHAPE:
+        words.pop()
+    return bool(words) and words[-1] in NOTICE and not LAYOUT.search(name)
 
 
 def is_notice(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -43,7 +67,7 @@ def is_notice(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     for k, v in attrs:
         if k == "hidden" or (k == "aria-hidden" and v == "true"):
             return True
-        if k in ("class", "id", "role") and v and tag not in WHOLE and any(NOTICE.search(x) and not LAYOUT.search(x) for x in v.split()):
+        if k in ("class", "id", "role") and v and tag not in WHOLE and any(map(names_notice, v.split())):
             return True
     return False
 
@@ -71,8 +95,10 @@ class _Lines(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.end_line()
-            if self.stack and self.stack[-1][0] == "p":
-                self.pop("p")
+            self.end_open(("p",), BLOCKS)
+        if tag in ENDS:
+            self.end_line()
+            self.end_open(*ENDS[tag])
         self.tags += 1
         if tag == "br":
             self.now.append(" ")
@@ -95,6 +121,15 @@ class _Lines(HTMLParser):
         self.kept = self.now
         self.now = []
 
+    def end_open(self, tags, until) -> None:
+        """Close the innermost open element of ``tags``, and all in it, that no element of ``until`` lies in."""
+        for name, *_ in reversed(self.stack):
+            if name in tags:
+                self.pop(name)
+                return
+            if name in until:
+                return
+
     def pop(self, tag: str) -> None:
         """Close the innermost open ``tag`` and all in it, if there is one."""
         for k in range(len(self.stack) - 1, -1, -1):
@@ -176,6 +211,19 @@ def content_region(page: _Lines, weight: np.ndarray) -> int:
     return page.parent[best] if not children[best] and page.name[best] not in ("div", "section", "td", "body") else best
 
 
+def lines_of_content(page: _Lines) -> list[tuple[int, str, int, int]]:
+    """The lines but for those of forms, unless a form holds the better part of the page's text: then it
+    wraps the page, and is none of its parts."""
+    forms = [e for e, name in enumerate(page.name) if name == "form"]
+    lines = page.lines
+    for form in forms:
+        below = _below(page.parent, form)
+        mine = sum(len(text) for e, text, *_ in lines if below[e])
+        if mine <= WRAPS * sum(len(text) for _, text, *_ in page.lines):
+            lines = [line for line in lines if not below[line[0]]]
+    return lines
+
+
 def _below(parent: list[int], top: int) -> list[bool]:
     """Of each element, whether it is ``top`` or in it."""
     out = [e == top for e in range(len(parent))]
@@ -191,9 +239,10 @@ def main_text(html: str | None) -> str:
     page = _Lines()
     page.feed(html)
     page.finish()
-    lines = page.lines
+    lines = lines_of_content(page)
     if not lines:
         return ""
+    page.lines = lines
     size = np.array([len(text) for _, text, _, _ in lines], float)
     links = np.array([n for _, _, _, n in lines]) >= LINKS * size
     ratio = size / np.maximum(1, [tags for _, _, tags, _ in lines])
@@ -205,8 +254,12 @@ def main_text(html: str | None) -> str:
     article = region and any(page.name[e] in SEMANTIC for e in _up(page.parent, region))
     below = _below(page.parent, region)
     inside = [below[e] for e, *_ in lines]
-    alone = not article and not all(x for x, ok in zip(links, inside, strict=True) if ok)
-    return "\n".join(text for (_, text, _, _), ok, link in zip(lines, inside, links, strict=True) if ok and not (link and alone))
+    own = [line for line, ok in zip(lines, inside, strict=True) if ok]
+    linked = [bool(link) for link, ok in zip(links, inside, strict=True) if ok]
+    if article or all(linked):
+        linked = [False] * len(own)
+    among = [x and (page.name[line[0]] not in PROSE or any(linked[max(0, k - 1) : k] + linked[k + 1 : k + 2])) for k, (x, line) in enumerate(zip(linked, own, strict=True))]
+    return "\n".join(line[1] for line, x in zip(own, among, strict=True) if not x)
 
 
 def _up(parent: list[int], e: int):
@@ -218,8 +271,10 @@ def _up(parent: list[int], e: int):
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every row, from its whole html.
 
-    Null html counts as empty and gives an empty text. Broken markup is read as the parser reads it; an
-    unfinished tag at the end is dropped. Rows are independent: repeated rows repeat, an empty table
+    Null html counts as empty and gives an empty text. Broken markup is read as the parser reads it: end
+    tags that may be missing (p, li, dt, dd, td, th, tr, option and parts of tables) are supplied where
+    browsers do, an element that is never closed lasts to the end of the one around it, end tags without a
+    start count for nothing, and an unfinished tag at the end is dropped. Rows are independent: repeated rows repeat, an empty table
     gives an empty result, other columns are not read."""
 
     def run(batches):

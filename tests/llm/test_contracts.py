@@ -176,9 +176,47 @@ NAV = "<ul><li><a href=a>Home</a></li><li><a href=b>News and views</a></li><li><
         f"<body><div id=comments>{_p(LONG, 30)}</div><div>{BODY}</div></body>",
         f"<body><main><article>{_p(STORY[0])}</article><div>{_p(STORY[1])}{_p(STORY[2])}</div></main></body>",
         "<div>" + "".join(f"<div><span>{x}</span></div>" for x in STORY) + "</div><script>var x = 1;</script>",
+        f"<table><tr><td class=nav>{NAV}<td>{BODY}</table>",
+        f"<dl><dt class=ad>Buy this<dd>{BODY}</dl>",
+        f"<body><p class=notice><b>note<p>{STORY[0]}<p>{STORY[1]}<p>{STORY[2]}",
+        f'<body><div class="ad-free content">{BODY}</div></body>',
+        f'<body>{NAV}<div class="header-image-post">{BODY}</div><div class="site-footer">{_p(LONG, 9)}</div></body>',
+        f'<body><div class="story-promo-free">{BODY}</div><div id="storyPromo">{_p(LONG, 9)}</div></body>',
+        f"<body><form action=x>{NAV}<div>{BODY}</div></form></body>",
+        f"<body><div>{BODY}</div><form><p>Your name and mail please</p><input></form></body>",
+        f"<body><ul><li class=widget>{_p(LONG, 9)}<li>{BODY}</ul></body>",
+        f"<body><div>{BODY}<div class='related-posts box'>{_p(LONG, 9)}</div></div></body>",
     ],
 )
 def test_op10_pages_of_other_markup(html):
+    """Also with optional end tags, names that only hold a notice's word, and forms around the page.""" 
     from scorenet.llm.html_content import main_text
 
     assert main_text(html).split("\n") == STORY
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_op10_drawn_pages(seed):
+    """Pages without article elements: a story of drawn blocks in drawn wrappers, among menus, notices and
+    comments that may be longer; end tags that may be left out sometimes are."""
+    import random
+
+    from scorenet.llm.html_content import main_text
+
+    rng = random.Random(seed)
+    words = "the river was high and people of two towns met on a bridge to see what rain had done".split()
+
+    def sentence(n):
+        return " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+
+    end = "" if rng.random() < 0.5 else "</p>"
+    story = [" ".join(sentence(rng.randrange(9, 25)) for _ in range(rng.randrange(2, 6))) for _ in range(rng.randrange(4, 9))]
+    story[2] = sentence(3)
+    body = "".join(f"<p>{x}{end}" for x in story)
+    at = rng.randrange(1, len(story))
+    linked = f"<p><a href=x>{story[at]}</a>{end}"
+    body = body.replace(f"<p>{story[at]}{end}", linked, 1)
+    notes = [f"<div class='{c}'>" + "".join(f"<p>{sentence(12)}</p>" for _ in range(rng.randrange(1, 30))) + "</div>" for c in rng.sample(["sidebar", "cookie-notice", "site-footer", "comments-area", "ad box", "relatedPosts", "newsletter_signup"], 3)]
+    wrap = rng.choice(["<div>{}</div>", "<form><div>{}</div></form>", "<table><tr><td class=menu>" + NAV + "<td>{}</table>", "<section class='ad-free'>{}</section>", "<div class='has-sidebar page-with-nav'>{}</div>"])
+    page = f"<html><body>{NAV}{notes[0]}{wrap.format(body)}{notes[1]}{notes[2]}</body></html>"
+    assert main_text(page).split("\n") == story
