@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from scorenet.llm import near_copies, simhash_index
@@ -42,3 +43,46 @@ def test_stage_all_pairs(spark, monkeypatch, large, order):
     assert got == low and len(set(low.values())) < len(ids)  # with these texts nothing at all is missed
     left = [r.doc_id for r in simhash_index.stage(spark, docs, "").collect()]
     assert sorted(left, key=str) == sorted([None, *(i for i in ids if low[i] == i)], key=str)
+
+
+def test_alike_is_exact():
+    """Against plain set arithmetic, at the border and with all differences at either end."""
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5, 190, 400, 1000, 5000):
+        base = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        for share in (0.0, 0.1, 0.11, 0.112, 0.2, 0.5, 1.0):
+            k = round(share * len(base))
+            for gone in (base[:k], base[len(base) - k :], rng.permutation(base)[:k]):
+                other = np.unique(np.r_[np.setdiff1d(base, gone), rng.integers(0, 1 << 62, k).astype(np.uint64)])
+                both, either = len(np.intersect1d(base, other)), len(np.union1d(base, other))
+                assert near_copies.alike(base, other) == near_copies.alike(other, base) == (5 * both >= 4 * either)
+
+
+def test_pipeline_runs_whole(spark):
+    """The stages in their order over the smallest table, each held to its own input."""
+    from collections import defaultdict
+
+    import corpus_pipeline
+
+    docs = before = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, "/root/testdata/sf0.001")
+        assert after.columns == docs.columns
+        rows = {r.doc_id: r.text for r in after.collect()}
+        assert rows.items() <= {r.doc_id: r.text for r in before.collect()}.items()
+        kept.append(rows)
+        before = spark.createDataFrame(after.collect(), docs.schema)
+    plain = lambda t: " ".join((t or "").split())
+    assert len(set(map(plain, kept[1].values()))) == len(kept[1]) and set(map(plain, kept[0].values())) == set(map(plain, kept[1].values()))
+    sets = {i: near_copies.shingle_hashes(t, 5) for i, t in kept[1].items()}
+    low = {i: i for i in sets}
+    links = [(i, j) for i in sets for j in sets if i < j and near_copies.alike(sets[i], sets[j])]
+    for _ in sets:
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    assert kept[2].keys() == {i for i in sets if low[i] == i}
+    pieces = defaultdict(int)
+    for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect():
+        pieces[r.doc_id] += r.length
+    assert pieces.keys() == kept[2].keys()
