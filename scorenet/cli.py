@@ -49,7 +49,10 @@ def _network(spark: SparkSession, a) -> tuple[ScoredGraph, float | None]:
         g, prizes = text.read_labels(spark, a.nodes, a.edges, pvalues=scored), None
         if scored:
             p = F.col("pval")
-            score = scoring.score_tau(p, a.tau) if a.tau is not None else scoring.score_bum(p, a.lambda_, a.a, a.fdr)
+            if (a.lambda_ is None) != (a.a is None):
+                raise ValueError("-lambda and -a go together")
+            tau = a.tau if a.tau is not None else a.fdr if a.lambda_ is None else None
+            score = scoring.score_tau(p, tau) if tau is not None else scoring.score_bum(p, a.lambda_, a.a, a.fdr)
             g = ScoredGraph(g.nodes.withColumn("score", score), g.edges, g.node_map)
     else:
         raise ValueError("give -stp, -pcst, or -n and -e")
@@ -76,7 +79,7 @@ def _solve(spark: SparkSession, a) -> int:
     g, prizes = _network(spark, a)
     pre, drawn = VARIANTS[a.variant] if a.variant else (not a.p, a.mc > 0)
     if drawn:
-        got = solve.monte_carlo(g, a.mc or 20, a.strategy, reduce=pre, seconds=a.t)
+        got = solve.monte_carlo(g, a.mc or 20, a.strategy, reduce=pre, seconds=a.t, hubs=a.hubs)
     else:
         got = solve.solve(g, a.t, reduce=pre)
     b = got.bounds.first()
@@ -84,7 +87,8 @@ def _solve(spark: SparkSession, a) -> int:
         print("no module holds all roots", file=sys.stderr)
         return 1
     value, bound = (b.score, b.ub) if prizes is None else (prizes - b.score, prizes - b.ub)
-    trace = [(round(time.monotonic() - began, 3), value)]
+    turned = (lambda v: v) if prizes is None else lambda v: prizes - v
+    trace = [(round(t, 3), turned(v)) for t, v in got.trace if v < b.score] + [(round(time.monotonic() - began, 3), value)]
     if a.v > 0:
         print(f"{b.status} score {b.score:.10g} bound {b.ub:.10g}" + ("" if prizes is None else f" cost {value:.10g}"), file=sys.stderr)
     name = (a.stp or a.pcst or a.nodes).rpartition("/")[2].rpartition(".")[0]
@@ -105,14 +109,14 @@ def check_file(spark: SparkSession, path: str, solution: str, pcst: bool = False
     faults = []
     ids = labels.distinct().join(g.nodes.select("id", "label"), "label", "left")
     for r in ids.where("id is null").orderBy("label").limit(20).collect():
-        faults.append(f"Node {r.label} missing in input file")
+        faults.append(f"vertex {r.label} is not in the instance")
     if pcst:
         mids = g.nodes.select("id", "label")
         named = edges.select("a", "b", F.concat("a", F.lit("--"), "b").alias("x"), F.concat("b", F.lit("--"), "a").alias("y"))
         hit = named.join(mids.select(F.col("label").alias("x"), F.col("id").alias("i")), "x", "left").join(mids.select(F.col("label").alias("y"), F.col("id").alias("j")), "y", "left")
         hit = hit.select("a", "b", F.coalesce("i", "j").alias("id"))
         for r in hit.where("id is null").limit(20).collect():
-            faults.append(f"Edge ({r.a},{r.b}) missing in input file")
+            faults.append(f"edge {r.a} {r.b} is not in the instance")
         module = ids.select("id").union(hit.select("id")).where("id is not null")
         own = None
     else:
@@ -121,11 +125,11 @@ def check_file(spark: SparkSession, path: str, solution: str, pcst: bool = False
         module = ids.where("id is not null").select("id")
     got = solve.check_solution(g, module, own).first()
     if got.unknown_edges:
-        faults.append(f"{got.unknown_edges} edges missing in input file")
+        faults.append(f"{got.unknown_edges} edges are not in the instance")
     if got.n_components > 1:
-        faults.append("Solution graph is not connected")
+        faults.append(f"the solution falls into {got.n_components} parts")
     if got.missing_roots:
-        faults.append(f"{got.missing_roots} root nodes missing")
+        faults.append(f"{got.missing_roots} roots are left out")
     return faults
 
 
@@ -168,7 +172,7 @@ def _runs(spark: SparkSession, a) -> int:
 
 def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="scorenet", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    top.add_argument("--version", action="version", version=f"Version number: {VERSION}")
+    top.add_argument("--version", action="version", version=f"scorenet {VERSION}")
     sub = top.add_subparsers(required=True)
 
     def command(name, run, network=True):
@@ -183,9 +187,9 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument("-stp", help="STP file of a weighted network")
             c.add_argument("-pcst", help="STP file of a prize-collecting instance")
             c.add_argument("-tau", type=float, help="score p-values by this threshold")
-            c.add_argument("-lambda", dest="lambda_", type=float, default=0.5)
-            c.add_argument("-a", type=float, default=0.5, help="with -lambda: the mixture that p-values follow")
-            c.add_argument("-fdr", "-FDR", dest="fdr", type=float, help="score p-values by this false discovery rate")
+            c.add_argument("-lambda", dest="lambda_", type=float)
+            c.add_argument("-a", type=float, help="with -lambda: the mixture that p-values follow")
+            c.add_argument("-fdr", "-FDR", dest="fdr", type=float, help="score p-values by this false discovery rate; without -lambda and -a it is the threshold itself")
             c.add_argument("-r", dest="root", action="append", help="label of a root")
             c.add_argument("-t", type=float, default=10.0, help="seconds for each component")
             c.add_argument("-p", action="store_true", help="do not reduce the network")
@@ -194,6 +198,7 @@ def main(argv: list[str] | None = None) -> int:
     c = command("solve", _solve)
     c.add_argument("-mc", type=int, default=0, help="so many drawn trees instead of an exact search")
     c.add_argument("-strategy", default="random", choices=("fixed", "random", "uniform_random", "min_max"))
+    c.add_argument("-hubs", action="store_true", help="drawn trees go through sampled negative hubs first")
     c.add_argument("-variant", choices=sorted(VARIANTS))
     c = command("check", _check, False)
     c.add_argument("-stp")

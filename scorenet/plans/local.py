@@ -135,16 +135,18 @@ class Search:
                 gain += rest if y in self.must else max(0.0, rest)
         return gain, seen
 
-    def run(self, root, forbidden=frozenset()) -> None:
-        stack = [(frozenset([root]), frozenset(forbidden), self.w[root])]
-        while stack:
+    def open(self, inside, out, total: float) -> float:
+        """The most that a state can still come to; minus infinity if it can't hold all that it must."""
+        gain, seen = self._reach(set(inside), set(out))
+        return total + gain if self.must <= seen else float("-inf")
+
+    def work(self, stack: list, steps: float = float("inf")) -> list:
+        """Expand states (inside, out, total), the last first, until there is none, ``steps`` are done or
+        the time is up; the states that are left. ``best`` and ``best_set`` are kept up to date."""
+        while stack and steps > 0 and not (self.deadline and time.monotonic() > self.deadline):
+            steps -= 1
             inside, out, total = stack.pop()
-            if self.deadline and time.monotonic() > self.deadline:
-                for a, b, t in [(inside, out, total), *stack]:
-                    self.open_bound = max(self.open_bound, t + self._reach(set(a), set(b))[0])
-                raise OutOfTime
-            gain, seen = self._reach(set(inside), set(out))
-            if not self.must <= seen or total + gain <= self.best:
+            if self.open(inside, out, total) <= self.best:
                 continue
             if total > self.best and self.must <= inside:
                 self.best, self.best_set = total, inside
@@ -158,9 +160,16 @@ class Search:
             y = max(edge, key=lambda y: (self.w[y] + sum(max(0, self.w[z]) for z in self.adj[y] if z not in inside and z not in out), -y))
             stack.append((inside, out | {y}, total))
             stack.append((inside | {y}, out, total + self.w[y]))
+        return stack
+
+    def run(self, root, forbidden=frozenset()) -> None:
+        left = self.work([(frozenset([root]), frozenset(forbidden), self.w[root])])
+        if left:
+            self.open_bound = max([self.open_bound, *(self.open(*state) for state in left)])
+            raise OutOfTime
 
 
-def _through(adj, must) -> frozenset:
+def joined(adj, must) -> frozenset:
     """A connected set that holds ``must``: shortest paths from its least node; what is unreachable is
     left out."""
     top = min(must)
@@ -183,7 +192,7 @@ def _rooted(adj, w, root, must, deadline):
     """(value, set, bound) of the best connected set with root and must. Out of time, the best so far,
     at least the set that simply joins them."""
     s = Search(adj, w, must, deadline)
-    first = _through(adj, frozenset(must) | {root})
+    first = joined(adj, frozenset(must) | {root})
     if must <= first:
         s.best, s.best_set = sum(w[x] for x in first), first
     try:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 import pandas as pd
@@ -15,17 +16,22 @@ from scorenet.operators.topology import components
 from scorenet.plans import local
 from scorenet.plans.draws import best_of_draws
 from scorenet.plans.reduce import reduced
+from scorenet.plans.waves import by_waves
 from scorenet.storage import written
 
+#: Most nodes of a component that one task searches whole.
+WHOLE = 1000
 SOLUTION = "comp long, id long, value double, bound double, status string"
 
 
 @dataclass(frozen=True)
 class Solution:
-    """ids (id) of the module in original ids, and bounds (score, ub, status), one row."""
+    """ids (id) of the module in original ids, bounds (score, ub, status), one row, and the trace of the
+    search: (seconds, score) of each better module as the rounds told of it."""
 
     ids: DataFrame
     bounds: DataFrame
+    trace: tuple[tuple[float, float], ...] = ()
 
 
 def _by_component(g: ScoredGraph, run, extra: DataFrame | None = None) -> DataFrame:
@@ -39,43 +45,59 @@ def _rows(comp, ids, value, bound, status) -> pd.DataFrame:
     return pd.DataFrame([(comp, i, value, bound, status) for i in (ids or [None])], columns=["comp", "id", "value", "bound", "status"]).astype({"id": "Int64"})
 
 
-def solve(g: ScoredGraph, seconds: float = 10.0, reduce: bool = True, at_once: int = 64) -> Solution:
+def solve(g: ScoredGraph, seconds: float = 10.0, reduce: bool = True, at_once: int = 64, whole: int = WHOLE) -> Solution:
     """The best connected module; empty with score 0 if no node is positive. With roots, the best one
-    that holds them all, from the component they lie in; none if they lie in several. Components are
-    searched by falling sums of their positive scores, ``at_once`` and then eight times as many at a time,
-    until none can hold a better module. One whose search runs out of time gives its best set and a valid
-    upper bound, never called optimal."""
+    that holds them all, from the component they lie in; none if they lie in several. Components of at
+    most ``whole`` nodes are searched one a group, by falling sums of their positive scores, ``at_once``
+    and then eight times as many at a time, until none can hold a better module. Larger ones that still
+    can are searched by ``waves``. One whose search runs out of time gives its best set and a valid upper
+    bound, never called optimal."""
+    began, trace = time.monotonic(), []
     rooted = bool(g.nodes.where("is_root").limit(1).count())
     if reduce:
         g = reduced(g)
     comp = written(components(g), "comp")
     scored = comp.join(g.nodes.select("id", "score", "is_root"), "id")
+    live = scored.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest("score", F.lit(0.0))).alias("bound"), F.bool_or("is_root").alias("r"))
     if rooted:
-        live = scored.where("is_root").select("comp", F.lit(0.0).alias("bound")).distinct()
+        live = live.where("r")
         if live.limit(2).count() > 1:
             return Solution(g.nodes.select("id").limit(0), g.spark.createDataFrame([(float("-inf"), float("-inf"), "INFEASIBLE")], "score double, ub double, status string"))
     else:  # components without a positive node cannot win
-        live = scored.groupBy("comp").agg(F.sum(F.greatest("score", F.lit(0.0))).alias("bound")).where("bound > 0")
-    order = written(numbered(live.select("comp", (-F.col("bound")).alias("less"), "bound"), "less", "comp"), "by_bound")
+        live = live.where("bound > 0")
+    live = written(live, "bounds")
+    order = written(numbered(live.where(F.col("n") <= whole).select("comp", (-F.col("bound")).alias("less"), "bound"), "less", "comp"), "by_bound")
 
     def run(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         w = dict(zip(nodes["id"], nodes["score"], strict=True))
         got = local.solve_component(w, list(zip(edges["u"], edges["v"], strict=True)), frozenset(nodes.loc[nodes["is_root"], "id"]), seconds)
         return _rows(int(nodes["comp"].iloc[0]), got[1], got[0], got[2], got[3])
 
-    found, done, best = None, 0, float("-inf")
+    def better(value: float) -> None:
+        if value > max([v for _, v in trace], default=float("-inf")):
+            trace.append((time.monotonic() - began, value))
+
+    def part_of(some: DataFrame) -> ScoredGraph:
+        return induced(g, written(comp.join(some.select("comp"), "comp", "left_semi").select("id"), "keep"))
+
+    found, done, best = g.spark.createDataFrame([], SOLUTION), 0, float("-inf")
     while (some := order.where((F.col("k") > done) & (F.col("k") <= done + at_once) & (F.lit(rooted) | (F.col("bound") > best)))).limit(1).count():
-        keep = written(comp.join(some.select("comp"), "comp", "left_semi").select("id"), "keep")
-        part = written(_by_component(induced(g, keep), run), "found")
+        part = written(_by_component(part_of(some), run), "found")
         best = max([best, *(r.m for r in part.agg(F.max("value").alias("m")).collect() if r.m is not None)])  # one row
-        found = part if found is None else found.unionByName(part)
+        better(best)
+        found = found.unionByName(part)
         done, at_once = done + at_once, 8 * at_once
-    if found is None:
-        found = g.spark.createDataFrame([], SOLUTION)
-    return _best(g, found)
+    large = live.where((F.col("n") > whole) & (F.lit(rooted) | (F.col("bound") > best)))
+    if large.limit(1).count():
+        least = float("-inf") if rooted else max(0.0, best)
+        got = by_waves(part_of(large).stored(), seconds, least, trace=better)
+        got = got.where("value is not null or bound is not null").select("comp", "id", F.coalesce("value", F.lit(float("-inf"))).alias("value"), F.coalesce("bound", "value").alias("bound"))
+        proved = F.col("bound") <= F.greatest("value", F.lit(least)) + 1e-9 * F.greatest(F.lit(1.0), F.abs("value"))
+        found = found.unionByName(written(got.withColumn("status", F.when(proved, "OPTIMAL").otherwise("TIME_LIMIT")), "found"))
+    return _best(g, found, trace=tuple(trace))
 
 
-def _best(g: ScoredGraph, found: DataFrame, short: str = "TIME_LIMIT") -> Solution:
+def _best(g: ScoredGraph, found: DataFrame, short: str = "TIME_LIMIT", trace: tuple = ()) -> Solution:
     each = found.select("comp", "value", "bound", "status").distinct()
     top = each.agg(F.max_by("comp", F.struct("value", -F.col("comp"))).alias("comp"), F.max("value").alias("score"), F.max("bound").alias("ub"), F.bool_and((F.col("status") == "OPTIMAL")).alias("all")).first()
     if top.comp is None:
@@ -83,7 +105,7 @@ def _best(g: ScoredGraph, found: DataFrame, short: str = "TIME_LIMIT") -> Soluti
     ids = found.where((F.col("comp") == top.comp) & F.col("id").isNotNull()).select("id")
     ub = max(top.ub, top.score)
     status = "OPTIMAL" if top.all or ub <= top.score + 1e-9 * max(1.0, abs(top.score)) else short
-    return Solution(written(g.originals(ids), "module"), g.spark.createDataFrame([(top.score, ub, status)], "score double, ub double, status string"))
+    return Solution(written(g.originals(ids), "module"), g.spark.createDataFrame([(top.score, ub, status)], "score double, ub double, status string"), trace)
 
 
 def monte_carlo(g: ScoredGraph, draws: int = 20, strategy: str = "random", reduce: bool = True, seconds: float | None = None, hubs: bool = False) -> Solution:

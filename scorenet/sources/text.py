@@ -1,17 +1,20 @@
 """Networks from text: label lists, STP files and solution files.
 
-Label lists are read by line. Section files are one instance each; they are read whole and checked."""
+All are read by line, large files by many tasks. Of section files the few lines that begin a section reach
+the driver; every other line learns its section from its place."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorenet.graph import ScoredGraph
+from scorenet.operators.ranking import numbered
+from scorenet.plans.pcst import pcst_graph
 from scorenet.storage import written
 
+#: Most sections of a file.
+MOST_SECTIONS = 1000
 NUMBER = r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?"
 STP_MAGIC = "33D32945"  # fixed value of the format
 
@@ -41,83 +44,102 @@ def read_labels(spark: SparkSession, nodes_path: str, edges_path: str, pvalues:
     return ScoredGraph.of(nodes, edges.select("u", "v"))
 
 
-def parse_stp(text: str) -> dict:
-    """{n, edges [(u, v, cost or None)], terminals {id: weight}, roots} of an STP file's text."""
-    lines = [x.split() for x in re.split(r"\r\n|\r|\n", text)]
-    if not text.startswith(STP_MAGIC):
-        raise ValueError("not an STP file")
-    out: dict = {"n": None, "edges": [], "terminals": {}, "roots": []}
-    m = t = None
-    section = ""
-    for w in lines:
-        if not w:
-            continue
-        head = w[0].lower()
-        if head == "section":
-            section = w[1].lower()
-        elif section == "graph" and head == "nodes":
-            out["n"] = int(w[1])
-        elif section == "graph" and head == "edges":
-            m = int(w[1])
-        elif section == "graph" and head == "e":
-            u, v = int(w[1]), int(w[2])
-            if not (1 <= u <= out["n"] and 1 <= v <= out["n"]):
-                raise ValueError(f"edge {u} {v} names an unknown node")
-            out["edges"].append((u, v, float(w[3]) if len(w) > 3 else None))
-        elif section == "terminals" and head == "terminals":
-            t = int(w[1])
-        elif section == "terminals" and head in ("t", "tp"):
-            out["terminals"][int(w[1])] = float(w[2])
-        elif section == "terminals" and head == "rootp":
-            out["roots"].append(int(w[1]))
-    if m != len(out["edges"]) or t != len(out["terminals"]) + len(out["roots"]):
-        raise ValueError("counts and rows differ")
-    return out
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    """(start, n, value, t): lines that are not empty with their tokens. ``start`` is the split's place in
+    the file and ``n`` ascends in it, so both together are the lines' order."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), "value")
+    return rows.where("trim(value) <> ''").select("start", "n", "value", F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("t"))
+
+
+def _sectioned(rows: DataFrame, head, name) -> tuple[DataFrame, list]:
+    """``rows`` with ``section``, the ``name`` of the last row before it (or itself) that is a ``head``, and
+    those heads: a section file has a few, which reach the driver; its other lines stay where they are."""
+    heads = rows.where(head).select("start", "n", name.alias("name")).orderBy("start", "n").limit(MOST_SECTIONS + 1).collect()
+    if len(heads) > MOST_SECTIONS:
+        raise ValueError("too many sections")
+    section = F.lit("")
+    for h in heads:
+        section = F.when((F.col("start") > h.start) | ((F.col("start") == h.start) & (F.col("n") >= h.n)), h.name).otherwise(section)
+    return rows.withColumn("section", section), heads
+
 
+def _section_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(section, head, t, value, start, n) of a file's lines, section and first token in lower case."""
+    first = F.lower(F.get("t", F.lit(0)))
+    rows, _ = _sectioned(_rows(spark, path), first == "section", F.lower(F.get("t", F.lit(1))))
+    return rows.select("section", first.alias("head"), "t", "value", "start", "n")
 
-def _whole(spark: SparkSession, path: str) -> str:
-    return spark.read.text(path, wholetext=True).first()[0]
+
+def _token(k: int, kind: str):
+    return F.get("t", F.lit(k)).try_cast(kind)
+
+
+def stp_tables(spark: SparkSession, path: str) -> tuple[int, DataFrame, DataFrame, DataFrame]:
+    """(number of nodes, edges (u, v, cost), terminals (id, weight), roots (id)) of an STP file, which many
+    tasks read. Counts that differ from the rows, edges to unknown nodes, and rows that lack a number are
+    errors; an edge may lack its cost."""
+    rows = written(_section_rows(spark, path), "section_rows")
+    top = rows.agg(F.min_by("value", F.struct("start", "n"))).first()[0]
+    if not (top or "").startswith(STP_MAGIC):
+        raise ValueError("not an STP file")
+    said = {(r.section, r.head): r.x for r in rows.where("(section = 'graph' and head in ('nodes', 'edges')) or (section = 'terminals' and head = 'terminals')").select("section", "head", _token(1, "long").alias("x")).collect()}  # three rows
+    n, m, t = said.get(("graph", "nodes")), said.get(("graph", "edges")), said.get(("terminals", "terminals"))
+    if n is None:
+        raise ValueError("the number of nodes is missing")
+    edges = rows.where("section = 'graph' and head = 'e'").select(_token(1, "long").alias("u"), _token(2, "long").alias("v"), _token(3, "double").alias("cost"), F.size("t").alias("k"))
+    ends = rows.where("section = 'terminals' and head in ('t', 'tp')").select(_token(1, "long").alias("id"), _token(2, "double").alias("weight"))
+    roots = rows.where("section = 'terminals' and head = 'rootp'").select(_token(1, "long").alias("id"))
+    inside = F.col("u").between(1, n) & F.col("v").between(1, n)
+    got = edges.agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.coalesce(inside, F.lit(False))).alias("odd"), F.count_if((F.col("k") > 3) & F.col("cost").isNull()).alias("bad")).first()
+    if got.odd:
+        raise ValueError(f"{got.odd} edges name unknown nodes")
+    # A terminal given twice counts once, so that the counts differ.
+    has = ends.agg(F.countDistinct("id").alias("t"), F.count_if(F.col("id").isNull() | F.col("weight").isNull()).alias("bad")).first()
+    if got.bad or has.bad:
+        raise ValueError("a number is malformed")
+    if (m or 0) != got.m or (t or 0) != has.t + roots.count():
+        raise ValueError("counts and rows differ")
+    return n, edges.select("u", "v", "cost"), ends, roots
 
 
 def read_stp(spark: SparkSession, path: str) -> ScoredGraph:
     """A weighted network: every node must be a terminal with its weight."""
-    x = parse_stp(_whole(spark, path))
-    if len(x["terminals"]) != x["n"]:
+    n, edges, ends, _ = stp_tables(spark, path)
+    if ends.count() != n:
         raise ValueError("every node needs a weight")
-    return ScoredGraph.of(spark.createDataFrame(list(x["terminals"].items()), "id long, score double"), spark.createDataFrame([e[:2] for e in x["edges"]], "u long, v long"))
+    return ScoredGraph.of(ends.select("id", F.col("weight").alias("score")), edges.select("u", "v"))
 
 
 def read_stp_pcst(spark: SparkSession, path: str) -> tuple[ScoredGraph, float]:
     """A prize-collecting instance as a scored network (``pcst_graph``), and the sum of prizes; roots
     have no prize. An edge without a cost costs nothing."""
-    from scorenet.plans.pcst import pcst_graph
-
-    x = parse_stp(_whole(spark, path))
-    roots = set(x["roots"])
-    nodes = [(i, x["terminals"].get(i, 0.0), i in roots) for i in range(1, x["n"] + 1)]
-    edges = [(u, v, c or 0.0) for u, v, c in x["edges"]]
-    g = pcst_graph(spark.createDataFrame(nodes, "id long, prize double, is_root boolean"), spark.createDataFrame(edges, "u long, v long, cost double"))
-    return g, sum(v for i, v in x["terminals"].items() if i not in roots)
+    n, edges, ends, roots = stp_tables(spark, path)
+    nodes = spark.range(1, n + 1).join(ends, "id", "left").join(roots.select("id", F.lit(True).alias("r")), "id", "left")
+    nodes = nodes.select("id", F.coalesce("weight", F.lit(0.0)).alias("prize"), F.coalesce("r", F.lit(False)).alias("is_root"))
+    g = pcst_graph(nodes, edges.select("u", "v", F.coalesce("cost", F.lit(0.0)).alias("cost")))
+    return g, nodes.where("not is_root").agg(F.coalesce(F.sum("prize"), F.lit(0.0))).first()[0]
 
 
 def read_dat(spark: SparkSession, path: str) -> ScoredGraph:
     """A network from a .dat file: a line that starts with ``node``, a heading, rows (number from 0, x, y,
     weight); a line that starts with ``link``, a heading, rows (number, node, node). Ids are the numbers
     and one, as STP files count from 1. A node out of turn is an error."""
-    nodes, edges, section, skip = [], [], "", False
-    for line in re.split(r"\r\n|\r|\n", _whole(spark, path)):
-        w = line.split()
-        if line.startswith(("node", "link")):
-            section, skip = line[:4], True
-        elif skip:
-            skip = False
-        elif w and section == "node":
-            if int(w[0]) != len(nodes):
-                raise ValueError(f"node {w[0]} out of turn")
-            nodes.append((len(nodes) + 1, float(w[3])))
-        elif w and section == "link":
-            edges.append((int(w[1]) + 1, int(w[2]) + 1))
-    return ScoredGraph.of(spark.createDataFrame(nodes, "id long, score double"), spark.createDataFrame(edges, "u long, v long"))
+    rows, heads = _sectioned(_rows(spark, path), F.regexp_like("value", F.lit("^(node|link)")), F.substring("value", 1, 4))
+    rows = written(rows, "dat_rows")
+    at = F.struct("start", "n")
+    skip = F.lit(False)
+    for h in heads:  # its own line and the heading after it
+        skip = skip | ((F.col("start") == h.start) & (F.col("n") == h.n))
+        next_ = rows.where((F.col("start") > h.start) | ((F.col("start") == h.start) & (F.col("n") > h.n))).agg(F.min(at).alias("a")).first().a
+        if next_ is not None:
+            skip = skip | ((F.col("start") == next_.start) & (F.col("n") == next_.n))
+    rows = rows.where(~skip)
+    nodes = numbered(rows.where("section = 'node'").select("start", "n", _token(0, "long").alias("number"), _token(3, "double").alias("score")), "start", "n")
+    odd = nodes.where((F.col("number") != F.col("k") - 1) | F.col("number").isNull() | F.col("score").isNull()).select("k").limit(1).collect()
+    if odd:
+        raise ValueError(f"node row {odd[0].k} out of turn")
+    links = rows.where("section = 'link'").select((_token(1, "long") + 1).alias("u"), (_token(2, "long") + 1).alias("v"))
+    return ScoredGraph.of(nodes.select(F.col("k").alias("id"), "score"), links)
 
 
 #: The fields of a run's log that a summary row has, in order.
@@ -145,15 +167,11 @@ def toy_graphs(spark: SparkSession) -> tuple[ScoredGraph, ScoredGraph]:
 def read_solution(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(label) and (a, b) of the final section of a solution file; an edge with an end that the vertices
     lack is an error."""
-    section, nodes, edges = "", [], []
-    for w in (x.split() for x in re.split(r"\r\n|\r|\n", _whole(spark, path))):
-        if w and w[0].lower() == "section":
-            section = w[1].lower()
-        elif w and section == "finalsolution" and w[0] == "V":
-            nodes.append((w[1],))
-        elif w and section == "finalsolution" and w[0] == "E":
-            edges.append((w[1], w[2]))
-    have = {x for (x,) in nodes}
-    if any(a not in have or b not in have for a, b in edges):
+    rows = written(_section_rows(spark, path).where("section = 'finalsolution'").select("t"), "solution_rows")
+    kind = F.get("t", F.lit(0))
+    nodes = rows.where(kind == "V").select(F.get("t", F.lit(1)).alias("label"))
+    edges = rows.where(kind == "E").select(F.get("t", F.lit(1)).alias("a"), F.get("t", F.lit(2)).alias("b"))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("label"))
+    if not ends.join(nodes, "label", "left_anti").isEmpty():
         raise ValueError("an edge names an unknown vertex")
-    return spark.createDataFrame(nodes, "label string"), spark.createDataFrame(edges, "a string, b string")
+    return nodes, edges

@@ -14,7 +14,7 @@ def test_solve_and_check(spark, tmp_path, kind, source):
     """By drawn trees and exactly, with the time that a search has at most; the checker takes both."""
     at, out = tmp_path / "in.stp", str(tmp_path / "out")
     at.write_text(source if "\n" in source else open(source).read())
-    for more in (["-mc", "3", "-p"], ["-t", "5", "-p"]):
+    for more in (["-mc", "3", "-p", "-hubs"], ["-t", "5", "-p"]):
         assert cli.main(["solve", f"-{kind}", str(at), "-o", out, "-v", "0", *more]) == 0
         assert cli.main(["check", f"-{kind}", str(at), "-s", out]) == 0
         lines = open(out).read().split("\n")
@@ -42,6 +42,11 @@ def test_other_commands(spark, tmp_path, capsys):
         assert cli.main(["print", "-kind", kind, "-p", *files]) == 0
     said = capsys.readouterr().out
     assert "a (pp) b\t0." in said and "@nodes" in said and "graph G {" in said
+    assert cli.main(["print", "-kind", "nodes", "-p", *files]) == 0
+    by_tau = capsys.readouterr().out
+    assert cli.main(["print", "-kind", "nodes", "-p", *files[:-2], "-fdr", "0.05"]) == 0
+    assert capsys.readouterr().out == by_tau  # without a mixture the rate is the threshold
+    assert cli.main(["print", "-kind", "nodes", "-p", *files[:-2], "-fdr", "0.05", "-a", "0.5"]) == 1
     assert cli.main(["pvalue", "-times", "3", *files]) == 0
     (tmp_path / "x.dat").write_text("node 2\nn x y w\n0 1 1 5\n1 2 2 -3\nlink 1\nl a b\n0 0 1\n")
     assert cli.main(["convert", str(tmp_path / "x.dat")]) == 0

@@ -6,7 +6,6 @@ from itertools import combinations, permutations
 import pytest
 
 from scorenet.plans import local
-from scorenet.sources.text import parse_stp
 from tests import instances
 
 
@@ -67,7 +66,7 @@ def test_time_is_up_in_a_chain():
 
 @pytest.mark.parametrize("text", [instances.weighted(1500, 5000, 1), *(open(p).read() for k, p in instances.given() if k == "stp")])
 def test_large_instance_in_seconds(text):
-    x = parse_stp(text)
+    x = instances.parse_stp(text)
     edges = [e[:2] for e in x["edges"]]
     drawn, _ = local.monte_carlo(x["terminals"], edges, seeds=range(5))
     value, ids, bound, _ = local.solve_component(x["terminals"], edges, seconds=6.0, draws=5)

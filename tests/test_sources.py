@@ -1,7 +1,10 @@
+import re
+
 import pytest
 
 from scorenet.plans import solve
 from scorenet.sources import text, writers
+from tests import instances
 
 
 def lines(df):
@@ -72,3 +75,35 @@ def test_numbered(spark):
     got = numbered(spark.range(500).selectExpr("id * 7919 % 500 as x", "id"), "x").collect()
     assert sorted((r.x, r.k) for r in got) == [(i, i + 1) for i in range(500)]
     assert numbered(spark.range(0), "id").count() == 0
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_section_files_in_many_splits(spark, tmp_path, end):
+    """Tables of files read by many tasks are those of a plain parser of the whole text."""
+    whole = {"a": instances.weighted(120, 300, 2), "b": instances.prizes(60, 150, 3)}
+    dat = ["node 3", "n x y w", *(f"{k} 1 1 {k - 40}" for k in range(90)), "link 2", "l a b", *(f"{k} {k} {k + 1}" for k in range(89))]
+    (tmp_path / "c").write_bytes(end.join(dat).encode())
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        for name, data in whole.items():
+            (tmp_path / name).write_bytes(data.replace("\n", end).encode())
+            x = instances.parse_stp(data)
+            n, edges, ends, roots = text.stp_tables(spark, str(tmp_path / name))
+            assert n == x["n"] and {r.id: r.weight for r in ends.collect()} == x["terminals"] and [r.id for r in roots.collect()] == x["roots"]
+            assert sorted((r.u, r.v, r.cost) for r in edges.collect()) == sorted(x["edges"])
+        g = text.read_dat(spark, str(tmp_path / "c"))
+        assert {r.id: r.score for r in g.nodes.collect()} == {k + 1: k - 40.0 for k in range(90)} and g.edges.count() == 89
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    good = whole["a"]
+    for bad in (good.replace("33D32945", "x"), re.sub(r"Edges \d+", "Edges 7", good), good.replace("\nE ", "\nE 9999 1\nE ", 1), good.replace("\nT 1 ", "\nT 1 x", 1)):
+        (tmp_path / "bad").write_text(bad)
+        with pytest.raises(ValueError):
+            text.read_stp(spark, str(tmp_path / "bad"))
+    (tmp_path / "c").write_text("\n".join(dat[:3] + dat[4:]))
+    with pytest.raises(ValueError, match="out of turn"):
+        text.read_dat(spark, str(tmp_path / "c"))
+    (tmp_path / "s").write_text("SECTION Finalsolution\nV 1\nE 1 2\nEnd\n")
+    with pytest.raises(ValueError, match="unknown vertex"):
+        text.read_solution(spark, str(tmp_path / "s"))
