@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from scorenet.functions import scoring
 from scorenet.graph import ScoredGraph
-from scorenet.operators import analysis, topology
+from scorenet.operators import analysis, paths, topology
 from scorenet.operators.components import connected_components
 from scorenet.plans import pcst, reduce, solve
+from scorenet.storage import written
 
 SHIFT = 1_000_000_000
 CUSTOMER, ACCOUNT = 2 * SHIFT, 3 * SHIFT
@@ -457,6 +458,66 @@ def equivalence_classes(spark, sf_dir):
     return analysis.equivalence_classes(_read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")))
 
 
+TERMINAL = 300_000  # cents from which a node of the dense network is a terminal
+
+
+@query(_sql("dense", f""", q AS (SELECT id, greatest(-score, 0) AS cost FROM n),
+w(k, id, dist) AS (SELECT 0, id, 0 FROM n WHERE score >= {TERMINAL}
+  UNION ALL SELECT DISTINCT k + 1, id, dist FROM (SELECT k, id, min(dist) OVER (PARTITION BY id) AS dist, dist AS d FROM (
+    SELECT w.k, w.id, w.dist FROM w UNION ALL SELECT w.k, a.nbr, w.dist + q.cost FROM w JOIN a ON a.id = w.id JOIN q ON q.id = a.nbr)) WHERE d = dist AND k < 12)
+SELECT id, CAST(dist AS BIGINT) AS dist FROM w WHERE k = 12"""))
+def nearest_terminal(spark, sf_dir):
+    """What the cheapest way to each node costs from a node of high score, negative nodes being paid for."""
+    g = _graph(spark, sf_dir, "dense")
+    return paths.nearest_sources(g, g.nodes.where(F.col("score") >= TERMINAL)).select("id", F.col("dist").cast("long").alias("dist"))
+
+
+@query(_sql("twin", """, p AS (SELECT d2.id, a, b, score FROM d2 JOIN n USING (id))
+SELECT x.id FROM p x WHERE x.score <= 0 AND EXISTS (SELECT 1 FROM p y WHERE y.a = x.a AND y.b = x.b AND y.id <> x.id
+  AND (y.score > 0 OR y.score > x.score OR (y.score = x.score AND y.id > x.id)))
+UNION SELECT x.id FROM d2 x JOIN n USING (id) WHERE score <= 0 AND (x.a, x.b) IN (SELECT (u, v) FROM e)"""))
+def detour_rule(spark, sf_dir):
+    """Nodes that a detour makes needless. In the twin network a way from a customer to its account leads
+    over one other order, or back and forth over more, which is never cheaper."""
+    return reduce.shortest_path(_graph(spark, sf_dir, "twin"))
+
+
+@query(_sql("path", "SELECT x.id AS cut_id, (dx.degree > 1)::INT + (dy.degree > 1)::INT AS block_degree FROM a x JOIN deg dx ON dx.id = x.id JOIN deg dy ON dy.id = x.nbr WHERE dx.degree > 1"))
+def block_cut_tree(spark, sf_dir):
+    """Each cut node with the cut nodes in each of its blocks; in a path the blocks are the edges."""
+    return topology.block_cut_tree(_graph(spark, sf_dir, "path")).select("cut_id", F.col("block_degree").cast("int").alias("block_degree"))
+
+
+@query(_sql("path", _cc(ALL_CC, "SELECT (SELECT count(*) FROM e) = count(*) - count(DISTINCT comp) AS is_forest, count(DISTINCT comp) <= 1 AS is_connected, (SELECT max(score) <= 0 FROM n) AS all_negative FROM c")))
+def network_kind(spark, sf_dir):
+    """Whether the paths are a forest, hang together, and have no positive node."""
+    g = _graph(spark, sf_dir, "path")
+    kind = [(topology.is_forest(g), topology.is_connected(g), bool(scoring.all_negative(g.nodes).first()[0]))]
+    return spark.createDataFrame(kind, "is_forest boolean, is_connected boolean, all_negative boolean")
+
+
+@query(_sql("fan", f"""SELECT u, v FROM (SELECT u, v FROM e WHERE v < {CUSTOMER} UNION SELECT a.u, b.u FROM e a JOIN e b ON a.v = b.v AND a.v >= {CUSTOMER} AND a.u % 50 = 7 AND b.u > a.u AND b.u < a.u + 40)
+WHERE u IN (SELECT id FROM n WHERE score > -200000) AND v IN (SELECT id FROM n WHERE score > -200000)"""))
+def network_edited(spark, sf_dir):
+    """Without the customers' edges, with edges between some orders of a customer, without dear nodes."""
+    g = _graph(spark, sf_dir)
+    own = g.edges.where(F.col("v") >= CUSTOMER)
+    first = own.where("u % 50 = 7").select(F.col("u").alias("a"), "v")
+    new = first.join(own, "v").where("u > a and u < a + 40").select(F.col("a").alias("u"), F.col("u").alias("v"))
+    return g.without_edges(own).with_edges(new).without(g.nodes.where("score <= -200000")).edges
+
+
+@query(_sql("fan", _cc("SELECT a.id AS x, nbr AS y FROM a JOIN n p ON p.id = a.id JOIN n q ON q.id = nbr WHERE p.score >= 0 AND q.score >= 0", f"""SELECT comp AS id, CAST(sum(score) AS BIGINT) AS score, count(*) AS n_originals,
+string_agg(CAST(id AS VARCHAR), '_' ORDER BY id) AS label FROM c JOIN n USING (id) GROUP BY comp HAVING comp < {CUSTOMER}""")))
+def merged_labels(spark, sf_dir):
+    """What contraction of non-negative neighbours makes: scores, provenance and labels of the merged."""
+    g = _graph(spark, sf_dir)
+    merge = written(connected_components(reduce.pos_edges(g)), "classes")
+    small = g.merged(merge.where("id <> comp").select(F.col("id").alias("old"), F.col("comp").alias("new"))).stored()
+    many = small.node_map.groupBy(F.col("pre_id").alias("id")).agg(F.count(F.lit(1)).alias("n_originals")).where("n_originals > 1")
+    return small.nodes.select("id", _long()).join(many, "id").join(small.joined_labels(g), "id").select("id", "score", "n_originals", "label")
+
+
 @query()
 def hub_sample(spark, sf_dir):
     return analysis.hub_sample(analysis.negative_hub_benefit(_graph(spark, sf_dir, "dense")).where("beneficial"))
