@@ -6,6 +6,7 @@ Networks are derived from whole tables; weights are whole cents or currency unit
 * fan: each customer is joined to all its orders, and each order to the customer's next one.
 * path: each customer is joined to its first order, and each order to the next.
 * twin: each order is joined to its customer and to that customer's account.
+* kite: each order is joined to the customer's next one, and every third number also to the customer.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ def _lines(spark, sf_dir, kind: str = "dense") -> DataFrame:
         return own.union(o.select("u", F.col("c") + ACCOUNT))
     rows = o.select("u", "c", F.lead("u").over(by_date).alias("v"), F.row_number().over(by_date).alias("k"))
     following = rows.where("v is not null").select("u", "v")
+    if kind == "kite":
+        return following.union(own.where("u % 3 = 0"))
     return following.union(own if kind == "fan" else rows.where("k = 1").select("u", F.col("c") + CUSTOMER))
 
 
@@ -70,11 +73,12 @@ RAW = {
     "dense": f"SELECT l_partkey AS u, l_suppkey + {SHIFT} AS v FROM lineitem",
     "fan": f"SELECT u, v FROM ({ORDER_ROWS}) WHERE v IS NOT NULL UNION ALL SELECT o_orderkey, o_custkey + {CUSTOMER} FROM orders",
     "path": f"SELECT u, v FROM ({ORDER_ROWS}) WHERE v IS NOT NULL UNION ALL SELECT u, c + {CUSTOMER} FROM ({ORDER_ROWS}) WHERE k = 1",
+    "kite": f"SELECT u, v FROM ({ORDER_ROWS}) WHERE v IS NOT NULL UNION ALL SELECT o_orderkey, o_custkey + {CUSTOMER} FROM orders WHERE o_orderkey % 3 = 0",
     "twin": f"SELECT o_orderkey AS u, o_custkey + {CUSTOMER} AS v FROM orders UNION ALL SELECT o_orderkey, o_custkey + {ACCOUNT} FROM orders",
 }
 SCORES = {"dense": f"""SELECT p_partkey AS id, CAST(round(p_retailprice * 100) AS BIGINT) - {PART_CENTS} AS score FROM part
       UNION ALL SELECT s_suppkey + {SHIFT}, CAST(round(s_acctbal * 100) AS BIGINT) - {SUPPLIER_CENTS} FROM supplier"""}
-SCORES["fan"] = SCORES["path"] = f"""SELECT o_orderkey AS id, CAST(round(o_totalprice) AS BIGINT) - {ORDER_UNITS} AS score FROM orders
+SCORES["fan"] = SCORES["path"] = SCORES["kite"] = f"""SELECT o_orderkey AS id, CAST(round(o_totalprice) AS BIGINT) - {ORDER_UNITS} AS score FROM orders
       UNION ALL SELECT c_custkey + {CUSTOMER}, CAST(round(c_acctbal * 100) AS BIGINT) - {CUSTOMER_CENTS} FROM customer"""
 SCORES["twin"] = f"{SCORES['fan']} UNION ALL SELECT c_custkey + {ACCOUNT}, -1000 * (c_nationkey + 1) FROM customer"
 
@@ -326,6 +330,31 @@ def blocks(spark, sf_dir):
     return topology.blocks(_graph(spark, sf_dir, "dense"))
 
 
+#: Blocks from what each cut node parts; numbered by the least node but for the one nearest the least of all.
+BLOCKS = """, r0(id, low) USING KEY (id) AS (SELECT id, id FROM n UNION SELECT a.nbr, min(r0.low) FROM r0 JOIN a ON a.id = r0.id JOIN recurring.r0 o ON o.id = a.nbr WHERE r0.low < o.low GROUP BY a.nbr),
+c AS (SELECT id, low AS comp FROM r0),
+s(gone, id, low) USING KEY (gone, id) AS (SELECT g.id, c.id, c.id FROM c g JOIN c ON c.comp = g.comp AND c.id <> g.id
+  UNION SELECT s.gone, a.nbr, min(s.low) FROM s JOIN a ON a.id = s.id JOIN recurring.s o ON o.gone = s.gone AND o.id = a.nbr WHERE a.nbr <> s.gone AND s.low < o.low GROUP BY s.gone, a.nbr),
+side AS (SELECT s.*, comp FROM s JOIN c USING (id) WHERE gone IN (SELECT gone FROM s GROUP BY gone HAVING count(DISTINCT low) > 1)),
+x AS (SELECT u, v, c.comp, coalesce(string_agg(low, ',' ORDER BY gone), '') AS part FROM e JOIN c ON c.id = u LEFT JOIN side ON side.comp = c.comp AND side.id = CASE WHEN u = gone THEN v ELSE u END GROUP BY 1, 2, 3),
+m AS (SELECT DISTINCT comp, part, unnest([u, v]) AS id FROM x),
+t AS (SELECT comp, part, comp AS top FROM m WHERE id = comp
+  UNION SELECT m.comp, m.part, m.id FROM m JOIN m y ON y.comp = m.comp AND y.part = m.part AND y.id <> m.id JOIN side o ON o.gone = m.id AND o.id = y.id JOIN side r ON r.gone = m.id AND r.id = m.comp WHERE r.low <> o.low),
+num AS (SELECT m.comp, m.part, dense_rank() OVER (PARTITION BY m.comp ORDER BY min(m.id)) - 1 AS block FROM m JOIN t USING (comp, part) WHERE m.id <> top GROUP BY 1, 2)
+SELECT comp, block, u, v FROM x JOIN num USING (comp, part)"""
+
+
+@query(_sql("kite", BLOCKS))
+def blocks_mixed(spark, sf_dir):
+    """Rings of orders around their customers, and the bridges that hang on them."""
+    return topology.blocks(_graph(spark, sf_dir, "kite"))
+
+
+@query(_sql("kite", BLOCKS.rpartition("SELECT")[0] + "SELECT id, count(*) AS n_blocks FROM m GROUP BY id HAVING count(*) > 1"))
+def articulation_mixed(spark, sf_dir):
+    return topology.articulation_points(_graph(spark, sf_dir, "kite"))
+
+
 @query()
 def msf_weight(spark, sf_dir):
     g = _graph(spark, sf_dir, "dense")
