@@ -40,15 +40,20 @@ def test_forests_are_solved(spark, small):
     assert value == want == sum(w[v] for v in ids) and whole(edges, ids)
 
 
-@pytest.mark.parametrize("strategy", draws.STRATEGIES)
-def test_drawn_sets(spark, strategy):
-    rng = random.Random(strategy)
-    w, edges, g = network(spark, rng, 25, 45)
-    got = solve.monte_carlo(g, 3, strategy, reduce=False, hubs=strategy == "uniform_random")
+def test_drawn_sets(spark):
+    w, edges, g = network(spark, random.Random(1), 25, 45)
+    got = solve.monte_carlo(g, 3, "uniform_random", reduce=False, hubs=True)
     row, ids = got.bounds.first(), {r.id for r in got.ids.collect()}
     assert row.score == sum(w[v] for v in ids) <= row.ub and whole(edges, ids) and row.score >= max(w.values())
-    costs = draws.drawn_costs(g, [0, 1], strategy, hubs=True)
-    assert costs.count() == 2 * len(edges) and costs.where("cost is null").count() == 0
+    lo, hi = min(w.values()), max(w.values())
+    for strategy in draws.STRATEGIES:
+        costs = draws.drawn_costs(g, [0, 1], strategy).collect()
+        assert sorted({(r.u, r.v) for r in costs}) == edges and len(costs) == 2 * len(edges)
+        for r in costs:
+            scaled = [(w[x] - lo) / (hi - lo) for x in (r.u, r.v)]
+            exact = {"fixed": -(w[r.u] + w[r.v]), "min_max": 2 - sum(scaled)}.get(strategy)
+            least = 2 - sum(scaled) if strategy == "uniform_random" else 0.0
+            assert abs(r.cost - exact) < 1e-9 if exact is not None else least <= r.cost <= 2
 
 
 def test_roots_are_held(spark):
