@@ -1,16 +1,20 @@
 """Language-model scoring by a hierarchical Pitman-Yor model of words.
 
 A restaurant stands for the word before a token; the parent of all these is the restaurant of all words.
-A restaurant's tables are its parent's customers. The top restaurant has one table for each known word,
-and what it keeps for new tables is the probability of the unknown word, one event. Tables are sampled by
-Gibbs steps, from the contexts to the top and back; predictive probabilities are averaged over samples.
+A restaurant's tables are its parent's customers. Tables of contexts are sampled by Gibbs steps twice: first
+under the word shares of their shard, which gives the top restaurant its customers, then under the top as
+it then stands; predictive probabilities are averaged over the samples of the second run. The top is not
+sampled: it has one table for each known word, and what it keeps for new tables is the probability of the
+unknown word, one event. Discounts come from numbers of pairs with one and two customers, the strength is
+one for all restaurants.
 
 Tokens are dealt by the word before them to shards, so that each shard holds whole context restaurants.
 The number of shards and each one's seed follow from the data alone, so scores do not depend on how rows
 lie in partitions. Tokens and their words travel as packed columns, a block for each shard. Shards send
 what they have of each word to shards of words, which answer with sums over all; nothing of the vocabulary
 goes to the driver. A word before more than ``UNIT`` tokens has several restaurants, one for each group of
-words before it, each with about that many customers.
+words before it, each with about that many customers; scores of its tokens differ from those under a single
+restaurant.
 """
 
 from __future__ import annotations
