@@ -14,8 +14,18 @@ def _unit(name: str, x: float) -> None:
 
 
 def log_of(p: Column) -> Column:
-    """Natural logarithm with minus infinity at zero, where Spark's is null."""
-    return F.when(p == 0, F.lit(float("-inf"))).otherwise(F.ln(p))
+    """Natural logarithm with minus infinity at zero and nan below it, where Spark's is null."""
+    return F.when(p == 0, F.lit(float("-inf"))).when(p < 0, F.lit(float("nan"))).otherwise(F.ln(p))
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` to so many digits as SQL engines round doubles: half away from zero once multiplied, the sign
+    of zero kept. Spark's own rounds the shortest decimal text of ``x``, which differs near halves."""
+    unit = 10.0**digits
+    y = F.abs(x) * unit
+    low = F.floor(y).cast("double")
+    near = F.signum(x) * F.when(y - low >= 0.5, low + 1.0).otherwise(low) / unit
+    return F.when(F.isnan(x) | (y >= 2.0**52), F.when(y < 2.0**1000, F.signum(x) * (y / unit)).otherwise(x)).otherwise(near)
 
 
 def score_tau(p: Column, tau: float) -> Column:
