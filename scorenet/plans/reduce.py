@@ -127,24 +127,39 @@ def pos_diamond(g: ScoredGraph) -> DataFrame:
     return both.select(pick.alias("id")).where("id is not null").distinct()
 
 
+def _by_pairs(pairs: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates of ``shortest_path`` among ``pairs`` (id, score, is_root, a, b) without a detour by an edge
+    from a to b or over one other node of ``pairs``, and the ids of those that have one."""
+    low = (F.col("score") <= 0) & ~F.col("is_root")
+    best = pairs.groupBy("a", "b").agg(F.max(F.when(low, F.struct("score", "id"))).alias("top"), F.max(F.when(~low, F.least("score", F.lit(0.0)))).alias("free"))
+    direct = edges.select(F.col("u").alias("a"), F.col("v").alias("b"), F.lit(True).alias("direct"))
+    marked = pairs.where(low).join(best, ["a", "b"]).join(direct, ["a", "b"], "left")
+    short = F.coalesce("direct", F.lit(False)) | (F.col("top.id") != F.col("id")) | F.coalesce(F.col("free") >= F.col("score"), F.lit(False))
+    marked = written(marked.withColumn("short", short), "paired")
+    return marked.where("not short").select("id", "score", "a", "b"), marked.where("short").select("id")
+
+
 def shortest_path(g: ScoredGraph, width: float | None = None) -> DataFrame:
     """Non-positive nodes of degree 2 with a detour between their neighbours, of any length, that costs no
     more. A detour may use no other candidate that is not greater in the order of (score, id), so all such
     nodes can go at once. The searches of all candidates run side by side, each from the neighbour with
-    fewer neighbours, within what the candidate costs, and end when they reach the other."""
+    fewer neighbours, within what the candidate costs, and end when they reach the other. Detours by an edge
+    or one node of degree 2 are found first, by the pair of neighbours; those candidates are not searched."""
     degree = written(node_degrees(g), "degrees")
-    cand = degree2(g).where("score <= 0 and not is_root")
+    pairs = written(degree2(g), "pairs")
+    cand, plain = _by_pairs(pairs, g.edges)
+    every = pairs.where("score <= 0 and not is_root").select("id", F.lit(True).alias("is_cand"))
     ends = [degree.select(F.col("id").alias(c), F.col("degree").alias(f"d{c}")) for c in "ab"]
     cand = cand.join(ends[0], "a").join(ends[1], "b").select(F.col("id").alias("key"), F.col("score").alias("sc"), F.when(F.col("da") <= F.col("db"), F.col("a")).otherwise(F.col("b")).alias("id"), F.when(F.col("da") <= F.col("db"), F.col("b")).otherwise(F.col("a")).alias("goal"))
     cand = written(cand, "candidates")
-    costs = g.nodes.join(cand.select(F.col("key").alias("id"), F.lit(True).alias("is_cand")), "id", "left")
+    costs = g.nodes.join(every, "id", "left")
     costs = costs.select("id", F.greatest(-F.col("score"), F.lit(0.0)).alias("cost"), F.col("score").alias("sx"), "is_cand")
     at_goal = F.col("id") == F.col("goal")
     free = F.col("is_cand").isNull() | (F.col("sx") > F.col("sc")) | ((F.col("sx") == F.col("sc")) & (F.col("id") > F.col("key")))
     allowed = (F.col("id") != F.col("key")) & (F.col("dist") <= -F.col("sc")) & (at_goal | free)
     start = cand.select("key", "id", F.lit(0.0).alias("dist"), "sc", "goal")
     found = least_costs(symmetric(g.edges), costs, start, ("sc", "goal"), F.when(at_goal, 0.0).otherwise(F.col("cost")), allowed, at_goal, width)
-    return found.where(at_goal).select(F.col("key").alias("id"))
+    return plain.unionByName(found.where(at_goal).select(F.col("key").alias("id")))
 
 
 def removing(find: Callable[[ScoredGraph], DataFrame]) -> Rule:
