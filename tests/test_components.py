@@ -55,3 +55,4 @@ def test_rounds_shrink_and_tasks_stay_small(spark, monkeypatch):
     low = components.F.when(components.F.col("id") < 5000, 0).otherwise(components.F.floor(components.F.col("id") / 10) * 10)
     assert got.where(components.F.col("comp") != low).count() == 0 and got.count() == n
     assert len(sizes) > 3 and all(b < 0.8 * a for a, b in zip(sizes[:6], sizes[1:], strict=False))
+    assert components.HELD <= 300_000
