@@ -89,3 +89,18 @@ def test_kind_finds_components_once(spark, monkeypatch):
     real = topology.components
     monkeypatch.setattr(topology, "components", lambda g: calls.append(1) or real(g))
     assert q.network_kind(spark, SF).first().is_forest and calls == [1]
+
+
+def test_edges_are_dealt_by_rows(spark, monkeypatch):
+    """A task that drops repeated edges has a bounded number of rows, however few bytes they take."""
+    from pyspark.sql import functions as F
+
+    from scorenet import graph
+
+    monkeypatch.setattr(graph, "TASK_ROWS", 500)
+    raw = spark.range(5000).select((F.col("id") % 2000).alias("u"), (F.col("id") % 2000 + 1).alias("v"))
+    g = ScoredGraph.of_ends(spark.range(2001).select("id", F.lit(1.0).alias("score")), raw)
+    sizes = [r["count"] for r in g.edges.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 2000 == g.edges.distinct().count() and len(sizes) == 10 and max(sizes) <= 500
+    nodes = [r["count"] for r in g.nodes.groupBy(F.input_file_name()).count().collect()]
+    assert sum(nodes) == 2001 and len(nodes) == 8
