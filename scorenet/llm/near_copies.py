@@ -11,6 +11,8 @@ not joined yet are compared, and a forest of the links leaves the task, never th
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,11 +28,12 @@ from scorenet.storage import dropped, written
 OVER, UNDER = 4, 5
 #: Differing bits of candidates. At 4/5 a fingerprint differs in 9.7 bits in the mean, deviation 2.9.
 MOST_BITS = 20
-#: Keys of a document among its rare shingles, and as many among frequent ones where these are many.
-KEYS, MANY_FREQUENT = 4, 0.45
-#: Documents of the sample that tells frequent shingles, in how many of them, and most of them. Which
-#: shingles it finds bears on speed alone: either kind of shingles has keys of its own.
-SAMPLE_DOCS, FREQUENT_FROM, SAMPLE_SHINGLES = 20_000, 3, 500_000
+#: Keys of a document among its rare shingles, and as many among frequent ones where these are so large
+#: a part of its LOW least hashes.
+KEYS, MANY_FREQUENT, LOW = 4, 0.35, 32
+#: A shingle is frequent if it is among the LOW least of FREQUENT_FROM in SAMPLE_DOCS of all distinct sets,
+#: of FREQUENT_FROM at least; every set is counted. So no more than LOW * SAMPLE_DOCS / FREQUENT_FROM are.
+SAMPLE_DOCS, FREQUENT_FROM = 20_000, 3
 #: Shingles of a task that compares sets, and of a block's part.
 TASK_SHINGLES = 2_000_000
 #: Hashes of a set that are compared between two looks at what the rest can still give.
@@ -68,8 +71,9 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def keys_of(h: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """Keys of a set: the least hashes of its rare shingles; of its frequent ones too where those are so
-    many that differences elsewhere could leave the rare ones apart. ``often`` is sorted."""
+    """Keys of a set of which ``h`` are the least hashes: the least of its rare shingles; of its frequent
+    ones too where those are so many that differences elsewhere could leave the rare ones apart. ``often``
+    is sorted."""
     if not len(often) or not len(h):
         return h[:KEYS]
     known = often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h
@@ -79,18 +83,17 @@ def keys_of(h: np.ndarray, often: np.ndarray) -> np.ndarray:
     return rare[:KEYS]
 
 
-def frequent_shingles(texts: DataFrame, count: int, shingle: int) -> np.ndarray:
-    """Hashes of shingles that several documents of a bounded sample share, ascending."""
+def frequent_shingles(nodes: DataFrame, count: int) -> np.ndarray:
+    """Hashes that are among the least (``low``) of many of all ``count`` distinct sets, ascending. Keys come
+    from the same lists, so no block of a rare key has more sets than that."""
+    many = max(FREQUENT_FROM, math.ceil(FREQUENT_FROM * count / SAMPLE_DOCS))
+    often = nodes.select(F.explode("low").alias("h")).groupBy("h").count().where(F.col("count") >= many)
+    return np.sort(often.select("h").toArrow().column("h").to_numpy().view(np.uint64))  # at most LOW * SAMPLE_DOCS / FREQUENT_FROM rows
 
-    def run(batches):
-        for _, rows in rows_by_size(batches, 500):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*(shingle_hashes(t, shingle) for t in rows), np.zeros(0, np.uint64)]).view(np.int64))], names=["h"])
 
-    share = min(1.0, SAMPLE_DOCS / max(1, count))
-    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("doc_id", "text")
-    often = some.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT_FROM)
-    got = often.orderBy(F.desc("n"), "h").limit(SAMPLE_SHINGLES).select("h").toArrow()  # at most SAMPLE_SHINGLES rows
-    return np.sort(got.column("h").to_numpy().view(np.uint64))
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    flat = pa.array(np.concatenate([*rows, np.zeros(0, np.int64)]))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(k) for k in rows])].astype(np.int32)), flat)
 
 
 def candidates(key: np.ndarray, n: np.ndarray, fp: np.ndarray):
@@ -120,25 +123,35 @@ def near_copies(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col:
     rows repeat; an empty table gives an empty result; other columns are not read."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    frequent = spark.sparkContext.broadcast(frequent_shingles(texts, texts.count(), shingle))
 
     def sketch(batches):
-        often = frequent.value
         for ids, rows in rows_by_size(batches, 500):
-            nodes, sizes, fps, keys = [], [], [], []
+            nodes, sizes, fps, low = [], [], [], []
             for t in rows:
                 h = shingle_hashes(t, shingle)
                 nodes.append(xxhash.xxh3_64_intdigest(h.tobytes()))
                 sizes.append(len(h))
                 fps.append(majority_bits(h.view(np.uint8)))
-                keys.append(keys_of(h, often).view(np.int64))
-            flat = pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]))
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), lists], names=["doc_id", "node", "n", "fp", "keys"])
+                low.append(h[:LOW].view(np.int64))
+            lists = _lists(low)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), lists], names=["doc_id", "node", "n", "fp", "low"])
+
+    whole = written(texts.mapInArrow(sketch, "doc_id long, node long, n long, fp long, low array<long>"), "sketches")
+    nodes = whole.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("low").alias("low"), F.count(F.lit(1)).alias("rows"))
+    least = written(nodes, "least")
+    frequent = spark.sparkContext.broadcast(frequent_shingles(least, least.count()))
+
+    def keyed(batches):
+        often = frequent.value
+        for b in batches:
+            low = b.column(5)
+            flat, at = low.flatten().to_numpy().view(np.uint64), np.r_[0, np.cumsum(low.value_lengths().to_numpy())]
+            keys = [keys_of(flat[i:j], often).view(np.int64) for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], _lists(keys)], names=["node", "id", "n", "fp", "rows", "keys"])
 
-    whole = written(texts.mapInArrow(sketch, "doc_id long, node long, n long, fp long, keys array<long>"), "sketches")
-    nodes = whole.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows"))
+    nodes = least.select("node", "id", "n", "fp", "rows", "low").mapInArrow(keyed, "node long, id long, n long, fp long, rows long, keys array<long>")
     nodes = written(nodes, "nodes")
+    dropped(least)
 
     def met(batches):
         def done(t):

@@ -86,3 +86,14 @@ def test_pipeline_runs_whole(spark):
     for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect():
         pieces[r.doc_id] += r.length
     assert pieces.keys() == kept[2].keys()
+
+
+def test_frequent_shingles_of_all_sets(spark, monkeypatch):
+    """Every set counts, not those of a sample: a shingle that few of many sets share is found."""
+    monkeypatch.setattr(near_copies, "SAMPLE_DOCS", 50)
+    sets = [[-5, 7, 1000 + i] if i in (3, 4, 900, 901, 902, 903) else [2000 + i, 4000 + i] for i in range(100)]
+    nodes = spark.createDataFrame([(s,) for s in sets], "low array<long>").repartition(3)
+    assert near_copies.frequent_shingles(nodes, 100).tolist() == []  # two of six in question are there
+    sets = [[-5, 7, 1000 + i] if i % 17 == 0 else [2000 + i, 4000 + i] for i in range(100)]
+    nodes = spark.createDataFrame([(s,) for s in sets], "low array<long>").repartition(3)
+    assert near_copies.frequent_shingles(nodes, 100).tolist() == [7, (1 << 64) - 5]
