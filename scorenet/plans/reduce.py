@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from scorenet.graph import ScoredGraph, symmetric
 from scorenet.operators.components import connected_components
+from scorenet.operators.parts import WHOLE, in_parts, streamed
 from scorenet.operators.paths import least_costs
 from scorenet.operators.ranking import numbered
+from scorenet.plans.part_rules import SETTLED, settled
 from scorenet.storage import written
 
 Rule = Callable[[ScoredGraph], tuple[ScoredGraph, bool]]
@@ -215,10 +217,43 @@ PHASES: list[list[Rule]] = [
 EXTRA_RULES: list[Rule] = [removing(neg_circuit), removing(neg_diamond), removing(dominated_hubs)]
 
 
-def reduced(g: ScoredGraph, phases: list[list[Rule]] | None = None, most_rounds: int = 200) -> ScoredGraph:
-    """All phases to a fixpoint; more than ``most_rounds`` rounds raise an error."""
-    phases = PHASES if phases is None else phases
+def _small_parts(g: ScoredGraph, whole: int) -> tuple[ScoredGraph, bool]:
+    """``g`` with the rules of ``PHASES`` settled in components of at most ``whole`` edges, which go whole to
+    tasks, and whether there are larger ones. A leaf's copy stays if it reaches the lower bound at the end; as
+    that never falls without roots, no other copy would outlast the rules on tables."""
+    floor, rooted, top, odd = g.nodes.agg(F.greatest(F.max("score"), F.lit(0.0)), F.bool_or("is_root"), F.max("id"), F.count_if(F.col("score").isNull() | F.isnan("score"))).first()
+    if floor is None or odd:
+        return g, True
+    edges, _, more = in_parts(g.edges, whole)
+    ends = edges.select("comp", F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.min("comp").alias("comp"))
+    nodes = g.nodes.join(ends, "id").select("comp", F.col("id").alias("u"), F.lit(None).cast("long").alias("v"), "score", "is_root")
+    rows = nodes.unionByName(edges.select("comp", "u", "v"), allowMissingColumns=True)
+    got = written(streamed(rows, lambda t: settled(t, floor, rooted), SETTLED), "settled")
+    moved, copies = got.where("not copy"), got.where("copy")
+    out = g.without(moved.where("new is null").select(F.col("old").alias("id"))).merged(moved.where("new is not null").select("old", "new")).stored()
+    bound = out.nodes.select("score").unionByName(copies.select("score")).agg(F.greatest(F.max("score"), F.lit(0.0))).first()[0]
+    copies = written(copies.where(F.col("score") >= bound).select("old", F.col("new").alias("id")), "copies")
+    if not copies.isEmpty():
+        each = written(numbered(copies.select("old").distinct(), "old").select("old", (F.col("k") + top).alias("set_id")), "copied")
+        fresh = g.extracted(copies.join(each, "old").select("set_id", "id"))
+        labels = each.join(g.nodes.select(F.col("id").alias("old"), "label"), "old").select(F.col("set_id").alias("id"), "label")
+        nodes = fresh.nodes.where(F.col("id") > top).drop("label").join(labels, "id").select(*g.nodes.columns)
+        out = ScoredGraph(out.nodes.unionByName(nodes), out.edges, out.node_map.unionByName(fresh.node_map.where(F.col("pre_id") > top)))
+    if not more:
+        alone = node_degrees(out).where((F.col("degree") == 0) & (F.col("score") < (bound or 0.0)) & ~F.col("is_root"))
+        out = out.without(written(alone.select("id"), "gone"))
+    return out.stored(), more
+
+
+def reduced(g: ScoredGraph, phases: list[list[Rule]] | None = None, most_rounds: int = 200, whole: int = WHOLE) -> ScoredGraph:
+    """All phases to a fixpoint. With those of ``PHASES`` components of at most ``whole`` edges are settled in
+    tasks first. Others are changed as tables; more than ``most_rounds`` rounds of these raise an error."""
     g = g.stored()
+    if phases is None:
+        g, more = _small_parts(g, whole)
+        if not more:
+            return g
+    phases = PHASES if phases is None else phases
     k = 0
     for _ in range(most_rounds):
         if k == len(phases):

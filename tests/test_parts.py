@@ -5,11 +5,12 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from scorenet import queries as q
 from scorenet.graph import ScoredGraph
 from scorenet.operators import components, paths, topology
-from scorenet.plans import draws, reduce, solve
+from scorenet.plans import draws, part_rules, reduce, solve
 
 SF = "/root/testdata/sf0.001"
 
@@ -104,3 +105,53 @@ def test_edges_are_dealt_by_rows(spark, monkeypatch):
     assert sum(sizes) == 2000 == g.edges.distinct().count() and len(sizes) == 10 and max(sizes) <= 500
     nodes = [r["count"] for r in g.nodes.groupBy(F.input_file_name()).count().collect()]
     assert sum(nodes) == 2001 and len(nodes) == 8
+
+
+def as_part(g):
+    nodes, edges = sorted(map(tuple, g.nodes.select("id", "score", "is_root").collect())), g.edges.collect()
+    at = {r[0]: i for i, r in enumerate(nodes)}
+    u, v = (np.array([at[x] for x in c]) for c in zip(*edges, strict=True))
+    comp = components.merge_labels(np.arange(len(at)), u, v)
+    return np.array([*at]), part_rules.Part(comp, np.array([r[1] for r in nodes]), np.array([r[2] for r in nodes]), u, v)
+
+
+@pytest.mark.parametrize("name", ["neg_deg01", "pos_edges", "neg_chain_edges", "pos_diamond", "mirrored_hubs", "shortest_path"])
+def test_array_rules(spark, name, monkeypatch):
+    """Each rule finds in arrays what it finds in tables; searches for detours go in several chunks."""
+    monkeypatch.setattr(part_rules, "SEARCHED", 30)
+    extra = [(90_000 + 10 * k + i, float(s)) for k in range(8) for i, s in enumerate([-3 + k % 3, -3, 5, 4 - k % 2, 5, -2, -1, -1])]
+    edges = [(90_000 + 10 * k + a, 90_000 + 10 * k + b) for k in range(8) for a, b in [(0, 2), (0, 3), (0, 4), (1, 2), (1, 3), (1, 4), *([(4, 5), (5, 6), (6, 7), (7, 4)] if k % 2 else [])]]
+    g = mixed(spark, 5)
+    g = ScoredGraph.of(g.nodes.select("id", "score").union(spark.createDataFrame(extra, "id long, score double")), g.edges.union(spark.createDataFrame(edges, "u long, v long")))
+    g = g.with_roots(spark.createDataFrame([(0,), (101,), (90_000,), (90_021,)], "id long")).stored()
+    ids, p = as_part(g)
+    got = getattr(part_rules, name)(p)
+    want = sorted(map(tuple, getattr(reduce, name)(g).collect()))
+    assert want and want == sorted(zip(ids[p.u[got]].tolist(), ids[p.v[got]].tolist()) if got.dtype == bool else ((x,) for x in ids[got].tolist()))
+
+
+def test_reduction_of_parts(spark):
+    """Small components settle in tasks as they do by tables, but for the ids of copied leaves."""
+    g = mixed(spark, 5)
+    top = g.nodes.agg({"id": "max"}).first()[0]
+
+    def known(t, name):
+        return sorted(map(tuple, t.withColumn(name, F.least(name, F.lit(top + 1))).collect()), key=str)
+
+    want = reduce.reduced(g, reduce.PHASES)
+    got, more = reduce._small_parts(g, 1000)
+    assert not more
+    assert known(got.nodes, "id") == known(want.nodes, "id")
+    assert known(got.edges, "u") == known(want.edges, "u")
+    assert known(got.node_map, "pre_id") == known(want.node_map, "pre_id")
+
+
+def test_reduction_of_parts_needs_no_rules_on_tables(spark, monkeypatch):
+    """Networks of small components settle without a round on tables; larger ones go on as tables."""
+    rounds = []
+    monkeypatch.setattr(reduce, "PHASES", [[lambda g: (g, bool(rounds.append(1)))]])
+    g = mixed(spark, 5)
+    reduce.reduced(g)
+    assert not rounds
+    reduce.reduced(g, whole=8)
+    assert rounds
