@@ -24,26 +24,38 @@ def gram_key(context: np.ndarray, ch: np.ndarray) -> np.ndarray:
     return mixed(context * np.uint64(31) + ch.astype(np.uint64) + np.uint64(7))
 
 
-def spell(texts: list[bytes], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first place of each text, character of each place, contexts by length and place) of texts in
-    UTF-8 that hold no line feed, which is the end mark. Contexts have rows 0 to ``longest``; the empty
-    context is 0."""
+def preceding(texts: list[bytes], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place of each text, character of each place, what stands 1 to ``longest`` places before it) of
+    texts in UTF-8 that hold no line feed, which is the end mark. A character counts as its code and 1, the
+    start mark as 1, nothing as 0."""
     text = (b"\n".join(texts) + b"\n").decode("utf-8", "surrogatepass")
     ch = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.flatnonzero(ch == 10)
     first = np.r_[0, ends[:-1] + 1]
     inside = np.arange(len(ch)) - np.repeat(first, ends - first + 1)
-    contexts = np.zeros((longest + 1, len(ch)), np.uint64)
+    before = np.zeros((longest, len(ch)), np.uint32)
+    for k in range(1, longest + 1):
+        before[k - 1, k:] = ch[:-k] + np.uint32(1)
+        before[k - 1, inside == k - 1] = 1  # the start mark
+        before[k - 1, inside < k - 1] = 0
+    return first, ch, before
+
+
+def hashed(before: np.ndarray) -> np.ndarray:
+    """Contexts, rows 0 to the number of rows given, of what stands before places; the empty context is 0."""
+    contexts = np.zeros((len(before) + 1, before.shape[1]), np.uint64)
     power = np.uint64(1)
     with np.errstate(over="ignore"):
-        for k in range(1, longest + 1):
+        for k, row in enumerate(before, 1):
             power = power * _BASE
-            before = np.zeros(len(ch), np.uint64)
-            before[k:] = ch[:-k] + np.uint64(1)
-            before[inside == k - 1] = 1  # the start mark
-            before[inside < k - 1] = 0
-            contexts[k] = contexts[k - 1] + before * power
-    return first, ch, contexts
+            contexts[k] = contexts[k - 1] + row.astype(np.uint64) * power
+    return contexts
+
+
+def spell(texts: list[bytes], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place of each text, character of each place, contexts by length and place) of such texts."""
+    first, ch, before = preceding(texts, longest)
+    return first, ch, hashed(before)
 
 
 class KeyTable:

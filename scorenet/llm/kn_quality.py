@@ -1,12 +1,12 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-The model is trained on a bounded sample of trusted documents, over their characters, words parted by one
-space; contexts run over the ends of words, so that order and repetition count. Counts, continuation
-counts and context totals are DataFrames sharded by hash and joined level by level into interpolated
-probabilities; the finished table, whose size the sample bounds, goes to the executors. A document's
-perplexity is compared with a threshold for its language, taken from quantiles of labelled documents that
-the model has not seen. As that of a short text is little more than chance, it is first drawn towards the
-language's mean, as if the text had some more characters of mean perplexity.
+The model is trained on half of the trusted documents, over their characters, words parted by one space;
+contexts run over the ends of words, so that order and repetition count. Counts, continuation counts and
+context totals are DataFrames sharded by hash and joined level by level into interpolated probabilities; the
+finished table of the distinct n-grams, which are far fewer than the characters, goes to the executors. A
+document's perplexity is compared with a threshold for its language, taken from quantiles of all labelled
+documents that the model has not seen. As that of a short text is little more than chance, it is first drawn
+towards the language's mean, as if the text had some more characters of mean perplexity.
 """
 
 from __future__ import annotations
@@ -19,18 +19,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
-from scorenet.llm.backoff import BackoffTable, KeyTable, gram_key, mixed, spell
+from scorenet.llm.backoff import BackoffTable, KeyTable, gram_key, hashed, mixed, preceding
 from scorenet.llm.text_units import forget_encoders, give_back, rows_of
 from scorenet.storage import dropped, written
 
-#: Most trusted documents in training and most characters of them all; most labelled documents of either
-#: kind in calibration.
-TRAIN_DOCS, TRAIN_CHARS, CALIBRATION_DOCS = 4_000, 6_000_000, 5_000
 LONGEST = 5  # characters of context
 TRUSTED_QUANTILE, JUNK_QUANTILE = 0.998, 0.01
 PRIOR_CHARS = 100
 LEAST_LABELS = 30  # labels from which a language gets a threshold of its own
 AT_ONCE = 400_000  # bytes of text that are scored at once
+GRAMS_HELD = 1_000_000  # distinct n-grams that a task counts before it hands them on
 
 
 def _plain(text: str | None) -> bytes:
@@ -50,51 +48,72 @@ def _portions(texts: list[bytes]):
         yield texts[lo:]
 
 
-def trained_model(trusted: DataFrame, text_col: str = "text", longest: int = LONGEST) -> BackoffTable:
-    """The model of the texts in ``trusted``; an empty table gives the uniform model."""
-    names = [f"h{k}" for k in range(longest, 0, -1)]
+def _gram_counts(batches, longest: int):
+    """Rows (what stands 1 to ``longest`` places before, character, count) of a task's texts, each n-gram once
+    for about ``GRAMS_HELD`` of them."""
+    names = [*(f"b{k}" for k in range(1, longest + 1)), "ch", "c"]
+    held: list = []
+
+    def fold():
+        keys, rows, n = (np.concatenate([h[i] for h in held], axis=-1) for i in range(3))
+        keys, at, same = np.unique(keys, return_index=True, return_inverse=True)
+        held[:] = [(keys, rows[:, at], np.bincount(same, n).astype(np.int64))]
+
+    def out():
+        (_, rows, n) = held.pop()
+        for i in range(0, len(n), 100_000):
+            yield pa.RecordBatch.from_arrays([*(pa.array(r[i : i + 100_000].astype(np.int32)) for r in rows), pa.array(n[i : i + 100_000])], names=names)
+
+    for (texts,) in rows_of(batches, 500):
+        for part in _portions([t for t in map(_plain, texts) if t]):
+            _, ch, before = preceding(part, longest)
+            with np.errstate(over="ignore"):
+                keys, at, n = np.unique(gram_key(hashed(before)[longest], ch), return_index=True, return_counts=True)
+            held.append((keys, np.vstack([before[:, at], ch[at]]), n))
+            if sum(len(h[0]) for h in held) > 2 * GRAMS_HELD:
+                fold()
+                if len(held[0][0]) > GRAMS_HELD:
+                    yield from out()
+    if held:
+        fold()
+        yield from out()
 
-    def grams(batches):
-        for (texts,) in rows_of(batches, 500):
-            for part in _portions([t for t in map(_plain, texts) if t]):
-                _, ch, contexts = spell(part, longest)
-                with np.errstate(over="ignore"):
-                    _, at, n = np.unique(gram_key(contexts[longest], ch), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(contexts[k][at].view(np.int64)) for k in range(longest, 0, -1)), pa.array(ch[at].astype(np.int64)), pa.array(n)], names=[*names, "ch", "c"])
 
-    rows = trusted.select(F.col(text_col).cast("string")).mapInArrow(grams, ", ".join(f"{n} long" for n in [*names, "ch", "c"]))
+def _context(rows: pa.Table, names: list[str]) -> np.ndarray:
+    return hashed(np.vstack([np.zeros((0, rows.num_rows), np.uint32), *(rows.column(n).to_numpy().astype(np.uint32) for n in names)]))[len(names)]
+
+
+def trained_model(trusted: DataFrame, text_col: str = "text", longest: int = LONGEST) -> BackoffTable:
+    """The model of the texts in ``trusted``; an empty table gives the uniform model."""
+    names = [f"b{k}" for k in range(1, longest + 1)]
+    rows = trusted.select(F.col(text_col).cast("string")).mapInArrow(lambda batches: _gram_counts(batches, longest), ", ".join(f"{n} int" for n in [*names, "ch"]) + ", c long")
     level = written(rows.groupBy(*names, "ch").agg(F.sum("c").alias("c")), f"grams{longest}")
     levels = {longest: level}
     for k in range(longest - 1, -1, -1):  # how many characters stand before a gram
-        level = written(level.groupBy(*names[longest - k :], "ch").agg(F.count(F.lit(1)).alias("c")), f"grams{k}")
+        level = written(level.groupBy(*names[:k], "ch").agg(F.count(F.lit(1)).alias("c")), f"grams{k}")
         levels[k] = level
     letters = levels[0].count()
     below = None
     tables, weights = [], []
     for k in range(longest + 1):
-        level = levels[k].withColumn("h", F.col(f"h{k}") if k else F.lit(0).cast("long"))
+        level, own = levels[k], names[:k]
         n1, n2, n3, n4 = level.agg(*(F.count_if(F.col("c") == i) for i in (1, 2, 3, 4))).first()
         y = n1 / (n1 + 2 * n2) if n1 else 0.5
         off = [min(max(0.05, d), 0.95 * i) for i, d in ((1, 1 - 2 * y * n2 / n1 if n1 else 0.5), (2, 2 - 3 * y * n3 / n2 if n2 else 1.0), (3, 3 - 4 * y * n4 / n3 if n3 else 1.5))]
         cut = F.when(F.col("c") == 1, off[0]).when(F.col("c") == 2, off[1]).otherwise(off[2])
-        totals = level.groupBy("h").agg(F.sum("c").alias("total"), F.sum(cut).alias("freed"))
-        totals = totals.select("h", "total", (F.col("freed") / F.col("total")).alias("gamma"))
-        joined = level.join(totals, "h")
+        totals = level.groupBy(*own).agg(F.sum("c").alias("total"), F.sum(cut).alias("freed")).where("total is not null")
+        totals = totals.select(*own, "total", (F.col("freed") / F.col("total")).alias("gamma"))
+        joined = level.join(totals, own) if k else level.join(F.broadcast(totals))  # one row
         if k:
-            up = f"h{k - 1}" if k > 1 else None
-            parent = below.select(F.col("h").alias("_up"), F.col("ch").alias("_ch"), F.col("p").alias("_p"))
-            joined = joined.join(parent, ((F.col(up) if up else F.lit(0).cast("long")) == F.col("_up")) & (F.col("ch") == F.col("_ch")))
-            base = F.col("_p")
-        else:
-            base = F.lit(1.0 / (letters + 1))
-        kept = [n for n in names if int(n[1:]) <= k]
-        below = written(joined.select(*kept, "h", "ch", ((F.col("c") - cut) / F.col("total") + F.col("gamma") * base).alias("p")), f"model{k}")
+            joined = joined.join(below.withColumnRenamed("p", "_p"), [*own[:-1], "ch"])
+        base = F.col("_p") if k else F.lit(1.0 / (letters + 1))
+        below = written(joined.select(*own, "ch", ((F.col("c") - cut) / F.col("total") + F.col("gamma") * base).alias("p")), f"model{k}")
         with np.errstate(over="ignore"):
-            got = below.select("h", "ch", "p").toArrow()  # bounded by the sample
-            h, ch = got.column("h").to_numpy().view(np.uint64), got.column("ch").to_numpy().view(np.uint64)
-            tables.append(KeyTable(gram_key(h, ch), got.column("p").to_numpy()))
-            got = totals.select("h", "gamma").toArrow()
-            weights.append(KeyTable(mixed(got.column("h").to_numpy().view(np.uint64)), got.column("gamma").to_numpy()))
+            got = below.toArrow()  # a row for each distinct n-gram
+            tables.append(KeyTable(gram_key(_context(got, own), got.column("ch").to_numpy()), got.column("p").to_numpy()))
+            got = totals.select(*own, "gamma").toArrow()
+            weights.append(KeyTable(mixed(_context(got, own)), got.column("gamma").to_numpy()))
+        dropped(level)
     return BackoffTable(tables, weights, 1.0 / (letters + 1))
 
 
@@ -149,38 +168,25 @@ def thresholds(labelled: DataFrame) -> list[tuple[str | None, float, float]]:
     return out
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, calibration_docs: int = CALIBRATION_DOCS, train_chars: int = TRAIN_CHARS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` with all its columns and (_perplexity, _steadied, _threshold, _keep) for every row.
 
-    Trusted documents are those with label quality 1; the sample takes them in the order of a hash of
-    their id, at most ``train_docs`` for training (never over half of them; whole texts as long as they
-    come to no more than ``train_chars`` bytes) and ``calibration_docs`` of either label for the
-    thresholds. Everything else covers all rows and whole texts. ``_perplexity`` is per character of the
-    whole text; a text is kept if that, drawn towards the mean (``_steadied``), is at most the threshold
-    of its language, or of all languages if that has too few labels, is null or unknown. Null and empty
-    texts have no perplexity and are not kept. Without labels every text that has words is kept. Labels
-    with a null id or quality count for nothing, repeated ones once. Repeated rows repeat; an empty table
-    gives an empty result."""
+    Trusted documents are those with label quality 1. Half of them, those with the lesser hashes of their ids
+    (never more than half), train the model; the thresholds come from all others and all of quality 0. All
+    these count with their whole texts. ``_perplexity`` is per character of the whole text; a text is kept if
+    that, drawn towards the mean (``_steadied``), is at most the threshold of its language, or of all languages
+    if that has too few labels, is null or unknown. Null and empty texts have no perplexity and are not kept.
+    Without labels every text that has words is kept. Labels with a null id or quality count for nothing,
+    repeated ones once. Repeated rows repeat; an empty table gives an empty result."""
     spark = docs.sparkSession
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    spread = F.xxhash64(F.col("doc_id").cast("string"))
-    n_good = marks.where("quality = 1").count()
-    n_train = min(train_docs, n_good // 2)
-    pick = marks.where("quality = 1").orderBy(spread, "doc_id").limit(n_train + calibration_docs)
-    bad = marks.where("quality = 0").orderBy(spread, "doc_id").limit(calibration_docs)
-    chosen = pick.unionByName(bad).select(F.col("doc_id").cast("long"), "quality")  # at most train_docs + 2 * calibration_docs rows of two values
-    small = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    small = written(small.join(F.broadcast(chosen), "doc_id"), "labelled")
-    sizes = small.where("quality = 1").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size")).orderBy(spread, "doc_id").collect()  # of the sample
-    train, room = set(), train_chars
-    for r in sizes[:n_train]:
-        if r.size <= room:
-            room -= r.size
-            train.add(r.doc_id)
-    mine = F.broadcast(spark.createDataFrame([(i,) for i in sorted(train)], "doc_id long"))
-    model = trained_model(small.where("quality = 1").join(mine, "doc_id", "left_semi"))
-    limits = thresholds(scored(small.join(mine, "doc_id", "left_anti"), model))
-    dropped(small)
+    marks = written(marks.select(F.col("doc_id").cast("long"), "quality", F.xxhash64(F.col("doc_id").cast("string")).alias("spread")), "marks")
+    middle = marks.where("quality = 1").agg(F.percentile_approx("spread", 0.5, 10_000)).first()[0]
+    trains = (F.col("quality") == 1) & (F.col("spread") < (-(2**63) if middle is None else middle))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    model = trained_model(texts.join(marks.where(trains).select("doc_id"), "doc_id", "left_semi"))
+    limits = thresholds(scored(texts.join(marks.where(~trains).select("doc_id", "quality"), "doc_id"), model))
+    dropped(marks)
     (_, mean, rest), *own = limits
     table = spark.createDataFrame(own, "_lang string, _mean double, _limit double")
     out = scored(docs, model, text_col).join(F.broadcast(table), F.col(lang_col).cast("string") == F.col("_lang"), "left")

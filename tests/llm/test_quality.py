@@ -59,3 +59,23 @@ def test_model_against_plain_counts(spark):
         want = sum(math.log(p(s[max(0, i - longest) : i], s[i])) for i in range(1, len(s)))
         logs, size = model.text_logs([text.encode()])
         assert size[0] == len(text) + 1 and math.isclose(logs[0], want, rel_tol=1e-9)
+
+
+def test_every_label_counts(spark, monkeypatch):
+    """The model learns from half of the trusted documents, the thresholds come from all others; n-grams that a
+    task hands on in parts count in full."""
+    docs = spark.createDataFrame([(i, f"text {i} of {i % 13}", "en") for i in range(20_000)], "doc_id long, text string, lang string")
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, 0).otherwise(1).alias("quality"))
+    seen = {}
+    model, limits = kn_quality.trained_model, kn_quality.thresholds
+    monkeypatch.setattr(kn_quality, "trained_model", lambda t: seen.update(train=t.count()) or model(t))
+    monkeypatch.setattr(kn_quality, "thresholds", lambda t: seen.update(rest={r.quality: r["count"] for r in t.groupBy("quality").count().collect()}) or limits(t))
+    kn_quality.classify(docs, labels)
+    assert 8_900 < seen["train"] <= 9_000 and seen["rest"] == {0: 2_000, 1: 18_000 - seen["train"]}
+    monkeypatch.setattr(kn_quality, "GRAMS_HELD", 50)
+    import pyarrow as pa
+
+    texts = pa.table({"text": [f"some text {i % 7} {i}" for i in range(1500)]})
+    parts = [r for b in kn_quality._gram_counts(iter(texts.to_batches(400)), 5) for r in [b.num_rows]]
+    counts = sum(sum(b.column("c").to_pylist()) for b in kn_quality._gram_counts(iter(texts.to_batches(400)), 5))
+    assert len(parts) > 1 and counts == sum(len(t) + 1 for t in texts.column("text").to_pylist())
