@@ -15,13 +15,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
 from scorenet.llm.backoff import BackoffTable, KeyTable, gram_key, hashed, mixed, preceding
-from scorenet.llm.text_units import forget_encoders, give_back, rows_of
-from scorenet.storage import dropped, written
+from scorenet.llm.text_units import forget_encoders, give_back, nearly_among, rows_of
+from scorenet.storage import collect_shuffles, dropped, written
 
 LONGEST = 5  # characters of context
 TRUSTED_QUANTILE, JUNK_QUANTILE = 0.998, 0.01
@@ -107,20 +108,20 @@ def trained_model(trusted: DataFrame, text_col: str = "text", longest: int = LON
         if k:
             joined = joined.join(below.withColumnRenamed("p", "_p"), [*own[:-1], "ch"])
         base = F.col("_p") if k else F.lit(1.0 / (letters + 1))
-        below = written(joined.select(*own, "ch", ((F.col("c") - cut) / F.col("total") + F.col("gamma") * base).alias("p")), f"model{k}")
+        lower, below = below, written(joined.select(*own, "ch", ((F.col("c") - cut) / F.col("total") + F.col("gamma") * base).alias("p")), f"model{k}")
         with np.errstate(over="ignore"):
             got = below.toArrow()  # a row for each distinct n-gram
             tables.append(KeyTable(gram_key(_context(got, own), got.column("ch").to_numpy()), got.column("p").to_numpy()))
             got = totals.select(*own, "gamma").toArrow()
             weights.append(KeyTable(mixed(_context(got, own)), got.column("gamma").to_numpy()))
-        dropped(level)
+        dropped(level, *([lower] if k else []))
+    dropped(below)
     return BackoffTable(tables, weights, 1.0 / (letters + 1))
 
 
-def scored(docs: DataFrame, model: BackoffTable, text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, shipped: Broadcast[BackoffTable], text_col: str = "text") -> DataFrame:
     """``docs`` with its columns, ``_log`` (natural logarithm of the whole text's probability) and
     ``_chars`` (with the end mark); both null for a text without words."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
     names = [*docs.columns, "_log", "_chars"]
     at = names.index(text_col)
 
@@ -184,8 +185,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     middle = marks.where("quality = 1").agg(F.percentile_approx("spread", 0.5, 10_000)).first()[0]
     trains = (F.col("quality") == 1) & (F.col("spread") < (-(2**63) if middle is None else middle))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    model = trained_model(texts.join(marks.where(trains).select("doc_id"), "doc_id", "left_semi"))
-    limits = thresholds(scored(texts.join(marks.where(~trains).select("doc_id", "quality"), "doc_id"), model))
+
+    def marked(some: DataFrame) -> DataFrame:
+        """The texts of ``some`` marks; others are not shuffled to meet them."""
+        return nearly_among(texts, some, "doc_id", some.count()).join(some, "doc_id")
+
+    model = spark.sparkContext.broadcast(trained_model(marked(marks.where(trains).select("doc_id"))))
+    collect_shuffles(spark)  # of the n-grams
+    limits = thresholds(scored(marked(marks.where(~trains).select("doc_id", "quality")), model))
     dropped(marks)
     (_, mean, rest), *own = limits
     table = spark.createDataFrame(own, "_lang string, _mean double, _limit double")

@@ -25,6 +25,8 @@ MARKS = ("\x01", "\x02")
 BYTE_SPACES = ("\u0120", "\u010a")
 #: A piece of one id to part others by, and how many pieces the library gets as one text.
 BAR, TOGETHER = "0", 100
+#: Bits of a map of keys at most, 16 MB, and those of one of its pieces, which is one of Spark's bitmaps.
+MAP_BITS, PIECE_BITS = 27, 15
 SPACED_WORD = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 
 
@@ -89,6 +91,20 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: s
     return left.join(many, key).unionByName(rest)
 
 
+def nearly_among(rows: DataFrame, keys: DataFrame, key: str, count: int, how: str = "left_semi") -> DataFrame:
+    """The rows of ``rows`` whose key is one of ``keys``, of which there are ``count``, and few others; with
+    "left_anti" the rest. Keys, integers, are told by one bit each of a bitmap of their hashes, which has
+    16 bits a key but 2 ** MAP_BITS at most, whatever their number. An exact join of what it lets through may
+    follow: it shuffles few of the rows that it drops."""
+    bits = min(MAP_BITS, max(PIECE_BITS, (16 * count).bit_length()))
+    at = F.xxhash64(F.col(key).cast("long")).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    piece, place = F.shiftright(at, PIECE_BITS), at.bitwiseAND(F.lit((1 << PIECE_BITS) - 1).cast("long"))
+    # A piece's keys meet before they become bits: a task would else hand on bits of all pieces.
+    maps = keys.select(piece.alias("_piece"), place.alias("_place")).repartition("_piece").groupBy("_piece").agg(F.bitmap_construct_agg("_place").alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(maps), (piece == F.col("_piece")) & (F.getbit(byte, place.bitwiseAND(F.lit(7).cast("long")).cast("int")) == 1), how)
+
+
 def file_bytes(path: str) -> bytes:
     """A tokenizer's file, read on the driver; it is sent to the executors as a broadcast value."""
     with open(path, "rb") as f:

@@ -6,6 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from scorenet.llm import kn_quality
+from scorenet.llm.text_units import nearly_among
 
 SF = "/root/testdata/sf0.01"
 
@@ -79,3 +80,40 @@ def test_every_label_counts(spark, monkeypatch):
     parts = [r for b in kn_quality._gram_counts(iter(texts.to_batches(400)), 5) for r in [b.num_rows]]
     counts = sum(sum(b.column("c").to_pylist()) for b in kn_quality._gram_counts(iter(texts.to_batches(400)), 5))
     assert len(parts) > 1 and counts == sum(len(t) + 1 for t in texts.column("text").to_pylist())
+
+
+def test_other_texts_are_not_shuffled(spark):
+    """Texts without labels are not shuffled to meet labels that are too many to broadcast, and no table of
+    the model is left behind."""
+    import glob
+    import random
+
+    from scorenet.storage import shared_dir
+
+    context = spark.sparkContext
+    store, doubles = context._jsc.sc().statusStore(), context._gateway.new_array(context._jvm.double, 0)
+
+    def moved():
+        return sum(s.shuffleWriteBytes() for s in context._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, doubles, context._jvm.java.util.ArrayList())))
+
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, "ab cd" if i % 10 == 0 else rng.randbytes(4000).hex(), "en") for i in range(600)], "doc_id long, text string, lang string")
+    labels = spark.range(0, 600, 10).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    left, least = f"{shared_dir(spark).removeprefix('file://')}/scorenet/*/model*", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    before, there = moved(), set(glob.glob(left))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert kn_quality.classify(docs, labels).count() == 600
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert moved() - before < 1_000_000 and set(glob.glob(left)) == there  # texts: 4,320,000 characters
+
+
+def test_nearly_among(spark):
+    rows = spark.createDataFrame([(None,), *((i,) for i in range(-3000, 20_000))], "doc_id long")
+    keys = spark.range(-500, 500, 2).select(F.col("id").alias("doc_id"))
+    got = [r.doc_id for r in nearly_among(rows, keys, "doc_id", 500).collect()]
+    rest = [r.doc_id for r in nearly_among(rows, keys, "doc_id", 500, "left_anti").collect()]
+    assert set(range(-500, 500, 2)) <= set(got) and len(got) < 4000
+    assert len(got) + len(rest) == 23_001 and not set(got) & set(rest)
+    assert nearly_among(rows, keys.limit(0), "doc_id", 0).count() == 0
