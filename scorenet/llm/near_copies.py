@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorenet.llm.gray_index import GrayIndex, majority_bits
-from scorenet.llm.text_units import give_back, join_hot, lower_words, rows_by_size
+from scorenet.llm.text_units import give_back, join_hot, lower_words, nearly_among, rows_by_size
 from scorenet.operators.components import connected_components
 from scorenet.storage import dropped, written
 
@@ -188,7 +188,8 @@ def near_copies(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col:
 
     there = written(nodes.join(blocks.select("node").distinct(), "node", "left_semi").select("node", "keys", F.col("id").alias("doc_id")), "there")
     # Rows that share an id may differ in text: each gives a set, and the node tells which is meant.
-    sets = texts.join(there.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(full, "node long, hashes binary").dropDuplicates(["node"])
+    some = nearly_among(texts, there, "doc_id", there.count())  # others are not shuffled
+    sets = some.join(there.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(full, "node long, hashes binary").dropDuplicates(["node"])
     sets = sets.join(there.select("node", "keys"), "node")
     sizes = written(blocks.groupBy("key").agg(F.sum("n").alias("shingles")), "sizes")
     every = sizes.agg(F.sum("shingles")).first()[0] or 0

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from scorenet.llm.gray_index import GrayIndex, majority_bits
 from scorenet.llm.near_copies import near_copies
-from scorenet.llm.text_units import give_back, join_hot, lower_words, rows_by_size
+from scorenet.llm.text_units import give_back, join_hot, lower_words, nearly_among, rows_by_size
 from scorenet.operators.components import connected_components, merge_labels
 from scorenet.storage import dropped, written
 
@@ -178,7 +178,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Groups are those that links join; the index finds candidates, and an exact similarity of 4/5 or more
     of their sets of five-word shingles makes them links. A document can lie in a group by a chain.
-    Rows with a null id stay; rows that share an id stay if one of them does."""
+    Rows with a null id stay; rows that share an id stay if one of them does. Only texts of rows that may go
+    are shuffled, to meet the ids that do."""
     kept = near_copies(docs, STAGE_SHINGLE).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("keep_id")).alias("stays"))
-    gone = kept.where("not stays").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = written(kept.where("not stays").select("doc_id"), "gone")
+    count = gone.count()
+    unsure = nearly_among(docs, gone, "doc_id", count).join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return nearly_among(docs, gone, "doc_id", count, "left_anti").unionByName(unsure)

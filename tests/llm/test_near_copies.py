@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from moved import moved
 
 from scorenet.llm import near_copies, simhash_index
 
@@ -97,3 +98,20 @@ def test_frequent_shingles_of_all_sets(spark, monkeypatch):
     sets = [[-5, 7, 1000 + i] if i % 17 == 0 else [2000 + i, 4000 + i] for i in range(100)]
     nodes = spark.createDataFrame([(s,) for s in sets], "low array<long>").repartition(3)
     assert near_copies.frequent_shingles(nodes, 100).tolist() == [7, (1 << 64) - 5]
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.randbytes(8).hex() for _ in range(500))) for i in range(300)]
+    short = [" ".join(rng.randbytes(8).hex() for _ in range(60)) for _ in range(10)]
+    rows += [(1000 + 100 * k + i, t + " end" * k) for k in range(2) for i, t in enumerate(short)]
+    rows += [(None, short[0]), (1100, short[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before, least = moved(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = [r.doc_id for r in simhash_index.stage(spark, docs, "").select("doc_id", "text").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert sorted(i for i in got if i is not None) == [*range(300), *range(1000, 1010)] and got.count(None) == 1
+    assert moved(spark) - before < 1_800_000  # texts: 2,550,000 characters

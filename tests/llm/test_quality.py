@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+from moved import moved
 from pyspark.sql import functions as F
 
 from scorenet.llm import kn_quality
@@ -90,23 +91,17 @@ def test_other_texts_are_not_shuffled(spark):
 
     from scorenet.storage import shared_dir
 
-    context = spark.sparkContext
-    store, doubles = context._jsc.sc().statusStore(), context._gateway.new_array(context._jvm.double, 0)
-
-    def moved():
-        return sum(s.shuffleWriteBytes() for s in context._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, doubles, context._jvm.java.util.ArrayList())))
-
     rng = random.Random(5)
     docs = spark.createDataFrame([(i, "ab cd" if i % 10 == 0 else rng.randbytes(4000).hex(), "en") for i in range(600)], "doc_id long, text string, lang string")
     labels = spark.range(0, 600, 10).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
     left, least = f"{shared_dir(spark).removeprefix('file://')}/scorenet/*/model*", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    before, there = moved(), set(glob.glob(left))
+    before, there = moved(spark), set(glob.glob(left))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         assert kn_quality.classify(docs, labels).count() == 600
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
-    assert moved() - before < 1_000_000 and set(glob.glob(left)) == there  # texts: 4,320,000 characters
+    assert moved(spark) - before < 1_000_000 and set(glob.glob(left)) == there  # texts: 4,320,000 characters
 
 
 def test_nearly_among(spark):
